@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import quality_rules, substring_dedup
+from tesserae.llm import ngram_join, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op3_quality_rules": quality_rules.query,
     "op10_substring_dedup": substring_dedup.query,
 }
