@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm._shared import staged, texts
-from tesserae.llm._text import Words, cuts, flat, lists, mix, pieces, signed, windows
+from tesserae.llm._text import Words, cuts, flat, mix, pieces, signed, windows
 from tesserae.llm.components import components
 
 K, PERCENT = 5, 80
+#: One more indexed token for so many members.
+EXTRA = 16
 SKETCH_BITS = 18
 #: Lists of more sets than this are worked on by groups, not by pairs.
 SHORT = 8
@@ -47,7 +49,7 @@ def needed(a, b):
 
 def least_shared(n):
     """Indexed tokens that a set of n shares with any set that it links to, at least."""
-    return 1 + n // 50
+    return 1 + n // EXTRA
 
 
 def indexed(n):
@@ -184,14 +186,6 @@ def _pairs_and_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield done(*held)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        h, cut = shingle_sets(batch.column("text"))
-        sets = pa.RecordBatch.from_arrays([batch.column("set_id"), lists(signed(h), cut)], names=["member", "shingles"])
-        # Another text under the same id has another identity.
-        yield sets.filter(pa.array(signed(identities(h, cut)) == batch.column("set_id").to_numpy()))
-
-
 def linked_parts(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Component (its first set's index) of each set among the links of these sets. values: their distinct members."""
     m, n = len(cut) - 1, np.diff(cut)
@@ -246,11 +240,15 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         column = batch.column("sets")
         for k in range(batch.num_rows):
-            own = column[k].values
-            ids = own.field("member").to_numpy()
-            inner = own.field("shingles")
-            offsets = inner.offsets.to_numpy()
-            part = linked_parts(inner.values.to_numpy()[offsets[0] : offsets[-1]] if inner.offset == 0 else inner.flatten().to_numpy(), (offsets - offsets[0]).astype(np.int64))
+            ids = column[k].values.field("member").to_numpy()
+            values, cut = shingle_sets(column[k].values.field("text"))
+            # Another text under the same id has another identity; repeated rows count once.
+            own = np.flatnonzero(signed(identities(values, cut)) == ids)
+            own = own[np.unique(ids[own], return_index=True)[1]]
+            if len(own) < 2:
+                continue
+            values, n, ids = flat([values[cut[x] : cut[x + 1]] for x in own], np.uint64), np.diff(cut)[own], ids[own]
+            part = linked_parts(values, cuts(n))
             ok = part != np.arange(len(ids))
             a.append(ids[ok])
             b.append(ids[part[ok]])
@@ -265,17 +263,20 @@ def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     level = crowded(rows)
     postings = rows.select("text").mapInArrow(_postings(level), "token long, set_id long, place long").repartition("token").sortWithinPartitions("token", "set_id")
     found = staged(postings.mapInArrow(_pairs_and_groups, "a long, b long, least long").groupBy("a", "b", "least").agg(F.count("*").alias("n")), "candidates")
-    counted = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
-    grouped = counted.select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("member")).unionByName(found.where("least = 0").select(F.col("a").alias("lead"), F.col("b").alias("member"))).distinct()
+    pairs = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    # A set shares with another at most its tokens in long lists and those it shares in short ones; without enough of them it leaves the groups.
+    long = found.where("least = 0").select(F.col("a").alias("lead"), F.col("b").alias("member"), "n")
+    short = pairs.select(F.explode(F.array("a", "b")).alias("member"), "n").groupBy("member").agg(F.max("n").alias("short"))
+    most = long.groupBy("member").agg(F.sum("n").alias("long")).join(short, "member", "left").select("member", (F.col("long") + F.coalesce("short", F.lit(0))).alias("most"))
+    smallest = F.ceil(F.col("n") * PERCENT / 100)
+    ample = most.join(classes.select(F.col("set_id").alias("member"), "n"), "member").where(F.col("most") >= 1 + F.floor(smallest / EXTRA)).select("member")
+    grouped = pairs.where("n >= least").select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("member")).unionByName(long.select("lead", "member").join(ample, "member").select("lead", "member")).distinct()
     grouped = staged(grouped.join(classes.select(F.col("set_id").alias("member"), "n", "first_id"), "member"), "groups")
-    members = grouped.select("first_id", F.col("member").alias("set_id")).distinct()
-    sets = rows.join(members.withColumnRenamed("first_id", "doc_id"), "doc_id").select("text", "set_id").mapInArrow(_sets, "member long, shingles array<long>")
-    sets = sets.dropDuplicates(["member"])  # repeated rows
-    sizes = staged(grouped.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    sizes = staged(grouped.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets")).where("sets > 1"), "blocks")
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     placed = grouped.join(sizes, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
-    blocks = placed.join(sets, "member").groupBy("lead", "i", "j").agg(F.collect_list(F.struct("member", "shingles")).alias("sets")).where(F.size("sets") > 1)
+    placed = placed.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member", F.col("first_id").alias("doc_id"))
+    blocks = rows.join(placed, "doc_id").groupBy("lead", "i", "j").agg(F.collect_list(F.struct("member", "text")).alias("sets")).where(F.size("sets") > 1)
     return blocks.select("sets").mapInArrow(_block_links, "a long, b long")
 
 
