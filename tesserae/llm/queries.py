@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ngram_join, quality_rules, secret_scan, substring_dedup
+from tesserae.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op3_quality_rules": quality_rules.query,
     "op7_secret_scans": secret_scan.query,
+    "op8_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 
