@@ -81,7 +81,7 @@ def identities(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         h, cut = shingle_sets(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(cut)), pa.array(signed(identities(h, cut)))], names=["doc_id", "n", "set_id"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(cut)), pa.array(signed(identities(h, cut)))], names=["doc_id", "text_hash", "n", "set_id"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +281,9 @@ def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, set_id (equal sets share it), class_id (linked sets share it), component_id."""
+    """One row per input row: doc_id, text_hash (xxhash64), n_shingles, set_id (equal sets share it), class_id (linked sets share it), component_id."""
     rows = texts(docs, id_col, text_col)
-    members = staged(rows.select("doc_id", "text").mapInArrow(_members, "doc_id long, n long, set_id long"), "members")
+    members = staged(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_members, "doc_id long, text_hash long, n long, set_id long"), "members")
     rows = rows.where("doc_id is not null")
     classes = staged(members.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "classes")
     roots = components(links(rows, classes)).withColumnRenamed("a", "set_id")
@@ -292,10 +292,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = staged(rooted.join(least, "class_id").select("set_id", "class_id", "component_id"), "named")
     full = F.col("n") > 0
     return members.join(named, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "set_id", F.when(full, F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", F.when(full, F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents whose component has one with a smaller id; of rows that repeat an id in a component, one stays.
+
+    Rows without an id stay.
+    """
+    found = join(docs, id_col, text_col).where("doc_id is not null and n_shingles > 0")
+    first = found.where("doc_id = component_id").groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
+    second = found.where("doc_id = component_id").join(first.withColumnRenamed("text_hash", "kept_hash"), "class_id").where("text_hash != kept_hash")
+    gone = found.where("doc_id != component_id").select("doc_id", "text_hash").unionByName(second.select("doc_id", "text_hash"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    kept = keyed.where("__id is not null").join(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), ["__id", "__hash"], "left_anti").dropDuplicates(["__id", "__hash"])
+    return kept.unionByName(keyed.where("__id is null")).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: doc_id, n_shingles, component_id of all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -195,14 +195,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     rows = staged(measured.select("lang", "source", *[v.alias(f"x{i}") for i, v in enumerate(vector(F.col("__stats")))]), "statistics")
     fits = fit(rows)
     out_rows = with_statistics(docs, text_col).withColumns({"__lang": blank(lang_col), "__source": blank(source_col)})
-    for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
+    for level, keys in ((2, ["lang", "source"]), (1, ["lang"])):
         own_fit = fits.where(F.col("level") == level).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct("mean", "inverse").alias(f"__fit{level}"))
-        if keys:
-            out_rows = out_rows.join(own_fit, [f"__{k}" for k in keys], "left")
-        else:
-            out_rows = out_rows.join(F.broadcast(own_fit), how="left")  # one row
+        out_rows = out_rows.join(own_fit, [f"__{k}" for k in keys], "left")
+    corpus = fits.where("level = 0").first()  # one row at most
+    whole = F.lit(None).cast("struct<mean:array<double>,inverse:array<double>>") if corpus is None else F.struct(F.lit(corpus["mean"]).alias("mean"), F.lit(corpus["inverse"]).alias("inverse"))
     stats = F.col("__stats")
-    distance = _distance(vector(stats), F.coalesce("__fit2", "__fit1", "__fit0"))
+    distance = _distance(vector(stats), F.coalesce(F.col("__fit2"), F.col("__fit1"), whole))
     failed = base_failed(stats)
     return out_rows.select(*docs.columns, F.struct(*[stats[k].alias(k) for k in STATS], failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUT, F.lit(True))).alias("kept")).alias(out))
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm._shared import staged, texts
 from tesserae.llm._text import Words, cuts, flat, lists, pieces, signed, sliding_min
@@ -88,14 +89,17 @@ def merge_intervals(starts: np.ndarray, k: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + k).tolist(), strict=True))
 
 
-def _removed(k: int):
+_TYPE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.LongType()))])
+
+
+def _removed(k: int, names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, text_col):
             n_words, kept, ends, sizes = [], [], [], []
-            whole, places = batch.column("whole").to_pylist(), batch.column("places")
-            tags = batch.column("text_hash").to_numpy() & _TAG
-            for d, text in enumerate(batch.column("text").to_pylist()):
-                words = text.encode().split()
+            whole, places = batch.column("__whole").to_pylist(), batch.column("__places")
+            tags = batch.column("__hash").to_numpy() & _TAG
+            for d, text in enumerate(batch.column(text_col).to_pylist()):
+                words = (text or "").encode().split()
                 spans: list[tuple[int, int]] = []
                 if whole[d] and len(words) >= k:
                     spans = [(0, len(words))]
@@ -107,13 +111,11 @@ def _removed(k: int):
                     left += words[at:a]
                     at = b
                 n_words.append(len(words))
-                kept.append(b" ".join(left + words[at:]).decode() if spans else b" ".join(words).decode())
+                kept.append(b" ".join(left + words[at:]).decode())
                 ends += [x for s in spans for x in s]
                 sizes.append(2 * len(spans))
-            pairs = np.array(ends, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(kept), lists(pairs, cuts(np.array(sizes)))], names=["doc_id", "text", "n_words", "kept_text", "removed"]
-            )
+            found = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), lists(np.array(ends, np.int64), cuts(np.array(sizes, np.int64)))], ["n_words", "kept_text", "removed"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], found], names=[*names, "__dedup"])
 
     return run
 
@@ -123,15 +125,16 @@ def repeated_windows(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     rows = texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     ids = rows.select("doc_id", "text_hash", F.xxhash64(F.lit(1), "text").alias("other_hash"), F.length("text").alias("n_chars"))
     same = ["text_hash", "other_hash", "n_chars"]
-    first = ids.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    # Aggregates that hot keys join with are tables of their own: both sides are then plain exchanges, whose large partitions Spark can split.
+    first = staged(ids.groupBy(*same).agg(F.min("doc_id").alias("first_id")), "first")
     copies = ids.join(first, same).where("doc_id > first_id").select("doc_id", "text_hash", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("places"))
 
     anchors = rows.select("text", "text_hash").mapInArrow(_anchor_rows(k), "anchor long, text_hash long")
-    shared = anchors.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("anchor")
+    shared = staged(anchors.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("anchor"), "shared")
     by_text = anchors.join(shared, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
     wanted = first.groupBy("text_hash").agg(F.min("first_id").alias("doc_id")).join(by_text, "text_hash")
     found = staged(rows.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_window_rows(k), "window long, half int, doc_id long, place long"), "windows")
-    least = found.groupBy("window", "half").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "half", "least")
+    least = staged(found.groupBy("window", "half").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "half", "least"), "least")
     later = found.join(least, ["window", "half"]).where("doc_id > least").groupBy("doc_id", (F.col("place").bitwiseAND(F.lit(_TAG << 32))).alias("tag")).agg(F.collect_list("place").alias("places"))
     # A tag and an id lead back to one text; collect_list holds at most the windows of one document.
     owners = ids.select("doc_id", "text_hash", F.shiftleft(F.col("text_hash").bitwiseAND(F.lit(_TAG)), 32).alias("tag")).distinct()
@@ -140,14 +143,22 @@ def repeated_windows(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
 
 
 def remove_repeated(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text, n_words, kept_text (kept words joined by a space), removed (flat list of interval ends, in words)."""
-    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    marked = rows.join(repeated_windows(docs, k, id_col, text_col), ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "whole", "places")
-    return marked.mapInArrow(_removed(k), "doc_id long, text string, n_words long, kept_text string, removed array<long>")
+    """All columns of docs and a struct __dedup: n_words, kept_text (kept words joined by a space), removed (flat list of interval ends, in words)."""
+    marks = repeated_windows(docs, k, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("whole").alias("__whole"), F.col("places").alias("__places"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    marked = keyed.join(marks, ["__id", "__hash"], "left").select(*docs.columns, "__hash", "__whole", "__places")
+    return marked.mapInArrow(_removed(k, docs.columns, text_col), T.StructType([*docs.schema.fields, T.StructField("__dedup", _TYPE)]))
+
+
+def strip(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with the kept words as the text of those that lose any."""
+    found = remove_repeated(docs, k, id_col, text_col)
+    text = F.when(F.size("__dedup.removed") > 0, F.col("__dedup.kept_text")).otherwise(F.col(text_col))
+    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: doc_id, n_words, n_removed, kept_sha256 of all documents."""
-    out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    gone = F.aggregate("removed", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda z, x: F.struct((z["n"] + x * z["s"]).alias("n"), (-z["s"]).alias("s")), lambda z: z["n"])
-    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    gone = F.aggregate("__dedup.removed", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda z, x: F.struct((z["n"] + x * z["s"]).alias("n"), (-z["s"]).alias("s")), lambda z: z["n"])
+    return out.select("doc_id", "__dedup.n_words", gone.alias("n_removed"), F.sha2(F.encode("__dedup.kept_text", "UTF-8"), 256).alias("kept_sha256"))
