@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import byte_bpe, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
+from tesserae.llm import ann, byte_bpe, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_pii": pii.query,
     "op3_quality_rules": quality_rules.query,
     "op5_sharding": sharding.query,
+    "op6_additive_ann": ann.query,
     "op7_secret_scans": secret_scan.query,
     "op8_packing": packing.query,
     "op9_byte_bpe": byte_bpe.query,
