@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, byte_bpe, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
+from tesserae.llm import ann, byte_bpe, license_scan, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_pii": pii.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_license_scans": license_scan.query,
     "op5_sharding": sharding.query,
     "op6_additive_ann": ann.query,
     "op7_secret_scans": secret_scan.query,
@@ -20,4 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring_dedup.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_license_scans": license_scan.SQL,
+}
