@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import token_estimate
+from tesserae.operators.structure import of_ancestor
 
 #: Chunk types of node types; structural chunks don't start a merge.
 CHUNK_TYPES = {"DOCUMENT": "COMPOSITE", "CHAPTER": "CHAPTER", "SECTION": "SECTION", "ARTICLE": "ARTICLE", "CLAUSE": "CLAUSE", "POINT": "POINT", "PREAMBLE": "PARAGRAPH", "PARAGRAPH": "PARAGRAPH", "APPENDIX": "APPENDIX", "TABLE": "COMPOSITE", "FIGURE": "COMPOSITE", "UNKNOWN": "PARAGRAPH"}
@@ -44,45 +45,42 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     own = own_text()
     rows = nodes.withColumns({"own": own, "filled": (own != "").cast("long")})
-    rows = rows.withColumns({"chars": F.sum(F.length("own")).over(upto), "parts": F.sum("filled").over(upto), "end": F.max("ord").over(Window.partitionBy("document_id"))})
-    # Depth is at most three: the next node of each smaller or equal depth, by one window each.
+    rows = rows.withColumns({"chars": F.sum(F.length("own")).over(upto), "parts": F.sum("filled").over(upto)})
+    # Depth is at most three: the next node of each smaller or equal depth, with the sums before it, by one window each.
     after = doc.rowsBetween(1, Window.unboundedFollowing)
-    upcoming = {f"next{d}": F.min(F.when(F.col("depth") <= d, F.col("ord"))).over(after) for d in range(4)}
-    rows = rows.withColumns(upcoming)
-    following = F.when(F.col("depth") == 0, F.col("next0")).when(F.col("depth") == 1, F.col("next1")).when(F.col("depth") == 2, F.col("next2")).otherwise(F.col("next3"))
-    rows = rows.withColumn("last", F.coalesce(following - 1, F.col("end")))
-    ends = rows.select("document_id", F.col("ord").alias("last"), F.col("chars").alias("chars_end"), F.col("parts").alias("parts_end"))
-    joined = rows.join(ends, ["document_id", "last"])
-    n_parts = F.col("parts_end") - F.col("parts") + F.col("filled")
-    n_chars = F.col("chars_end") - F.col("chars") + F.length("own") + F.greatest(n_parts - 1, F.lit(0))
-    sized = joined.withColumn("n_chars", n_chars.cast("long"))
+    here = F.struct((F.col("ord") - 1).alias("last"), (F.col("chars") - F.length("own")).alias("chars"), (F.col("parts") - F.col("filled")).alias("parts"))
+    end = F.last(F.struct(F.col("ord").alias("last"), "chars", "parts")).over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = F.lit(None)
+    for d in range(4):
+        following = F.when(F.col("depth") == d, F.first(F.when(F.col("depth") <= d, here), True).over(after)).otherwise(following)
+    rows = rows.withColumn("to", F.coalesce(following, end))
+    n_parts = F.col("to.parts") - F.col("parts") + F.col("filled")
+    n_chars = F.col("to.chars") - F.col("chars") + F.length("own") + F.greatest(n_parts - 1, F.lit(0))
+    sized = rows.withColumns({"n_chars": n_chars.cast("long"), "last": F.col("to.last")})
     tokens = F.when(F.col("n_chars") == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4))).cast("long")
     return sized.select(*nodes.columns, "own", "last", "n_chars", tokens.alias("tokens"))
 
 
-def cut(sized: DataFrame, config: Chunking = Chunking()) -> DataFrame:
-    """The nodes that chunks are made of: those that fit while their parent doesn't, and leaves that don't fit (oversized)."""
+def marked(sized: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    """Adds chosen and oversized: chunks are made of the nodes that fit while their parent doesn't, and of leaves that don't fit."""
     fits = F.col("tokens") <= config.most
-    parent = sized.select("document_id", F.col("ord").alias("parent"), fits.alias("parent_fits"))
-    rows = sized.join(parent, ["document_id", "parent"], "left")
-    leaf = F.col("last") == F.col("ord")
-    wanted = ~F.coalesce("parent_fits", F.lit(False)) & (fits | leaf)
-    return rows.where(wanted).select(*sized.columns, (~fits).alias("oversized"))
-
-
-def texts_of(chosen: DataFrame, sized: DataFrame) -> DataFrame:
-    """Adds text: the lines of the chosen nodes' subtrees, in order. Each line belongs to at most one chosen node."""
-    lines = sized.where("own != ''").select("document_id", F.col("ord").alias("line_ord"), F.col("own").alias("line"))
-    names = [c for c in chosen.columns if c != "text"]
-    doc = Window.partitionBy("document_id").orderBy("line_ord", "chosen")
-    # The chosen node that a line belongs to is the last one that starts before it.
-    starts = chosen.select("document_id", F.col("ord").alias("line_ord"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("chosen"))
-    mixed = starts.unionByName(lines.withColumn("chosen", F.lit(1)))
-    owner = F.last(F.when(F.col("chosen") == 0, F.col("line_ord")), True).over(doc.rowsBetween(Window.unboundedPreceding, 0))
-    owned = mixed.withColumn("ord", owner).where("chosen = 1 and ord is not null")
-    bounded = owned.join(chosen.select("document_id", "ord", "last"), ["document_id", "ord"]).where("line_ord <= last")
-    joined = bounded.groupBy("document_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return chosen.select(*names).join(joined, ["document_id", "ord"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    parent_fits = F.coalesce(of_ancestor(fits), F.lit(False))
+    return sized.withColumns({"chosen": ~parent_fits & (fits | (F.col("last") == F.col("ord"))), "oversized": ~fits})
+
+
+def cut(sized: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    return marked(sized, config).where("chosen").drop("chosen")
+
+
+def cut_texts(sized: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    """The chosen nodes with the text of their subtrees; a line belongs to at most one, the last that starts before it."""
+    doc = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    head = [c for c in sized.columns if c not in ("document_id", "text", "own")]
+    rows = marked(sized, config).withColumn("head", F.last(F.when(F.col("chosen"), F.struct(*head, "oversized")), True).over(doc)).where("head is not null and ord <= head.last")
+    lines = F.array_sort(F.collect_list(F.when(F.col("own") != "", F.struct("ord", "own"))))
+    text = F.array_join(F.transform(lines, lambda x: x["own"]), "\n")
+    out = rows.groupBy("document_id", F.col("head.ord").alias("at")).agg(F.any_value("head").alias("head"), text.alias("text"))
+    return out.select("document_id", "head.*", "text")
 
 
 _BOUNDARIES = ("\n\n", "\n", ". ", "; ", ", ", " ")
@@ -151,7 +149,7 @@ def chunk_type_of(kind: Column) -> Column:
 def chunks(nodes: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """Nodes to chunks: cut, split, merged. nodes: as structure.references gives them."""
     sized = subtree_sizes(with_root(nodes))
-    chosen = texts_of(cut(sized, config), sized).withColumn("chunk_type", chunk_type_of(F.col("type")))
+    chosen = cut_texts(sized, config).withColumn("chunk_type", chunk_type_of(F.col("type")))
     parts = split_oversized(chosen, "text", config).withColumn("tokens", F.when(F.col("oversized"), token_estimate("text")).otherwise(F.col("tokens")))
     order = Window.partitionBy("document_id").orderBy("ord", "part")
     placed = parts.withColumn("place", F.row_number().over(order)).drop("ord").withColumnRenamed("place", "ord")

@@ -43,7 +43,7 @@ def jobs(events: DataFrame) -> DataFrame:
     out = events.groupBy("job_id", "document_id", "job_type").agg(
         F.max_by("status", F.struct("ts", "status")).alias("last_status"), F.min("ts").alias("created_at"), at("RUNNING", F.min).alias("started_at"), F.max(F.when(F.col("status").isin("COMPLETED", "FAILED"), F.col("ts"))).alias("completed_at")
     )
-    return out.withColumn("duration_ms", (F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1000)
+    return out.withColumn("duration_ms", (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000)
 
 
 def recovered(rows: DataFrame) -> DataFrame:

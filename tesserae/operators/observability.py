@@ -68,5 +68,5 @@ def health(checks: DataFrame) -> DataFrame:
 
 def windowed(observations: DataFrame, keys: list[str], time: str = "ts", width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Counts and sums by tumbling window; with late, for streams, what comes later than that is dropped."""
-    rows = observations.withWatermark(time, late) if late else observations
+    rows = observations.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else observations
     return rows.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(*keys, F.col("window.start").alias("start"), "n", "total")

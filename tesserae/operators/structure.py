@@ -100,20 +100,32 @@ def hierarchy(found: DataFrame) -> DataFrame:
         }
     )
     run = Window.partitionBy("document_id", "grp", "n_sections").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("clause", F.last(F.when(F.col("type") == "CLAUSE", F.col("ord")), True).over(run))
-    under = (
-        F.when((F.col("type") == "SECTION") & (F.col("u_type") == "CHAPTER") & ~F.col("inner_before"), F.col("u_ord"))
-        .when((F.col("type") == "CLAUSE") & (F.col("u_type") == "ARTICLE") & ~F.col("section_before") & (F.col("first_inner") == "CLAUSE"), F.col("u_ord"))
-        .when(F.col("type") == "POINT", F.col("clause"))
+    on_unit = (
+        F.when(F.col("type") == "SECTION", (F.col("u_type") == "CHAPTER") & ~F.col("inner_before"))
+        .when(F.col("type") == "CLAUSE", (F.col("u_type") == "ARTICLE") & ~F.col("section_before") & (F.col("first_inner") == "CLAUSE"))
+        .otherwise(F.lit(False))
     )
-    rows = rows.withColumn("parent", F.coalesce(under, F.lit(0)))
+    rows = rows.withColumn("on_unit", F.coalesce(on_unit, F.lit(False)))
+    level = F.when(F.col("on_unit"), F.lit(2)).otherwise(F.lit(1))
+    rows = rows.withColumn("above", F.last(F.when(F.col("type") == "CLAUSE", F.struct("ord", level.alias("depth"))), True).over(run))
+    point = F.col("type") == "POINT"
+    parent = F.when(F.col("on_unit"), F.col("u_ord")).when(point, F.coalesce(F.col("above.ord"), F.lit(0))).otherwise(F.lit(0))
+    depth = F.when(point, F.coalesce(F.col("above.depth"), F.lit(0)) + 1).otherwise(level)
+    rows = rows.select(*found.columns, parent.alias("parent"), depth.alias("depth"))
     sibling = F.row_number().over(Window.partitionBy("document_id", "parent").orderBy("ord")) - 1
-    rows = rows.select(*found.columns, "parent", sibling.alias("sibling"))
-    up = rows.select("document_id", F.col("ord").alias("parent"), F.col("parent").alias("grand"))
-    above = up.select("document_id", F.col("parent").alias("grand"), F.col("grand").alias("great"))
-    deep = rows.join(up, ["document_id", "parent"], "left").join(above, ["document_id", "grand"], "left")
-    level = lambda c: (F.coalesce(F.col(c), F.lit(0)) > 0).cast("int")
-    return deep.select(*found.columns, "parent", "sibling", (1 + level("parent") + level("grand") + level("great")).alias("depth"))
+    return rows.select(*found.columns, "parent", sibling.alias("sibling"), "depth")
+
+
+def of_ancestor(value: Column, up: int = 1, deepest: int = 3) -> Column:
+    """A value of the ancestor so many levels up, as a window over nodes in preorder: the last node before that is so much less deep.
+
+    Null where there is no such ancestor below the root's own row.
+    """
+    before = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    out = F.lit(None)
+    for d in range(deepest + 1 - up):
+        out = F.when(F.col("depth") == d + up, F.last(F.when(F.col("depth") == d, value), True).over(before)).otherwise(out)
+    return out
 
 
 def number_of(title: Column | str, text: Column | str) -> Column:
@@ -130,9 +142,8 @@ def references(nodes: DataFrame) -> DataFrame:
     """Adds reference (from the root: labels with numbers) and path (numbers, else places; the root gives 1) to nodes."""
     n = number_of("title", "text")
     own = nodes.withColumn("own_reference", F.concat_ws(" ", label_of("type"), n)).withColumn("own_step", F.coalesce(n, (F.col("sibling") + 1).cast("string")))
-    up = own.select("document_id", F.col("ord").alias("parent"), F.col("parent").alias("grand"), F.col("own_reference").alias("r1"), F.col("own_step").alias("s1"))
-    above = up.select("document_id", F.col("parent").alias("grand"), F.col("r1").alias("r2"), F.col("s1").alias("s2"))
-    walked = own.join(up, ["document_id", "parent"], "left").join(above, ["document_id", "grand"], "left")
+    upper = {f"{c}{up}": of_ancestor(F.col(f"own_{name}"), up) for up in (1, 2) for c, name in (("r", "reference"), ("s", "step"))}
+    walked = own.withColumns(upper)
     return walked.select(*nodes.columns, F.concat_ws(" ", "r2", "r1", "own_reference").alias("reference"), F.concat_ws(".", F.lit("1"), "s2", "s1", "own_step").alias("path"), F.col("own_reference").alias("short_reference"))
 
 

@@ -167,8 +167,7 @@ chosen AS (SELECT c.*, c.tokens > {CONFIG.most} AS oversized FROM sized c LEFT J
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sized(spark, sf_dir)
-    return chunking.texts_of(chunking.cut(s, CONFIG), s).select("document_id", "ord", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+    return chunking.cut_texts(sized(spark, sf_dir), CONFIG).select("document_id", "ord", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +177,7 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sized(spark, sf_dir)
-    chosen = chunking.texts_of(chunking.cut(s, CONFIG), s)
-    return chosen.select("document_id", "ord", chunking.chunk_type_of(F.col("type")).alias("chunk_type"), "tokens", "path", "text", "reference")
+    return chunking.cut_texts(sized(spark, sf_dir), CONFIG).select("document_id", "ord", chunking.chunk_type_of(F.col("type")).alias("chunk_type"), "tokens", "path", "text", "reference")
 
 
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
