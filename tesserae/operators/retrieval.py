@@ -23,7 +23,8 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
     """Ranks from 1 by order; with k, only the first k (Spark then limits each group before the shuffle)."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return out if k is None else out.where(F.col(name) <= k)
+    kept = out if k is None else out.where(F.col(name) <= k)
+    return kept.withColumn(name, F.col(name).cast("long"))
 
 
 def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int = 10, threshold: float | None = None, digits: int = 6) -> DataFrame:
@@ -50,11 +51,10 @@ def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6) -> Dat
     """
     asked = queries.select("query_id", tx.query_terms("query").alias("terms")).where(F.size("terms") > 0)
     asked = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    content, title = tx.tokens("content"), tx.tokens("title")
-    posted = entries.select("entry_id", content.alias("c"), title.alias("t"))
-    posted = posted.select("entry_id", "c", "t", F.explode(F.array_union("c", "t")).alias("term"))
-    posted = posted.select("entry_id", "term", F.array_contains("c", F.col("term")).cast("int").alias("in_content"), F.array_contains("t", F.col("term")).cast("int").alias("in_title"))
-    met = posted.join(maybe_broadcast(asked), "term").groupBy("query_id", "entry_id", "n_terms").agg(F.sum("in_content").alias("a"), F.sum("in_title").alias("b"))
+    # Content and title are posted apart: a term carries two counts instead of the arrays that it came from.
+    post = lambda c, content: F.transform(tx.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(int(content)).alias("in_content"), F.lit(int(not content)).alias("in_title")))
+    posted = entries.select("entry_id", F.explode(F.concat(post("content", True), post("title", False))).alias("p")).select("entry_id", "p.*")
+    met = posted.join(maybe_broadcast(asked), "term").groupBy("query_id", "entry_id").agg(F.any_value("n_terms").alias("n_terms"), F.sum("in_content").alias("a"), F.sum("in_title").alias("b"))
     score = F.least(0.85 * (F.col("a") / F.col("n_terms")) + 0.15 * (F.col("b") / F.col("n_terms")), F.lit(1.0))
     return met.select("query_id", "entry_id", F.round(score, digits).alias("score")).where("score > 0")
 

@@ -78,7 +78,7 @@ def sections(classified: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("document_id").orderBy("at", "part")
     return found.select(
-        "document_id", F.row_number().over(order).alias("ord"), F.coalesce("type", F.lit("PREAMBLE")).alias("type"), "number", F.coalesce("title", F.lit("Preamble")).alias("title"), strip("text").alias("text"), "page_start", "line_start"
+        "document_id", F.row_number().over(order).cast("long").alias("ord"), F.coalesce("type", F.lit("PREAMBLE")).alias("type"), "number", F.coalesce("title", F.lit("Preamble")).alias("title"), strip("text").alias("text"), "page_start", "line_start"
     )
 
 
@@ -109,7 +109,7 @@ def hierarchy(found: DataFrame) -> DataFrame:
     level = F.when(F.col("on_unit"), F.lit(2)).otherwise(F.lit(1))
     rows = rows.withColumn("above", F.last(F.when(F.col("type") == "CLAUSE", F.struct("ord", level.alias("depth"))), True).over(run))
     point = F.col("type") == "POINT"
-    parent = F.when(F.col("on_unit"), F.col("u_ord")).when(point, F.coalesce(F.col("above.ord"), F.lit(0))).otherwise(F.lit(0))
+    parent = F.when(F.col("on_unit"), F.col("u_ord")).when(point, F.coalesce(F.col("above.ord"), F.lit(0))).otherwise(F.lit(0)).cast("long")
     depth = F.when(point, F.coalesce(F.col("above.depth"), F.lit(0)) + 1).otherwise(level)
     rows = rows.select(*found.columns, parent.alias("parent"), depth.alias("depth"))
     sibling = F.row_number().over(Window.partitionBy("document_id", "parent").orderBy("ord")) - 1

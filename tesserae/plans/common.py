@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import QUERY_STOPWORDS
 
 
+#: Tables whose rows cost much work each.
+HEAVY = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of heavy rows that comes as fewer partitions than the cluster has cores (a small file) is spread over them.
+
+    Large tables have a partition for every file part and are read as they are.
+    """
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in HEAVY and rows.rdd.getNumPartitions() < min(cores, 32) else rows
 
 
 def title(c: str = "text"):
