@@ -98,7 +98,7 @@ def merge_metadata(documents: DataFrame, patches: DataFrame) -> DataFrame:
     entries = patches.select("document_id", "at", F.explode("metadata").alias("key", "value"))
     last = latest(entries, ["document_id", "key"], "at").groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("patch"))
     kept = F.map_filter("metadata", lambda k, _: ~F.map_contains_key(F.coalesce("patch", F.create_map().cast("map<string,string>")), k))
-    return documents.join(last, "document_id", "left").select("document_id", F.map_sort(F.map_concat(kept, F.coalesce("patch", F.create_map().cast("map<string,string>")))).alias("metadata"))
+    return documents.join(last, "document_id", "left").select("document_id", F.map_concat(kept, F.coalesce("patch", F.create_map().cast("map<string,string>"))).alias("metadata"))
 
 
 def ready_problems(documents: DataFrame, sources: DataFrame, trees: DataFrame, chunks: DataFrame, embeddings: DataFrame, entries: DataFrame) -> DataFrame:
