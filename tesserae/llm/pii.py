@@ -12,7 +12,8 @@ digit or ``@``, and those that equal the local part of an address found there; i
 Tokens of base spans are observed. Loopy message passing (sum-product, parallel, damped, ``ROUNDS`` rounds over
 arrays) gives marginals; a token whose kind has at least ``SURE`` probability and which meets no base span is
 reported with that kind. A token without digits, ``@`` or such a key has no feature for any kind and stays none: its
-potentials are constant, so leaving it out changes no marginal.
+potentials are constant, so leaving it out changes no marginal. Only tokens that share a key with an observed one
+are reported: the field carries evidence along, shape alone never suffices.
 
 Weights are trained here by gradient ascent on the pseudo-likelihood of ``SAMPLE`` generated documents whose tokens
 are labelled; the bound is the sample's size, as no row of a table is read for it.
@@ -158,7 +159,8 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
             if j < len(spans) and spans[j][0] < m.end():
                 x, y, node.label = spans[j]
                 if y >= node.end and x <= node.start and node.label != 0:
-                    node.keys = keys(text[x:y])
+                    own = {k for k in node.keys if len(k) == TAIL and k.isdecimal()}  # a span may run on into a number beside it
+                    node.keys = sorted(own | set(keys(text[x:y])))
             out.append(node)
         before = token.lower().strip(".,;:!?()\"'")
     return out
@@ -169,8 +171,8 @@ def edges(found: list[Node], text: str) -> tuple[np.ndarray, np.ndarray]:
     chain = [(i, i + 1) for i in range(len(found) - 1) if not text[found[i].token_end : found[i + 1].token_start].strip()]
     skip, last, observed = [], {}, {}
     for i, node in enumerate(found):
+        skip += [(j, i) for j in sorted({x.get(k, i) for k in node.keys for x in (last, observed)} - {i})]
         for k in node.keys:
-            skip += [(j, i) for j in {last.get(k, i), observed.get(k, i)} - {i}]
             last[k] = i
             if node.label >= 0:
                 observed[k] = i
@@ -281,8 +283,8 @@ def weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.add.at(a, e[:, 1], one[e[:, 0]])
         around.append(a)
     unary, chained, skipped = np.zeros((len(FEATURES), LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
-    rate, decay = 2.0, 1e-3
-    for _ in range(400):
+    rate, decay = 4.0, 1e-3
+    for _ in range(800):
         score = x @ unary + around[0] @ chained + around[1] @ skipped
         p = np.exp(score - _logsum(score, 1)[:, None])
         gap = (one - p) / len(y)
@@ -300,15 +302,15 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     unary, chained, skipped = weights()
     chain, skip = edges(found, text)
-    if not len(skip):  # nothing is tied to a base span: shape alone never suffices
+    known = {k for n in found if n.label >= 0 for k in n.keys}
+    tied = np.array([not known.isdisjoint(n.keys) for n in found])
+    if not (tied & np.array([n.label < 0 for n in found])).any():  # shape alone never suffices
         return []
     score = _unary(found, unary)
     seen = np.array([n.label for n in found])
     score[seen >= 0] = -30.0
     score[np.flatnonzero(seen >= 0), seen[seen >= 0]] = 0.0
     p = marginals(score, chain, skip, chained, skipped)
-    tied = np.zeros(len(found), bool)
-    tied[skip.ravel()] = True
     best = p[:, :NONE].argmax(1)
     out = []
     for i in np.flatnonzero((seen < 0) & tied & (p[np.arange(len(found)), best] >= SURE)):  # a token without a label meets no base span
