@@ -313,3 +313,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: doc_id, n_shingles, component_id of all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5_number_lower(array_to_string(w[s : s + {K - 1}], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {K - 2}, least(len(w), 1) + 1))) AS s FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id != b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= {PERCENT} * (p.n + q.n - shared)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least_one AS (SELECT a AS doc_id, min(b) AS least FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_one.least, doc_id)) AS component_id FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_one USING (doc_id)
+"""

@@ -22,5 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
     "op4_license_scans": license_scan.SQL,
+    "op7_secret_scans": secret_scan.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }

@@ -173,3 +173,33 @@ def query(spark, sf_dir: str) -> DataFrame:
     base = F.col("__secrets.base")
     n = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(RULES))]  # noqa: B023
     return found.select("doc_id", *n, F.sha2(described(base), 256).alias("base_sha256"), described(F.col("__secrets.all")).alias("spans"))
+
+
+def _sql() -> str:
+    n = len(ALPHABET)
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+
+    def places(name: str, pattern: str) -> str:
+        """Matches as rows: doc_id, i, whole, start, stop."""
+        quoted = pattern.replace("'", "''")
+        return f"""{name}_cut AS (SELECT doc_id, t, regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS p FROM texts WHERE regexp_matches(t, '{quoted}')),
+{name}_rows AS (SELECT doc_id, t, unnest(m) AS whole, unnest(p[1 : len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM {name}_cut),
+{name} AS (SELECT doc_id, i, whole, (sum(len(gap) + len(whole)) OVER (PARTITION BY doc_id ORDER BY i) - len(whole))::BIGINT AS start, (sum(len(gap) + len(whole)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop FROM {name}_rows)"""
+
+    assign = ASSIGN.replace("'", "''")
+    joined = lambda rows: f"coalesce(string_agg(({kinds})[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind){rows}, '')"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{places("assign", ASSIGN)}, {places("access", RULES[1][1])}, {places("hexes", RULES[2][1])}, {places("runs", _RUN)},
+base AS (SELECT doc_id, start, 0 AS kind, stop FROM assign WHERE len(regexp_extract(whole, '{assign}', 1)) >= {RULES[0][3]} UNION ALL SELECT doc_id, start, 1, stop FROM access UNION ALL SELECT doc_id, start, 2, stop FROM hexes),
+weights AS (SELECT [{", ".join(map(str, ratios()))}] AS r),
+free AS (SELECT * FROM runs WHERE regexp_matches(whole, '[0-9]') AND regexp_matches(whole, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = runs.doc_id AND b.start < runs.stop AND runs.start < b.stop)),
+steps AS (SELECT doc_id, start, stop, whole, unnest(range(1, len(whole))) AS j FROM free),
+scored AS (SELECT doc_id, start, stop, sum(r[(instr('{ALPHABET}', whole[j]) - 1) * {n} + instr('{ALPHABET}', whole[j + 1])]) AS score FROM steps, weights GROUP BY ALL),
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, start, {len(RULES)}, stop FROM scored WHERE score >= {MARGIN}),
+told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {joined(f" FILTER (kind < {len(RULES)})")} AS base, {joined("")} AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+
+SQL = _sql()

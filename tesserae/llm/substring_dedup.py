@@ -162,3 +162,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     gone = F.aggregate("__dedup.removed", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda z, x: F.struct((z["n"] + x * z["s"]).alias("n"), (-z["s"]).alias("s")), lambda z: z["n"])
     return out.select("doc_id", "__dedup.n_words", gone.alias("n_removed"), F.sha2(F.encode("__dedup.kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w)),
+least AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+flags AS (SELECT doc_id, s FROM windows JOIN least USING (k) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM w),
+marked AS (SELECT words.doc_id, word, words.s, coalesce(max(flags.s IS NOT NULL) OVER (PARTITION BY words.doc_id ORDER BY words.s ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM words LEFT JOIN flags USING (doc_id, s)),
+found AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN found USING (doc_id)
+"""

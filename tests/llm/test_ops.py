@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import ann, byte_bpe, components, license_scan, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
-from tesserae.llm.queries import QUERIES
+from tesserae.llm.queries import QUERIES, SQL
 
 
 def counted(df):
@@ -30,6 +30,17 @@ def test_empty_tables(spark, empty_dir, name):
     assert df.count() == 0 and len(df.columns) >= 3
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    df, other = QUERIES[name](spark, sf_dir), con.sql(SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(other.columns) == columns
+    at = [other.columns.index(c) for c in columns]
+    assert counted(df.select(*columns)) == Counter(tuple(r[i] for i in at) for r in other.fetchall())
+
+
 def test_jaccard_join(spark, case_dir, cases):
     assert counted(ngram_join.query(spark, case_dir)) == brute.jaccard([r[:2] for r in cases])
 
