@@ -14,10 +14,13 @@ from tesserae.functions.vectors import SIMILARITIES
 BROADCAST_BYTES = 64 << 20
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of a side is small enough to broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the optimizer's estimate of the side is small enough."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -31,12 +34,20 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
     """Exact k nearest entries of each query: query_id, entry_id, score, rank.
 
     entries: entry_id, vector and filter columns that the caller has applied; queries: query_id, q_vector. Every query
-    meets every entry of its length: the query side is a stated set, streamed past the entries in a nested loop.
+    meets every entry of its length. A small query side is broadcast; beyond, entries are dealt into slices and each
+    slice gets the queries, so that no key gathers all rows.
     """
     if metric not in SIMILARITIES:
         raise ValueError(f"unknown metric: {metric}")
     score = F.round(SIMILARITIES[metric](F.col("vector"), F.col("q_vector")), digits)
-    pairs = entries.select("entry_id", "vector").join(maybe_broadcast(queries.select("query_id", "q_vector")), F.size("vector") == F.size("q_vector"))
+    own, asked = entries.select("entry_id", "vector"), queries.select("query_id", "q_vector")
+    fits = F.size("vector") == F.size("q_vector")
+    if is_small(asked):
+        pairs = own.join(F.broadcast(asked), fits)
+    else:
+        slices = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = own.withColumn("slice", F.pmod(F.xxhash64("entry_id"), F.lit(slices)).cast("int"))
+        pairs = dealt.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "slice").where(fits)
     scored = pairs.select("query_id", "entry_id", score.alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -41,6 +41,16 @@ def test_similarities(spark):
         retrieval.knn(spark.range(1), spark.range(1), "manhattan")
 
 
+def test_many_queries_meet_slices(spark, sf_dir, monkeypatch):
+    from tesserae.plans import retrieval as plans
+
+    rows = lambda: sorted(map(tuple, plans.knn("cosine")(spark, sf_dir).collect()))
+    hits = lambda: sorted(map(tuple, plans.keyword_search(spark, sf_dir).collect()))
+    before = rows(), hits()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", -1)
+    assert (rows(), hits()) == before
+
+
 def test_fusion(spark):
     schema = "query_id int, entry_id int, score double, rank int"
     s, w = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.5, 2), (2, 1, 0.7, 1)], schema), spark.createDataFrame([(1, 2, 1.0, 1)], schema)
