@@ -34,3 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns that an operator reads, under names of its own, so that extra columns never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in more])
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that ``staged`` has written; results that read them must have been written or collected before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tesserae")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
