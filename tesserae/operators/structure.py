@@ -7,8 +7,6 @@ most three levels below the root, so walks to the root are bounded joins.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,19 +152,26 @@ def statistics(nodes: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame) -> DataFrame:
-    """document_id, ord, problem, severity. nodes: document_id, ord, parent, sibling, reference, path."""
-    ids = nodes.select("document_id", F.col("ord").alias("parent"))
-    orphan = nodes.where("parent != 0").join(ids, ["document_id", "parent"], "left_anti").select("document_id", "ord", F.lit("orphan").alias("problem"), F.lit("error").alias("severity"))
-    cycle = nodes.where("parent >= ord").select("document_id", "ord", F.lit("cycle").alias("problem"), F.lit("error").alias("severity"))
-
-    def again(field: str, order: str) -> DataFrame:
-        copy = F.row_number().over(Window.partitionBy("document_id", field).orderBy(order))
-        return nodes.where(F.col(field) != "").withColumn("copy", copy).where("copy > 1").select("document_id", "ord", F.lit(f"duplicate_{field}").alias("problem"), F.lit("warning").alias("severity"))
-
-    lag = F.lag("sibling").over(Window.partitionBy("document_id", "parent").orderBy("ord"))
-    order = nodes.withColumn("previous", lag).where("previous >= sibling").select("document_id", "ord", F.lit("order").alias("problem"), F.lit("warning").alias("severity"))
-    copies = nodes.groupBy("document_id", "ord").count().where("count > 1").select("document_id", "ord", F.lit("duplicate_id").alias("problem"), F.lit("error").alias("severity"))
-    return reduce(DataFrame.unionByName, [orphan, cycle, again("reference", "ord"), again("path", "ord"), order, copies])
+    """document_id, ord, problem, severity. nodes: document_id, ord, parent, sibling, reference, path.
+
+    All but orphans are told by windows over one pass of the nodes.
+    """
+    doc = lambda *keys: Window.partitionBy("document_id", *keys).orderBy("ord")
+    copy = {c: F.row_number().over(doc(c)) for c in ("reference", "path")}
+    rows = nodes.withColumns({"n_reference": copy["reference"], "n_path": copy["path"], "n_id": F.row_number().over(doc("ord")), "previous": F.lag("sibling").over(doc("parent"))})
+    told = lambda test, problem, severity: F.when(test, F.struct(F.lit(problem).alias("problem"), F.lit(severity).alias("severity")))
+    found = F.array_compact(
+        F.array(
+            told(F.col("parent") >= F.col("ord"), "cycle", "error"),
+            told(F.col("n_id") == 2, "duplicate_id", "error"),
+            told((F.col("n_reference") > 1) & (F.col("reference") != ""), "duplicate_reference", "warning"),
+            told((F.col("n_path") > 1) & (F.col("path") != ""), "duplicate_path", "warning"),
+            told(F.col("previous") >= F.col("sibling"), "order", "warning"),
+        )
+    )
+    known = nodes.select("document_id", F.col("ord").alias("parent"))
+    orphans = nodes.where("parent != 0").join(known, ["document_id", "parent"], "left_anti").select("document_id", "ord", F.lit("orphan").alias("problem"), F.lit("error").alias("severity"))
+    return rows.select("document_id", "ord", F.explode(found).alias("p")).select("document_id", "ord", "p.*").unionByName(orphans)
 
 
 def node_by_path(nodes: DataFrame, path: str) -> DataFrame:
