@@ -120,22 +120,31 @@ def _removed(k: int, names: list[str], text_col: str):
     return run
 
 
+def _apart(rows: DataFrame, aggregate: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with an aggregate by the same keys, which may be hot.
+
+    A further key, made of the first, has the aggregate dealt out anew for the join: both of its sides are then plain
+    exchanges, whose large partitions Spark can split.
+    """
+    more = F.shiftright(keys[0], 48)
+    return rows.withColumn("__key", more).join(aggregate.withColumn("__key", more), [*keys, "__key"]).drop("__key")
+
+
 def repeated_windows(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that repeats something: doc_id, text_hash, whole (a copy of an earlier text), places."""
     rows = texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     ids = rows.select("doc_id", "text_hash", F.xxhash64(F.lit(1), "text").alias("other_hash"), F.length("text").alias("n_chars"))
     same = ["text_hash", "other_hash", "n_chars"]
-    # Aggregates that hot keys join with are tables of their own: both sides are then plain exchanges, whose large partitions Spark can split.
-    first = staged(ids.groupBy(*same).agg(F.min("doc_id").alias("first_id")), "first")
-    copies = ids.join(first, same).where("doc_id > first_id").select("doc_id", "text_hash", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("places"))
+    first = ids.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    copies = _apart(ids, first, same).where("doc_id > first_id").select("doc_id", "text_hash", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("places"))
 
     anchors = rows.select("text", "text_hash").mapInArrow(_anchor_rows(k), "anchor long, text_hash long")
-    shared = staged(anchors.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("anchor"), "shared")
-    by_text = anchors.join(shared, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
+    shared = anchors.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("anchor")
+    by_text = _apart(anchors, shared, ["anchor"]).groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
     wanted = first.groupBy("text_hash").agg(F.min("first_id").alias("doc_id")).join(by_text, "text_hash")
     found = staged(rows.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_window_rows(k), "window long, half int, doc_id long, place long"), "windows")
-    least = staged(found.groupBy("window", "half").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "half", "least"), "least")
-    later = found.join(least, ["window", "half"]).where("doc_id > least").groupBy("doc_id", (F.col("place").bitwiseAND(F.lit(_TAG << 32))).alias("tag")).agg(F.collect_list("place").alias("places"))
+    least = found.groupBy("window", "half").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "half", "least")
+    later = _apart(found, least, ["window", "half"]).where("doc_id > least").groupBy("doc_id", (F.col("place").bitwiseAND(F.lit(_TAG << 32))).alias("tag")).agg(F.collect_list("place").alias("places"))
     # A tag and an id lead back to one text; collect_list holds at most the windows of one document.
     owners = ids.select("doc_id", "text_hash", F.shiftleft(F.col("text_hash").bitwiseAND(F.lit(_TAG)), 32).alias("tag")).distinct()
     places = later.join(owners, ["doc_id", "tag"]).select("doc_id", "text_hash", F.lit(False).alias("whole"), "places")
