@@ -43,7 +43,7 @@ _VAULTS = "vaults AS (SELECT vault_id, n, CASE WHEN n % 5 = 4 THEN 'ARCHIVED' EL
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are members of the vault of their key modulo 20, with a role by segment."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 300")
+    c = table(spark, sf_dir, "customer")
     role = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "OWNER").when(F.col("c_mktsegment") == "BUILDING", "MANAGER").when(F.col("c_mktsegment") == "FURNITURE", "CONTRIBUTOR").otherwise("VIEWER")
     return c.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("vault_id"), role.alias("role"))
 
