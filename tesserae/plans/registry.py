@@ -62,8 +62,8 @@ _READ = _SCOPES.format(roles=repr(tuple(registry.ROLE_PERMISSIONS)))
 
 
 def scope_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 2000")
-    user, k = F.col("o_custkey") % 300 + 1, F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    user, k = F.col("o_custkey") + 1, F.col("o_orderkey")
     requests = o.select(F.col("o_orderkey").alias("request_id"), user.alias("user_id"), F.when(k % 3 != 0, F.concat(F.lit("src"), (F.when(k % 2 == 0, user % 20).otherwise(k % 22)).cast("string"))).alias("vault_id"), F.when(k % 4 != 0, k % 1200).alias("document_id"))
     scopes = registry.authorised_vaults(vaults(spark, sf_dir), members(spark, sf_dir), "READ")
     return registry.scope_status(requests, scopes, documents(spark, sf_dir))

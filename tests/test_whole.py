@@ -9,7 +9,7 @@ import pytest
 from tesserae.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
-LIMITS = (" WHERE c_custkey <= 300",)
+LIMITS = (" WHERE o_orderkey <= 2000", " WHERE c_custkey <= 300", " WHERE l_orderkey <= 5000", " % 300")
 
 
 def both(spark, name):
@@ -25,7 +25,12 @@ def both(spark, name):
     return sorted(repr(tuple(r)) for r in df.collect()), sorted(repr(tuple(r[i] for i in at)) for r in other.fetchall())
 
 
-@pytest.mark.parametrize("name", ["authorized_scope"])
+@pytest.mark.parametrize("name", ["scope_status"])
 def test_all_rows(spark, name):
     mine, theirs = both(spark, name)
     assert mine == theirs
+
+
+def test_every_order_is_a_request(spark):
+    rows = catalogue.queries()["scope_status"](spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
