@@ -25,7 +25,7 @@ def both(spark, name):
     return sorted(repr(tuple(r)) for r in df.collect()), sorted(repr(tuple(r[i] for i in at)) for r in other.fetchall())
 
 
-@pytest.mark.parametrize("name", ["scope_status"])
+@pytest.mark.parametrize("name", ["authorized_scope", "scope_status", "state_transitions", "current_states", "first_claims", "job_list"])
 def test_all_rows(spark, name):
     mine, theirs = both(spark, name)
     assert mine == theirs
@@ -34,3 +34,8 @@ def test_all_rows(spark, name):
 def test_every_order_is_a_request(spark):
     rows = catalogue.queries()["scope_status"](spark, SF)
     assert rows.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_every_lineitem_is_an_event(spark):
+    rows = catalogue.queries()["state_transitions"](spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
