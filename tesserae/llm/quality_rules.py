@@ -30,7 +30,9 @@ from tesserae.llm._shared import staged
 from tesserae.llm._text import Words, mix, pieces
 
 P = 4
-ALPHA, STEPS, BINS, LEAST = 0.75, 4, 1024, 200
+ALPHA, STEPS, BINS = 0.75, 4, 1024
+#: Documents that an estimate needs: five for each coordinate.
+LEAST = 5 * P
 #: Least standard deviation of each coordinate: log of the mean word length; roots of the rates of symbols, repeated lines, repeated words.
 FLOOR = (0.08, 0.08, 0.16, 0.16)
 #: A clean document's chance to lie beyond the cut, were the vectors normal.

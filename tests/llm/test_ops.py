@@ -160,6 +160,18 @@ def test_quality_keeps_clean(spark):
     assert rate[1] > 0.995 and rate[0] < 0.1
 
 
+def test_quality_small_source(spark):
+    """A source of 40 documents with longer words than its language's others has an estimate of its own, at the production LEAST."""
+    draw = random.Random(5)
+
+    def text(mean):
+        return " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=max(1, mean + draw.choice((-1, 0, 1))))) for _ in range(80))
+
+    rows = [(i, text(4), "en", "large") for i in range(250)] + [(1000 + i, text(9), "en", "small") for i in range(38)] + [(2000 + i, text(4), "en", "small") for i in range(2)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "__quality.kept").collect()}
+    assert {d for d, kept in got.items() if not kept} == {2000, 2001}
+
+
 def test_personal_data(spark, case_dir, cases):
     got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.query(spark, case_dir).collect())
     want = Counter()
