@@ -7,13 +7,14 @@ A set holds the distinct 5-word shingles of a text (A-Z lower-cased); two sets l
 * Tokens have one order for all documents: those in crowded buckets of a fixed-size count sketch of the
   whole corpus come last. Only a set's first tokens are indexed (a prefix filter), with their positions and
   LEAST extra ones, so that linked sets share at least ``least_shared`` tokens there.
-* Index lists are cut into blocks by position and size: in short lists a pair is counted only if position
-  and size still allow a link, and verified only if counted often enough.
+* Index lists aren't cut into blocks by position or size: in lists of up to SHORT sets a pair is counted only if
+  position and size still allow a link, and verified only if counted often enough.
 * The members of a long list are never paired as rows. All pairs of such lists lie in the group of the list's
-  leader; groups are cut into blocks of bounded size, and each pair of blocks is worked on as arrays.
-* In a block, answers derive from a pivot's: sets that link to it are together already and aren't compared
-  with each other, and sets whose distances to it differ by more than the allowed distance can't link, as
-  Jaccard distance is a metric. Only a spanning forest of the links leaves the block.
+  leader; groups are cut by hash into blocks of bounded size, and each pair of blocks is worked on as arrays.
+* In a block, the first set is the pivot: sets that link to it are together already and aren't compared with
+  each other. The others are compared with all; the overlaps of these are all computed, and those of pairs that
+  size or the distances to the pivot rule out (Jaccard distance is a metric) are then ignored. Only a
+  spanning forest of the links leaves the block.
 
 Defined cases: an empty or null text has an empty set, links with nothing, and is its own component; a text
 with fewer than 5 words has its whole sequence as one shingle; a null id takes no part and has no component.
