@@ -7,17 +7,20 @@ A set holds the distinct 5-word shingles of a text (A-Z lower-cased); two sets l
 * Tokens have one order for all documents: those in crowded buckets of a fixed-size count sketch of the
   whole corpus come last. Only a set's first tokens are indexed (a prefix filter), with their positions and
   LEAST extra ones, so that linked sets share at least ``least_shared`` tokens there.
-* Index lists aren't cut into blocks by position or size: in lists of up to SHORT sets a pair is counted only if
-  position and size still allow a link, and verified only if counted often enough.
-* The members of a long list are never paired as rows. All pairs of such lists lie in the group of the list's
-  leader; groups are cut by hash into blocks of bounded size, and each pair of blocks is worked on as arrays.
-* In a block, the first set is the pivot: sets that link to it are together already and aren't compared with
-  each other. The others are compared with all; the overlaps of these are all computed, and those of pairs that
-  size or the distances to the pivot rule out (Jaccard distance is a metric) are then ignored. Only a
-  spanning forest of the links leaves the block.
+* An index list is ordered by size, then position, and cut into blocks where the step to the next entry is too wide
+  for a link in size or in position: sets of different blocks never meet. In a block of up to SHORT sets a pair is
+  counted if position and size still allow a link, and compared if counted often enough.
+* In a longer block all sets are first compared with one of them, the lead. Sets that link to it are together
+  and aren't compared with each other. Jaccard distance is a metric, so sets whose distances to the lead lie two
+  bands of LINK apart can't link: what is left to compare are sets of one band, or of neighbouring bands, that
+  aren't known to be together yet. They meet in groups of bounded size.
+* There a set's overlaps with all others are derived from those of the most similar set that has been worked on:
+  only the index lists of the tokens in which the two differ are read. A set all of whose possible partners are
+  together with it already is passed over. Only a spanning forest of the links leaves a group.
 
 Defined cases: an empty or null text has an empty set, links with nothing, and is its own component; a text
-with fewer than 5 words has its whole sequence as one shingle; a null id takes no part and has no component.
+with fewer than 5 words has its whole sequence as one shingle; a null id takes no part and has no component;
+rows that repeat an id take part each, under that id.
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ K, PERCENT = 5, 80
 #: One more indexed token for so many members.
 EXTRA = 16
 SKETCH_BITS = 18
-#: Lists of more sets than this are worked on by groups, not by pairs.
+#: Blocks of an index list with more sets than this are worked on by groups, not by pairs.
 SHORT = 8
+#: Largest Jaccard distance of linked sets; the bands of distances to a lead are as wide.
+LINK = 1 - PERCENT / 100
+#: Classes that a task remembers as indexed, so as not to index them again.
+SEEN = 200_000
 #: A block of a group holds about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 
@@ -115,12 +122,14 @@ def _postings(level: np.ndarray):
             order = np.lexsort((h, level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
             h, at = h[order], np.arange(len(h)) - cut[doc]
             fresh = np.zeros(len(n), bool)
-            for d, x in enumerate(ids.tolist()):  # a task indexes a class once
+            for d, x in enumerate(ids.tolist()):  # indexed twice at worst, which the lists take as once
                 if x not in seen:
                     seen.add(x)
                     fresh[d] = True
+            if len(seen) > SEEN:
+                seen.clear()
             ok = (at < indexed(n)[doc]) & fresh[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[ok])), pa.array(signed(ids[doc[ok]])), pa.array((n[doc[ok]] << 32) | at[ok])], names=["token", "set_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[ok])), pa.array((n[doc[ok]] << 32) | at[ok]), pa.array(signed(ids[doc[ok]]))], names=["token", "place", "set_id"])
 
     return run
 
@@ -131,17 +140,36 @@ def possible(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.
     return most >= needed(size_a, size_b)
 
 
+def blocks_of(token: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the postings and starts of the blocks of their lists; postings are in order of (token, place, ids).
+
+    No link crosses from a block to another. A list is cut where the size grows by more than 100 / PERCENT; each of
+    these runs is ordered by position and cut where that grows by more than 1 - PERCENT / 100 of its largest size,
+    as sets of sizes a <= b that share a token at positions p and q have a union of at least b + |p - q| - (b - a).
+    """
+    size = place >> 32
+    run = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (size[1:] * PERCENT > 100 * size[:-1])])
+    of = np.repeat(np.arange(len(run)), np.diff(np.r_[run, len(token)]))
+    largest = np.maximum.reduceat(size, run)[of]
+    at = place & 0xFFFFFFFF
+    order = np.lexsort((ids, at, of))
+    at, of = at[order], of[order]
+    start = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (100 * (at[1:] - at[:-1]) > (100 - PERCENT) * largest[1:])])
+    return order, start
+
+
 def _pairs_and_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings in order of (token, set_id): pairs of short lists, members of long ones.
+    """From postings in order of (token, place, set_id): pairs of short blocks, members of long ones.
 
     a, b, least > 0: a pair that shares a token, and how many it needs; least = 0: set b is in the group of set a.
     """
 
-    def done(token, ids, place):
+    def done(token, place, ids):
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-        token, ids, place = token[new], ids[new], place[new]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])  # a set has one place in a list
+        token, place, ids = token[new], place[new], ids[new]
+        order, start = blocks_of(token, place, ids)
+        place, ids = place[order], ids[order]
         length = np.diff(np.r_[start, len(token)])
         a, b, least = [], [], []
         for k in range(2, SHORT + 1):
@@ -151,23 +179,25 @@ def _pairs_and_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     x, y = own + i, own + j
                     nx, ny = place[x] >> 32, place[y] >> 32
                     ok = possible(nx, place[x] & 0xFFFFFFFF, ny, place[y] & 0xFFFFFFFF)
-                    a.append(ids[x[ok]])
-                    b.append(ids[y[ok]])
+                    p, q = ids[x[ok]], ids[y[ok]]
+                    a.append(np.minimum(p, q))
+                    b.append(np.maximum(p, q))
                     least.append(least_shared(np.minimum(nx, ny))[ok])
         for s, n in zip(start[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
-            a.append(np.full(n, ids[s]))
-            b.append(ids[s : s + n])
+            own = ids[s : s + n]
+            a.append(np.full(n, own.min()))
+            b.append(own)
             least.append(np.zeros(n, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(flat(x, np.int64)) for x in (a, b, least)], names=["a", "b", "least"])
 
     held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
     leader = None  # (token, set) of a list so long that it is passed on in parts
     for batch in batches:
-        rows = [np.concatenate([x, batch.column(n).to_numpy()]) for x, n in zip(held, ("token", "set_id", "place"), strict=True)]
+        rows = [np.concatenate([x, batch.column(n).to_numpy()]) for x, n in zip(held, ("token", "place", "set_id"), strict=True)]
         if leader is not None:
             same = int(np.searchsorted(rows[0], leader[0], "right"))
             if same:
-                ids = np.unique(rows[1][:same])
+                ids = np.unique(rows[2][:same])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), leader[1])), pa.array(ids), pa.array(np.zeros(len(ids), np.int64))], names=["a", "b", "least"])
             rows = [x[same:] for x in rows]
             if not len(rows[0]):
@@ -175,9 +205,12 @@ def _pairs_and_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 continue
             leader = None
         cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-        if len(rows[0]) - cut > 50_000 and len(np.unique(rows[1][cut:])) > SHORT:
-            leader = (rows[0][-1], rows[1][cut])
-            yield done(*rows)
+        if len(rows[0]) - cut > 50_000 and len(np.unique(rows[2][cut:])) > SHORT:
+            if cut:
+                yield done(*[x[:cut] for x in rows])
+            ids = np.unique(rows[2][cut:])
+            leader = (rows[0][-1], ids[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), leader[1])), pa.array(ids), pa.array(np.zeros(len(ids), np.int64))], names=["a", "b", "least"])
             held = [x[:0] for x in rows]
         else:
             if cut:
@@ -187,98 +220,189 @@ def _pairs_and_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield done(*held)
 
 
-def linked_parts(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Component (its first set's index) of each set among the links of these sets. values: their distinct members."""
+def _sets_of(texts_: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members and offsets of the sets with these ids, and the rows that have them, one for each id.
+
+    Another text under the same document id has another identity; repeated rows count once.
+    """
+    values, cut = shingle_sets(texts_)
+    own = np.flatnonzero(signed(identities(values, cut)) == ids)
+    own = own[np.unique(ids[own], return_index=True)[1]]
+    return flat([values[cut[x] : cut[x + 1]] for x in own], np.uint64), cuts(np.diff(cut)[own]), own
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares a lead with its members: the band of each one's distance (0: linked). Of pairs only links are given."""
+    for batch in batches:
+        lead, member, band, long = [], [], [], []
+        leads, column = batch.column("lead").to_numpy(), batch.column("sets")
+        for k in range(batch.num_rows):
+            rows = column[k].values
+            ids = rows.field("member").to_numpy()
+            values, cut, own = _sets_of(rows.field("text"), ids)
+            ids, wide, n = ids[own], rows.field("long").to_numpy(zero_copy_only=False)[own], np.diff(cut)
+            at = np.flatnonzero(ids == leads[k])
+            if len(at) != 1 or len(ids) < 2:
+                continue
+            first = values[cut[at[0]] : cut[at[0] + 1]]
+            place = np.minimum(np.searchsorted(first, values), len(first) - 1)
+            both = np.add.reduceat((first[place] == values).astype(np.int64), cut[:-1])
+            link = both >= needed(n, len(first))
+            step = np.where(link, 0, np.maximum(1, np.floor((1 - both / (n + len(first) - both)) / LINK - 1e-9).astype(np.int64)))
+            ok = (link | wide) & (ids != leads[k])
+            lead.append(np.full(int(ok.sum()), leads[k]))
+            member.append(ids[ok])
+            band.append(step[ok])
+            long.append(wide[ok])
+        yield pa.RecordBatch.from_arrays([pa.array(flat(x, np.int64)) for x in (lead, member, band)] + [pa.array(flat(long, bool))], names=["lead", "member", "band", "long"])
+
+
+def linked_parts(values: np.ndarray, cut: np.ndarray, known: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Component of each set among the links of these sets, and how many index entries were read for it.
+
+    values: the sets' distinct members; known: components that are known; side: where given, only sets of different
+    sides are compared. A component is named by the least of its first sets' known names (or indexes).
+    """
     m, n = len(cut) - 1, np.diff(cut)
     owner = np.repeat(np.arange(m), n)
     _, where, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times[where] > 1
-    column = np.cumsum(times > 1)[where][shared] - 1
-    row = owner[shared]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-
-    def overlap(left: np.ndarray) -> np.ndarray:
-        out, width, i = np.zeros((int(left.sum()), m), np.float32), 2048, 0
-        while i < len(column):
-            j = int(np.searchsorted(column, column[i] + width))
-            x = np.zeros((m, width), np.float32)
-            x[row[i:j], column[i:j] - column[i]] = 1
-            out += x[left] @ x.T
-            i = j
-        return out
-
-    part = np.arange(m)
-    pivot = np.zeros(m, bool)
-    pivot[0] = True
-    both = overlap(pivot)[0].astype(np.int64)
-    far = 1 - both / np.maximum(n + n[0] - both, 1)
-    near = both >= np.maximum(needed(n, n[0]), 1)
-    part[near] = 0
-    rest = ~near
-    rest[0] = False
-    if rest.any():
-        maybe = (np.abs(far[rest][:, None] - far[None, :]) <= 1 - PERCENT / 100 + 1e-9) & (np.minimum(n[rest][:, None], n) * 100 >= PERCENT * np.maximum(n[rest][:, None], n))
-        maybe[:, 0] = False
-        if maybe.any():
-            link = maybe & (overlap(rest) >= np.maximum(needed(n[rest][:, None], n[None, :]), 1))
-            at = np.flatnonzero(rest)
-            full = np.zeros((m, m), bool)
-            full[at] = link
-            full |= full.T
-            np.fill_diagonal(full, True)
-            while True:
-                low = np.where(full, part[None, :], m).min(1)
-                low = np.minimum.reduceat(low[np.argsort(part, kind="stable")], np.searchsorted(np.sort(part), np.unique(part)))[np.searchsorted(np.unique(part), part)]
-                if (low == part).all():
-                    break
-                part = low
-    return part
-
-
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = cuts(times)
+    lists = owner[np.argsort(where, kind="stable")]  # index lists, one after another
+    part = np.arange(m) if known is None else known.copy()
+    size_ok = 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+    open_ = np.ones((m, m), bool) if side is None else side[:, None] != side[None, :]
+    open_ &= size_ok
+    np.fill_diagonal(open_, False)
+    answers, computed = np.zeros((m, m), np.int32), np.zeros(m, bool)
+    read = 0
+
+    def entries(tokens: np.ndarray) -> np.ndarray:
+        count = times[tokens]
+        total = int(count.sum())
+        return lists[np.repeat(at[tokens], count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
+
+    for s in range(m):
+        left = open_[s] & (part != part[s]) & ~computed
+        if computed.any() and left.any():  # distances to the sets worked on rule out more
+            far = 1 - answers[computed] / (n[computed][:, None] + n[None, :] - answers[computed])
+            left &= (np.abs(far - far[:, s : s + 1]) <= LINK + 1e-9).all(0)
+        if not left.any():
+            continue
+        own = where[cut[s] : cut[s + 1]]
+        row, best = None, -1
+        if computed.any():
+            gap = np.where(computed, n + n[s] - 2 * answers[:, s], np.iinfo(np.int64).max)
+            best = int(gap.argmin())
+            if gap[best] < n[s]:
+                other = where[cut[best] : cut[best + 1]]
+                more, less = entries(np.setdiff1d(own, other, assume_unique=True)), entries(np.setdiff1d(other, own, assume_unique=True))
+                read += len(more) + len(less)
+                row = answers[best] + np.bincount(more, minlength=m) - np.bincount(less, minlength=m)
+        if row is None:
+            all_ = entries(own)
+            read += len(all_)
+            row = np.bincount(all_, minlength=m)
+        answers[s], computed[s] = row, True
+        near = np.flatnonzero(left & (row >= needed(n[s], n)))
+        if len(near):
+            together = np.unique(np.r_[part[near], part[s]])
+            part[np.isin(part, together)] = together[0]
+    return part, read
+
+
+def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the known components of the sets of a group."""
     for batch in batches:
         a, b = [], []
         column = batch.column("sets")
         for k in range(batch.num_rows):
-            ids = column[k].values.field("member").to_numpy()
-            values, cut = shingle_sets(column[k].values.field("text"))
-            # Another text under the same id has another identity; repeated rows count once.
-            own = np.flatnonzero(signed(identities(values, cut)) == ids)
-            own = own[np.unique(ids[own], return_index=True)[1]]
+            rows = column[k].values
+            values, cut, own = _sets_of(rows.field("text"), rows.field("member").to_numpy())
             if len(own) < 2:
                 continue
-            values, n, ids = flat([values[cut[x] : cut[x + 1]] for x in own], np.uint64), np.diff(cut)[own], ids[own]
-            part = linked_parts(values, cuts(n))
-            ok = part != np.arange(len(ids))
-            a.append(ids[ok])
-            b.append(ids[part[ok]])
+            root, side = rows.field("root").to_numpy()[own], rows.field("side").to_numpy()[own]
+            part, _ = linked_parts(values, cut, root, side if (side >= 0).all() else None)
+            ok = part != root
+            a.append(root[ok])
+            b.append(part[ok])
         yield pa.RecordBatch.from_arrays([pa.array(flat(a, np.int64)), pa.array(flat(b, np.int64))], names=["a", "b"])
 
 
-def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """A spanning forest (a, b: set ids) of the links between different sets.
+def _blocks(sized: DataFrame, *keys: str) -> DataFrame:
+    """Blocks of bounded size that the members of each key are cut into. sized: keys, n."""
+    return sized.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets"))
 
-    rows: doc_id, text; classes: set_id, n, first_id.
-    """
+
+def _hashed(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("member"), blocks).cast("int")
+
+
+def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """lead, member, long, n, doc_id: the sets to be compared with each lead (itself included); long: and with each other."""
     level = crowded(rows)
-    postings = rows.select("text").mapInArrow(_postings(level), "token long, set_id long, place long").repartition("token").sortWithinPartitions("token", "set_id")
+    postings = rows.select("text").mapInArrow(_postings(level), "token long, place long, set_id long").repartition("token").sortWithinPartitions("token", "place", "set_id")
     found = staged(postings.mapInArrow(_pairs_and_groups, "a long, b long, least long").groupBy("a", "b", "least").agg(F.count("*").alias("n")), "candidates")
     pairs = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-    # A set shares with another at most its tokens in long lists and those it shares in short ones; without enough of them it leaves the groups.
+    # A set shares with another at most its tokens in long blocks and those it shares in short ones; without enough of them it leaves the groups.
     long = found.where("least = 0").select(F.col("a").alias("lead"), F.col("b").alias("member"), "n")
     short = pairs.select(F.explode(F.array("a", "b")).alias("member"), "n").groupBy("member").agg(F.max("n").alias("short"))
     most = long.groupBy("member").agg(F.sum("n").alias("long")).join(short, "member", "left").select("member", (F.col("long") + F.coalesce("short", F.lit(0))).alias("most"))
     smallest = F.ceil(F.col("n") * PERCENT / 100)
     ample = most.join(classes.select(F.col("set_id").alias("member"), "n"), "member").where(F.col("most") >= 1 + F.floor(smallest / EXTRA)).select("member")
-    grouped = pairs.where("n >= least").select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("member")).unionByName(long.select("lead", "member").join(ample, "member").select("lead", "member")).distinct()
-    grouped = staged(grouped.join(classes.select(F.col("set_id").alias("member"), "n", "first_id"), "member"), "groups")
-    sizes = staged(grouped.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets")).where("sets > 1"), "blocks")
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    placed = grouped.join(sizes, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member", F.col("first_id").alias("doc_id"))
-    blocks = rows.join(placed, "doc_id").groupBy("lead", "i", "j").agg(F.collect_list(F.struct("member", "text")).alias("sets")).where(F.size("sets") > 1)
-    return blocks.select("sets").mapInArrow(_block_links, "a long, b long")
+    # The lead's own row comes with its list; a lead that isn't ample itself is still compared with.
+    kept = long.select("lead", "member").join(ample, "member").select("lead", "member", F.lit(True).alias("long"))
+    leads = kept.select("lead").distinct().select("lead", F.col("lead").alias("member"), F.lit(True).alias("long"))
+    close = pairs.where("n >= least").select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("member"), F.lit(False).alias("long"))
+    every = kept.unionByName(leads).unionByName(close).groupBy("lead", "member").agg(F.max("long").alias("long"))
+    return staged(every.join(classes.select(F.col("set_id").alias("member"), "n", F.col("first_id").alias("doc_id")), "member"), "groups")
+
+
+def stars(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """lead, member, band, long of the members of each lead; of pairs only the linked ones (band 0)."""
+    sizes = staged(_blocks(grouped, "lead").where("sets > 1"), "blocks")
+    placed = grouped.join(sizes, "lead").withColumn("block", F.explode(F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_hashed(F.col("blocks"))))))
+    blocks = rows.join(placed.select("lead", "block", "member", "long", "doc_id"), "doc_id").groupBy("lead", "block").agg(F.collect_list(F.struct("member", "long", "text")).alias("sets")).where(F.size("sets") > 1)
+    return staged(blocks.select("lead", "sets").mapInArrow(_stars, "lead long, member long, band long, long boolean"), "stars")
+
+
+def rest(rows: DataFrame, grouped: DataFrame, starred: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links (a, b: roots) that the leads don't show. None: none can be left."""
+    open_ = starred.where("long").select("lead", "member", "band")
+    open_ = open_.unionByName(open_.select("lead").distinct().select("lead", F.col("lead").alias("member"), F.lit(0).cast("long").alias("band")))
+    open_ = open_.join(roots.select(F.col("a").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    some = open_.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("band").alias("top")).where("top > 0 and x != y").select("lead")
+    open_ = staged(open_.join(some, "lead").join(grouped.select("lead", "member", "n", "doc_id"), ["lead", "member"]), "open")
+    if not open_.limit(1).count():
+        return None
+    sizes = _blocks(open_, "lead", "band").groupBy("lead").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    each = open_.join(sizes, "lead").withColumn("own", _hashed(F.element_at("blocks", F.col("band"))))
+    near = []
+    for step in (-1, 0, 1):
+        low = F.least(F.col("band"), F.col("band") + step)
+        count = F.element_at("blocks", F.col("band") + step)
+        others = F.when((low < 0) | F.lit(step == 0) & (F.col("band") == 0) | count.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), count - 1))
+        own, other = F.col("own"), F.col("x")
+        i, j = {-1: (other, own), 0: (F.least(own, other), F.greatest(own, other)), 1: (own, other)}[step]
+        side = {-1: F.lit(1), 0: F.when(own == other, -1).otherwise(F.when(own < other, 0).otherwise(1)), 1: F.lit(0)}[step]
+        key = F.struct(low.alias("low"), F.greatest(F.col("band"), F.col("band") + step).alias("high"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+        near.append(each.select("lead", "member", "root", "doc_id", "own", "band", F.explode(others).alias("x")).select("lead", "member", "root", "doc_id", key.alias("key")))
+    placed = near[0].unionByName(near[1]).unionByName(near[2]).select("lead", "key.low", "key.high", "key.i", "key.j", "key.side", "member", "root", "doc_id")
+    met = rows.join(placed, "doc_id").groupBy("lead", "low", "high", "i", "j").agg(F.collect_list(F.struct("member", "root", "side", "text")).alias("sets")).where(F.size("sets") > 1)
+    return met.select("sets").mapInArrow(_group_links, "a long, b long")
+
+
+def roots_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, root: the component of each set that links to another but of its root. rows: doc_id, text; classes: set_id, n, first_id."""
+    grouped = groups(rows, classes)
+    starred = stars(rows, grouped)
+    first = components(starred.where("band = 0").select(F.col("lead").alias("a"), F.col("member").alias("b")))
+    left = rest(rows, grouped, starred, first)
+    if left is None:
+        return first
+    second = components(left).select(F.col("a").alias("x"), F.col("root").alias("y"))
+    moved = first.join(second, F.col("root") == F.col("x"), "left").select("a", F.coalesce("y", "root").alias("root"))
+    alone = second.select(F.col("x").alias("a"), F.col("y").alias("root"))
+    return moved.unionByName(alone.join(first.select("a"), "a", "left_anti"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +411,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = staged(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_members, "doc_id long, text_hash long, n long, set_id long"), "members")
     rows = rows.where("doc_id is not null")
     classes = staged(members.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(rows, classes)).withColumnRenamed("a", "set_id")
+    roots = roots_of(rows, classes).withColumnRenamed("a", "set_id")
     rooted = classes.join(roots, "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("class_id"))
     least = staged(rooted.groupBy("class_id").agg(F.min("first_id").alias("component_id")), "least")
     named = staged(rooted.join(least, "class_id").select("set_id", "class_id", "component_id"), "named")
@@ -302,13 +426,19 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows without an id stay.
     """
-    found = join(docs, id_col, text_col).where("doc_id is not null and n_shingles > 0")
+    every = staged(join(docs, id_col, text_col).where("doc_id is not null"), "judged")
+    found = every.where("n_shingles > 0")
     first = found.where("doc_id = component_id").groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
     second = found.where("doc_id = component_id").join(first.withColumnRenamed("text_hash", "kept_hash"), "class_id").where("text_hash != kept_hash")
-    gone = found.where("doc_id != component_id").select("doc_id", "text_hash").unionByName(second.select("doc_id", "text_hash"))
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    gone = staged(found.where("doc_id != component_id").select(*key).unionByName(second.select(*key)).distinct(), "gone")
+    again = staged(every.groupBy(*key).count().where("count > 1").select("__id", "__hash"), "again")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    kept = keyed.where("__id is not null").join(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), ["__id", "__hash"], "left_anti").dropDuplicates(["__id", "__hash"])
-    return kept.unionByName(keyed.where("__id is null")).select(*docs.columns)
+    # Texts are shuffled for deduplication only where a row is repeated.
+    named = keyed.where("__id is not null").join(gone, ["__id", "__hash"], "left_anti")
+    once = named.join(again, ["__id", "__hash"], "left_anti")
+    repeated = named.join(again, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return once.unionByName(repeated).unionByName(keyed.where("__id is null")).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

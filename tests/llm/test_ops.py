@@ -64,7 +64,7 @@ def test_linked_parts():
     for _ in range(30):
         pool = np.arange(40, dtype=np.uint64)
         sets = [np.sort(draw.choice(pool, draw.integers(25, 40), replace=False)) for _ in range(30)]
-        part = ngram_join.linked_parts(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+        part, _ = ngram_join.linked_parts(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
         want = list(range(30))
         for _ in range(30):
             for i in range(30):
@@ -75,6 +75,63 @@ def test_linked_parts():
         assert part.tolist() == want
 
 
+def test_linked_parts_of_two_sides():
+    """Known components and sides: only links between the sides count."""
+    draw = np.random.default_rng(1)
+    for _ in range(30):
+        sets = [np.sort(draw.choice(np.arange(34, dtype=np.uint64), draw.integers(25, 34), replace=False)) for _ in range(24)]
+        side, known = draw.integers(0, 2, 24), np.sort(draw.integers(0, 12, 24)) * 10
+        part, _ = ngram_join.linked_parts(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])], known, side)
+        want = known.copy()
+        for _ in range(24):
+            for i in range(24):
+                for j in range(24):
+                    both = len(set(sets[i]) & set(sets[j]))
+                    if side[i] != side[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                        want[want == max(want[i], want[j])] = min(want[i], want[j])
+        assert part.tolist() == want.tolist()
+
+
+def test_answers_are_derived():
+    """What is read of the index, for near copies and for sets just below a link, against one scan of the index for each set."""
+    draw = np.random.default_rng(2)
+    base = np.arange(400, dtype=np.uint64)
+    for edits, share in ((8, 0.01), (60, 0.7)):
+        sets = [np.unique(np.r_[draw.choice(base, 400 - edits, replace=False), 1000 + 1000 * np.uint64(i) + np.arange(edits, dtype=np.uint64)]) for i in range(300)]
+        _, times = np.unique(np.concatenate(sets), return_counts=True)
+        _, read = ngram_join.linked_parts(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+        assert read < share * (times.astype(np.int64) ** 2).sum()
+
+
+def test_blocks_of_lists_lose_no_pair():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        token, size = np.sort(draw.integers(0, 4, 200)), draw.integers(5, 400, 200)
+        place = (size << 32) | (draw.random(200) * size * 0.3).astype(np.int64)
+        order = np.lexsort((place, token))
+        token, place, ids = token[order], place[order], np.arange(200)
+        order, start = ngram_join.blocks_of(token, place, ids)
+        block = np.empty(200, np.int64)
+        block[order] = np.searchsorted(start, np.arange(200), "right")
+        n, at = place >> 32, place & 0xFFFFFFFF
+        may = (token[:, None] == token[None]) & ngram_join.possible(n[:, None], at[:, None], n[None], at[None])
+        assert not (may & (block[:, None] != block[None])).any() and len(start) > 12
+
+
+def test_jaccard_join_large_group(spark):
+    """5,000 near copies and 300 sets just too far from them: stars and derived answers, no pairs."""
+    from conftest import edited, prose
+
+    base, far = prose(1, 150), prose(2, 150)
+    rows = [(i, edited(base, i, 1 + i % 3)) for i in range(5000)] + [(10_000 + i, edited(edited(base, 7, 8), i, 2)) for i in range(200)] + [(20_000 + i, edited(far, i, 1)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df).collect()}
+    some = [r for r in rows if r[0] % 25 == 0]
+    want = {r[0]: r[2] for r in brute.jaccard(some)}
+    assert len(got) == 5300 and all(got[a] == got[b] for a, b in want.items())
+    assert {got[i] for i in range(5000)} == {0} and {got[i] for i in range(20_000, 20_100)} == {20_000}
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(200)]
