@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm._shared import staged, texts
@@ -46,6 +46,7 @@ SHORT = 8
 LINK = 1 - PERCENT / 100
 #: Classes that a task remembers as indexed, so as not to index them again.
 SEEN = 200_000
+SALTS = 64
 #: A block of a group holds about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 
@@ -333,10 +334,16 @@ def _blocks(sized: DataFrame, *keys: str) -> DataFrame:
     return sized.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets"))
 
 
-def _hashed(blocks) -> F.Column:
+def _hashed(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("member"), blocks).cast("int")
 
 
+def _by_lead(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with the row of their lead in a table; a lead's members are dealt to SALTS tasks, as one may have most of all."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(salted, ["lead", "salt"]).drop("salt")
+
+
 def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """lead, member, long, n, doc_id: the sets to be compared with each lead (itself included); long: and with each other."""
     level = crowded(rows)
@@ -360,7 +367,7 @@ def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def stars(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """lead, member, band, long of the members of each lead; of pairs only the linked ones (band 0)."""
     sizes = staged(_blocks(grouped, "lead").where("sets > 1"), "blocks")
-    placed = grouped.join(sizes, "lead").withColumn("block", F.explode(F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_hashed(F.col("blocks"))))))
+    placed = _by_lead(grouped, sizes).withColumn("block", F.explode(F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_hashed(F.col("blocks"))))))
     blocks = rows.join(placed.select("lead", "block", "member", "long", "doc_id"), "doc_id").groupBy("lead", "block").agg(F.collect_list(F.struct("member", "long", "text")).alias("sets")).where(F.size("sets") > 1)
     return staged(blocks.select("lead", "sets").mapInArrow(_stars, "lead long, member long, band long, long boolean"), "stars")
 
@@ -371,11 +378,11 @@ def rest(rows: DataFrame, grouped: DataFrame, starred: DataFrame, roots: DataFra
     open_ = open_.unionByName(open_.select("lead").distinct().select("lead", F.col("lead").alias("member"), F.lit(0).cast("long").alias("band")))
     open_ = open_.join(roots.select(F.col("a").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))
     some = open_.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("band").alias("top")).where("top > 0 and x != y").select("lead")
-    open_ = staged(open_.join(some, "lead").join(grouped.select("lead", "member", "n", "doc_id"), ["lead", "member"]), "open")
+    open_ = staged(_by_lead(open_, some).join(grouped.select("lead", "member", "n", "doc_id"), ["lead", "member"]), "open")
     if not open_.limit(1).count():
         return None
     sizes = _blocks(open_, "lead", "band").groupBy("lead").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
-    each = open_.join(sizes, "lead").withColumn("own", _hashed(F.element_at("blocks", F.col("band"))))
+    each = _by_lead(open_, sizes).withColumn("own", _hashed(F.element_at("blocks", F.col("band"))))
     near = []
     for step in (-1, 0, 1):
         low = F.least(F.col("band"), F.col("band") + step)
