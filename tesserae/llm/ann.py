@@ -2,16 +2,20 @@
 
 ``BOOKS`` full-dimensional codebooks of ``WORDS`` vectors each are trained one after another on the residuals of a
 sample of at most ``SAMPLE`` vectors (those with the smallest hashes of their ids), then refitted together by least
-squares. Every vector is encoded by beam search over the books, and stored as its codes, the squared norm of their
-sum, and itself, in blocks of ``BLOCK``. A query scores a block by lookup tables, |x|^2 - 2 sum of <q, word>, takes the
-``SHORT`` best (ties: smaller ids) and ranks them by exact distances of the original vectors in double precision.
+squares. Every vector is encoded by beam search over the books and stored as its codes and the squared norm of their
+sum, in blocks of ``BLOCK``. A query scores all codes by lookup tables, |x|^2 - 2 sum of <q, word>; the ``SHORT`` best of
+the whole table by these scores (ties: smaller ids) are its shortlist. Only their vectors are fetched, by row, and ranked
+by exact distances in double precision.
 
-Queries and index meet block by block: a task keeps the best of each query over the blocks that it sees, so what
-leaves it is bounded by queries and tasks, not by pairs.
+Queries meet the index block by block: index blocks are dealt to ``PARTS`` parts and query blocks to groups of about
+``HELD``; a task keeps the shortlists of the query blocks that it sees, so that what leaves it is bounded by queries and
+parts, not by pairs. The work is codes times queries; a shortlist of fixed length is a smaller share of a larger table,
+so recall falls slowly as tables grow (figures: README).
 
 Defined cases: vectors that are null, zero, of another length than most of the sample, or that hold null or
-non-finite components take no part, nor do rows without an id; rows that repeat an id are one candidate each, but
-never of their own id's query; of repeated query ids the first vector, by components, asks.
+non-finite components take no part, nor do rows without an id; each row is a candidate of its own, also where it repeats
+an id or a vector; a query leaves out one row, the first with its id and vector; of repeated query ids the first
+vector, by components, asks; an empty table or query set gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tesserae.llm._shared import staged
 
-BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 16, 64, 12_288, 8, 8
-BLOCK, QUERIES, SHORT, TOP = 2048, 256, 192, 10
-#: Query blocks whose best candidates a task holds at once.
-HELD = 64
+BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 32, 64, 12_288, 4, 4
+BLOCK, QUERIES, SHORT, TOP = 2048, 256, 512, 10
+#: Parts of the index, and query blocks whose shortlists a task holds at once.
+PARTS, HELD = 16, 8
+#: Scores are compared in steps of this share of the mean norm, so that equal codes tie wherever they are scored.
+STEP = 1e-6
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -60,76 +66,69 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 0)
         rest -= book[code]
         out.append(book)
         codes.append(code)
-    return _refit(x, np.stack(encode(x, np.stack(out))[0].T), books, words).astype(np.float32)
+    books_ = np.stack(out)
+    return _refit(x, encode(x, books_)[0], books, words)
 
 
 def _refit(x: np.ndarray, codes: np.ndarray, books: int, words: int) -> np.ndarray:
     """The codebooks whose sums come closest to x under these codes, by ridge regression."""
     total = books * words
-    column = codes + (np.arange(books) * words)[:, None]
+    column = codes + np.arange(books) * words
     gram, right = np.eye(total) * 0.1, np.zeros((total, x.shape[1]))
-    for a in range(books):
-        np.add.at(right, column[a], x)
-        for b in range(books):
-            np.add.at(gram, (column[a], column[b]), 1)
-    return np.linalg.solve(gram, right).reshape(books, words, -1)
+    for i in range(0, len(x), 1024):
+        used = np.zeros((len(column[i : i + 1024]), total), np.float32)
+        used[np.arange(len(used))[:, None], column[i : i + 1024]] = 1
+        gram += used.T @ used
+        right += used.T @ x[i : i + 1024]
+    return np.linalg.solve(gram, right).reshape(books, words, -1).astype(np.float32)
 
 
 def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) by beam search, and the squared norms of what they stand for."""
     m, words, d = books.shape
-    flat = books.reshape(-1, d).astype(np.float32)
-    gram = flat @ flat.T
-    square = np.diag(gram)
-    codes, norms = [], []
-    for i in range(0, len(x), 1024):
-        part = x[i : i + 1024].astype(np.float32)
-        inner = part @ flat.T
-        n = len(part)
+    square = np.einsum("mwd,mwd->mw", books, books)
+    codes, norms = [np.empty((0, m), np.int64)], [np.empty(0, np.float32)]
+    for i in range(0, len(x), 512):
+        part = x[i : i + 512].astype(np.float32)
+        n, row = len(part), np.arange(len(part))[:, None]
+        rest, cost = part[:, None, :], np.zeros((n, 1), np.float32)
         chosen = np.zeros((n, 1, 0), np.int64)
-        cost = np.zeros((n, 1), np.float32)
-        cross = np.zeros((n, 1, m * words), np.float32)  # <sum of the words chosen, every word>
-        for b in range(m):
-            at = slice(b * words, (b + 1) * words)
-            new = cost[:, :, None] + square[at] - 2 * inner[:, None, at] + 2 * cross[:, :, at]
+        for b in range(m):  # |rest - word|^2 but for |part|^2, of every beam and word
+            new = cost[:, :, None] + square[b] - 2 * (rest.reshape(-1, d) @ books[b].T).reshape(n, -1, words)
             new = new.reshape(n, -1)
             keep = min(BEAM, new.shape[1]) if b < m - 1 else 1
             best = np.argpartition(new, keep - 1, 1)[:, :keep]
-            beam, word = best // words, best % words + b * words
-            row = np.arange(n)[:, None]
+            beam, word = best // words, best % words
             cost = new[row, best]
+            rest = rest[row, beam] - books[b][word]
             chosen = np.concatenate([chosen[row, beam], word[:, :, None]], 2)
-            cross = cross[row, beam] + gram[word]
-        code = chosen[:, 0]
-        codes.append(code - np.arange(m) * words)
-        said = flat[code].sum(1)
+        codes.append(chosen[:, 0])
+        said = part - rest[:, 0]
         norms.append(np.einsum("ij,ij->i", said, said))
-    return np.concatenate(codes) if codes else np.empty((0, m), np.int64), np.concatenate(norms) if norms else np.empty(0, np.float32)
+    return np.concatenate(codes), np.concatenate(norms)
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, d)
 
 
-_BLOCK = "n int, ids binary, codes binary, norms binary, vectors binary"
+def _binary(*names: str) -> pa.Schema:
+    return pa.schema([(n, pa.binary()) for n in names])
 
 
 def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """Blocks of encoded vectors. rows: id, vector, all of the books' dimension."""
+    """Blocks of encoded vectors: ids, row numbers, codes, norms. rows: id, row, vector, all of the books' dimension."""
     d = books.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("vector"), d)
-            order = np.argsort(ids, kind="stable")
-            out = []
-            for i in range(0, len(order), BLOCK):
-                own = order[i : i + BLOCK]
-                codes, norms = encode(x[own], books)
-                out.append({"n": len(own), "ids": ids[own].tobytes(), "codes": codes.astype(np.uint8).tobytes(), "norms": norms.astype(np.float32).tobytes(), "vectors": x[own].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "codes", "norms", "vectors")]]))
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                codes, norms = encode(_matrix(part.column("vector"), d), books)
+                out = {"ids": part.column("id").to_numpy().tobytes(), "places": part.column("row").to_numpy().tobytes(), "codes": codes.astype(np.uint8).tobytes(), "norms": norms.astype(np.float32).tobytes()}
+                yield pa.RecordBatch.from_pylist([out], _binary(*out))
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.mapInArrow(run, "ids binary, places binary, codes binary, norms binary")
 
 
 def _query_blocks(d: int):
@@ -137,73 +136,107 @@ def _query_blocks(d: int):
         for batch in batches:
             for i in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(i, QUERIES)
-                ids = part.column("id").to_numpy()
-                yield pa.RecordBatch.from_pylist([{"q_ids": ids.tobytes(), "q_vectors": _matrix(part.column("vector"), d).tobytes()}], pa.schema([("q_ids", pa.binary()), ("q_vectors", pa.binary())]))
+                out = {"q_ids": part.column("id").to_numpy().tobytes(), "q_own": part.column("own").to_numpy().tobytes(), "q_vectors": _matrix(part.column("vector"), d).tobytes()}
+                yield pa.RecordBatch.from_pylist([out], _binary(*out))
 
     return run
 
 
-def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, x: np.ndarray, books: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, candidate ids and exact distances of each query's best in a block whose ids ascend."""
+def scores(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distances of the coded vectors to each query, but for the query's own norm, by lookup tables."""
     m, words, d = books.shape
     table = (q.astype(np.float32) @ books.reshape(-1, d).T).reshape(len(q), m, words)
-    score = np.repeat(norms[None], len(q), 0)
+    out = np.repeat(norms[None], len(q), 0)
     for b in range(m):
-        score -= 2 * table[:, b, codes[:, b]]
-    score[q_ids[:, None] == ids[None]] = np.inf
-    place, found, far = [], [], []
-    for k in range(len(q)):
-        own = score[k]
-        if len(own) > SHORT:
-            last = np.partition(own, SHORT - 1)[SHORT - 1]
-            sure = np.flatnonzero(own < last)
-            short = np.concatenate([sure, np.flatnonzero(own == last)[: SHORT - len(sure)]])
-        else:
-            short = np.arange(len(own))
-        short = short[np.isfinite(own[short])]
-        gap = x[short].astype(np.float64) - q[k].astype(np.float64)
-        distance = np.sqrt((gap * gap).sum(1))
-        order = np.lexsort((ids[short], distance))[:top]
-        place.append(np.full(len(order), k))
-        found.append(ids[short][order])
-        far.append(distance[order])
-    return np.concatenate(place), np.concatenate(found), np.concatenate(far)
-
-
-def _search(books: np.ndarray, dtype: np.dtype, top: int):
-    m, _, d = books.shape
+        out -= 2 * table[:, b, codes[:, b]]
+    return out
+
+
+#: Shortlists of a query block, one after another: how long each is, then keys (scores in steps), ids and row numbers.
+Lists = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def shorter(lists: list[Lists], short: int) -> Lists:
+    """The first ``short`` by (key, id, row number) of the shortlists of one query block."""
+    n = len(lists[0][0])
+    owner = np.concatenate([np.repeat(np.arange(n), x[0]) for x in lists])
+    key, ids, place = (np.concatenate([x[k] for x in lists]) for k in (1, 2, 3))
+    order = np.lexsort((place, ids, key, owner))
+    owner = owner[order]
+    order = order[np.arange(len(owner)) - np.searchsorted(owner, owner) < short]
+    return np.bincount(np.concatenate([np.repeat(np.arange(n), x[0]) for x in lists])[order], minlength=n), key[order], ids[order], place[order]
+
+
+def best_of_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, place: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, step: float, short: int) -> Lists:
+    """Shortlists of a query block in an index block."""
+    key = np.rint(scores(q, codes, norms, books) / step).astype(np.int64)
+    at = np.repeat(np.arange(len(ids))[None], len(q), 0)
+    if len(ids) > short:  # what may belong to the first: all up to the key of the last of them
+        some = key <= np.partition(key, short, 1)[:, short : short + 1]
+    else:
+        some = np.ones(key.shape, bool)
+    some &= place[None] != own[:, None]
+    return shorter([(some.sum(1), key[some], ids[at[some]], place[at[some]])], short)
+
+
+_LISTS = "q_ids binary, n binary, keys binary, ids binary, places binary"
+
+
+def _packed(q_ids: bytes, lists: Lists) -> dict:
+    return {"q_ids": q_ids, **{k: v.astype(np.int64).tobytes() for k, v in zip(("n", "keys", "ids", "places"), lists, strict=True)}}
+
+
+def _unpacked(row: dict) -> Lists:
+    return tuple(np.frombuffer(row[k], np.int64) for k in ("n", "keys", "ids", "places"))
 
-    def rows(held) -> pa.RecordBatch:
-        ids, (place, found, far) = held
-        return pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(found), pa.array(far)], names=["query_id", "vec_id", "score"])
+
+def _shortlists(books: np.ndarray, dtype: np.dtype, step: float, short: int):
+    m, _, d = books.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple] = {}
+        held: dict[bytes, Lists] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_vectors"], dtype).reshape(-1, d)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 new = best_of_block(
-                    q, q_ids, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["norms"], np.float32), np.frombuffer(row["vectors"], dtype).reshape(-1, d), books, top
-                )
-                old = best.pop(row["q_ids"], None)
-                if old is not None:
-                    new = tuple(np.concatenate(x) for x in zip(old[1], new, strict=True))
-                    order = np.lexsort((new[1], new[2], new[0]))
-                    new = tuple(x[order] for x in new)
-                    rank = np.arange(len(order)) - np.searchsorted(new[0], new[0])
-                    new = tuple(x[rank < top] for x in new)
-                best[row["q_ids"]] = (q_ids, new)
-                if len(best) > HELD:
-                    yield rows(best.pop(next(iter(best))))
-        for held in best.values():
-            yield rows(held)
+                    np.frombuffer(row["q_vectors"], dtype).reshape(-1, d), np.frombuffer(row["q_own"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["places"], np.int64),
+                    np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["norms"], np.float32), books, step, short,
+                )
+                old = held.pop(row["q_ids"], None)
+                held[row["q_ids"]] = new if old is None else shorter([old, new], short)
+                if len(held) > HELD:
+                    first = next(iter(held))
+                    yield pa.RecordBatch.from_pylist([_packed(first, held.pop(first))], _binary("q_ids", "n", "keys", "ids", "places"))
+        for q_ids, lists in held.items():
+            yield pa.RecordBatch.from_pylist([_packed(q_ids, lists)], _binary("q_ids", "n", "keys", "ids", "places"))
+
+    return run
+
+
+def _pairs(short: int):
+    """Query ids and row numbers of the whole table's shortlists, from the lists of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                n, _, _, place = shorter([_unpacked({**x, "q_ids": None}) for x in row["lists"]], short)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(row["q_ids"], np.int64), n)), pa.array(place)], names=["query_id", "row"])
+
+    return run
+
+
+def _distances(d: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gap = _matrix(batch.column("vector"), d).astype(np.float64) - _matrix(batch.column("asked"), d).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt((gap * gap).sum(1)))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (distance): each query's nearest rows that don't have its id."""
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, short: int = SHORT) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score (distance): the nearest rows of each query but its own row."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).toPandas()["vector"]  # a bounded sample
@@ -212,17 +245,26 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     lengths = sample.map(len)
     d = int(lengths.mode()[0])
     dtype = np.dtype(np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64)
-    books = train(np.stack(sample[lengths == d]))
+    fitted = np.stack(sample[lengths == d])
+    books, step = train(fitted), STEP * float(np.square(fitted.astype(np.float64)).sum(1).mean())
     element = "float" if dtype == np.float32 else "double"
     sized = lambda f: f.where(F.size("vector") == d).withColumn("vector", F.col("vector").cast(f"array<{element}>"))
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    blocks = staged(index(sized(rows), books), "codes").repartition(tasks)
+    rows = staged(sized(rows).withColumn("row", F.monotonically_increasing_id()), "vectors")
     first = sized(asked).groupBy("id").agg(F.min("vector").alias("vector"))
-    grouped = staged(first.coalesce(1) if first.limit(QUERIES * HELD).count() < QUERIES * HELD else first, "queries")
-    packed = staged(grouped.mapInArrow(_query_blocks(d), "q_ids binary, q_vectors binary"), "asked")
-    # A stated query set against all rows, block by block.
-    met = blocks.crossJoin(packed).select("q_ids", "q_vectors", "ids", "codes", "norms", "vectors")
-    found = met.mapInArrow(_search(books, dtype, top), "query_id long, vec_id long, score double")
+    same = rows.select("id", F.col("vector").alias("own_vector"), "row")
+    asked = staged(first.join(same, "id", "left").groupBy("id", "vector").agg(F.coalesce(F.min(F.when(F.col("own_vector") == F.col("vector"), F.col("row"))), F.lit(-1)).alias("own")), "queries")
+    n = asked.count()
+    groups = max(1, -(-n // (QUERIES * HELD)))
+    dealt = asked.repartition(groups, "id") if groups > 1 else asked.coalesce(1)
+    packed = staged(dealt.mapInArrow(_query_blocks(d), "q_ids binary, q_own binary, q_vectors binary"), "asked")
+    packed = packed.select("*", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    blocks = staged(index(rows, books), "codes").select("*", F.pmod(F.xxhash64("ids", "places"), F.lit(PARTS)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    # A stated query set against all rows, block by block; codes only.
+    met = blocks.join(packed, ["g", "part"]).select("q_ids", "q_own", "q_vectors", "ids", "places", "codes", "norms")
+    lists = met.mapInArrow(_shortlists(books, dtype, step, short), _LISTS).groupBy("q_ids").agg(F.collect_list(F.struct("n", "keys", "ids", "places")).alias("lists"))
+    pairs = lists.mapInArrow(_pairs(short), "query_id long, row long")
+    fetched = pairs.join(rows.select("row", F.col("id").alias("vec_id"), "vector"), "row").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    found = fetched.select("query_id", "vec_id", "vector", "asked").mapInArrow(_distances(d), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
