@@ -18,20 +18,26 @@ STAGES = (("ocr", "lines"), ("parse", "nodes"), ("embed", "embeddings"), ("index
 SOURCE_BYTES = 25 << 20
 
 
-def search(strategy: str, semantic: DataFrame, keyword: DataFrame, k: int = 10, code_ratio: DataFrame | None = None) -> DataFrame:
+def search(strategy: str, semantic: DataFrame, keyword: DataFrame, k: int = 10, with_ratio: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The first k of a ranked list, or of both fused; rows: query_id, entry_id, score, rank."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "HYBRID":
-        return retrieval.fuse(semantic, keyword, code_ratio, k)
+        return retrieval.fuse(semantic, keyword, with_ratio, k)
     return (semantic if strategy == "SEMANTIC" else keyword).where(F.col("rank") <= k).select("query_id", "entry_id", "score", "rank")
 
 
 def evidence_prompt(evidence: DataFrame) -> DataFrame:
-    """One prompt for each query: source, title, place and content of its evidence, parted by lines. evidence: query_id, rank, title, label, text."""
-    part = F.concat(F.lit("[Nguồn "), F.col("rank").cast("string"), F.lit("]\nTài liệu: "), F.coalesce("title", F.lit("")), F.lit("\nVị trí: "), F.coalesce("label", F.lit("")), F.lit("\nNội dung: "), F.coalesce("text", F.lit("")))
+    """One prompt for each query: source, title, place and content of its evidence, parted by rules. evidence: query_id, rank, document_id, title, label, text.
+
+    Without a title the document's id stands for it, without a label the source's number.
+    """
+    rank = F.col("rank").cast("string")
+    title = F.coalesce("title", F.concat(F.lit("Document "), F.col("document_id").cast("string")))
+    label = F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("Source "), rank))
+    part = F.concat(F.lit("[Nguồn "), rank, F.lit("]\nTài liệu: "), title, F.lit("\nVị trí: "), label, F.lit("\nNội dung:\n"), F.coalesce("text", F.lit("")))
     rows = evidence.select("query_id", "rank", part.alias("part")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("parts"))
-    return rows.select("query_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n---\n").alias("prompt"))
+    return rows.select("query_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n---\n\n").alias("prompt"))
 
 
 def validated(answers: DataFrame, claims: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,24 +86,34 @@ def cut_texts(sized: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     return out.select("document_id", "head.*", "text")
 
 
-_BOUNDARIES = ("\n\n", "\n", ". ", "; ", ", ", " ")
+#: Boundaries in order of preference.
+BOUNDARIES = ("\n\n", "\n", ". ", "; ", ", ", " ")
+_PLACES = tuple((re.compile(f"(?={re.escape(b)})"), len(b), len(b.rstrip())) for b in BOUNDARIES)
+_SOLID = re.compile(r"\S")
+
+
+def part_spans(text: str, most_chars: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each part of a text: at most most_chars, cut at a boundary that starts in the part's second half.
+
+    Places of all boundaries are listed once, by class; a cut is the last place of the first class that has one in reach,
+    found by bisection, or else where the reach ends. White space around parts is left out.
+    """
+    places = [(array("q", (m.start() for m in pattern.finditer(text))), width, kept) for pattern, width, kept in _PLACES]
+    stop = len(text.rstrip())
+    found = _SOLID.search(text)
+    while found:
+        start = found.start()
+        end = stop
+        if stop - start > most_chars:
+            reach = ((listed[k], kept) for listed, width, kept in places if (k := bisect_right(listed, start + most_chars - width) - 1) >= 0 and listed[k] >= start + most_chars // 2)
+            at, kept = next(reach, (start + most_chars, 0))
+            end = at + kept if at + kept > start else start + most_chars
+        yield start, start + len(text[start:end].rstrip())
+        found = _SOLID.search(text, end)
 
 
 def split_text(text: str | None, most_chars: int) -> list[str]:
-    """Parts of at most most_chars: cut at the last boundary in a part's second half, by order of preference, else hard."""
-    rest, parts = (text or "").strip(), []
-    while len(rest) > most_chars:
-        end = most_chars
-        for mark in _BOUNDARIES:
-            at = rest.rfind(mark, most_chars // 2, most_chars)
-            if at >= 0:
-                end = at + len(mark.rstrip())
-                break
-        end = end or most_chars
-        if head := rest[:end].strip():
-            parts.append(head)
-        rest = rest[end:].lstrip()
-    return [*parts, rest] if rest else parts
+    return [text[a:b] for a, b in part_spans(text, most_chars)] if text else []
 
 
 def split_oversized(df: DataFrame, text_col: str = "text", config: Chunking = Chunking()) -> DataFrame:

@@ -63,9 +63,22 @@ def citations(links: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("answer_id", place.alias("citation_no"), "evidence_id", "document_id", label.alias("label"), "usage", "match_score")
 
 
-def traceability(cited: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds error to citations (answer_id, evidence_id, document_id, version_id, node_id): null where every link holds."""
-    docs = documents.select("document_id", F.col("version_id").alias("known_version"))
-    rows = cited.join(docs, "document_id", "left").join(nodes.select("document_id", "node_id", F.lit(True).alias("known_node")).distinct(), ["document_id", "node_id"], "left")
-    error = F.when(F.col("known_version").isNull(), "missing_document").when(F.col("known_version") != F.col("version_id"), "version_mismatch").when(F.col("known_node").isNull(), "missing_node")
+def traceability(cited: DataFrame, evidence: DataFrame, versions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds error to citations: the first link of the chain that fails, null where every one holds.
+
+    cited: answer_id, evidence_id, document_id, version_id, node_id; evidence: the same columns as it was found;
+    versions: document_id, version_id (a document may have several); nodes: version_id, node_id.
+    """
+    own = evidence.select("answer_id", "evidence_id", F.struct("document_id", "version_id", "node_id").alias("found")).dropDuplicates(["answer_id", "evidence_id"])
+    known = versions.groupBy("document_id").agg(F.lit(True).alias("known_document"))
+    of_version = versions.select("document_id", "version_id", F.lit(True).alias("known_version")).distinct()
+    of_node = nodes.select("version_id", "node_id", F.lit(True).alias("known_node")).distinct()
+    rows = cited.join(own, ["answer_id", "evidence_id"], "left").join(known, "document_id", "left").join(of_version, ["document_id", "version_id"], "left").join(of_node, ["version_id", "node_id"], "left")
+    error = (
+        F.when(F.col("found").isNull(), "no_matching_evidence")
+        .when(~F.col("found").eqNullSafe(F.struct("document_id", "version_id", "node_id")), "disagrees_with_evidence")
+        .when(F.col("known_document").isNull(), "missing_document")
+        .when(F.col("known_version").isNull(), "missing_version")
+        .when(F.col("known_node").isNull(), "missing_node")
+    )
     return rows.withColumn("error", error).select(*cited.columns, "error")

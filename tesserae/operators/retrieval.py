@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from tesserae.functions.vectors import SIMILARITIES
 
 #: Bytes up to which a query side is broadcast; beyond, the join shuffles. The sizes are Spark's own estimates.
 BROADCAST_BYTES = 64 << 20
+#: Tasks that share the postings of one term.
+SALTS = 16
 
 
 def is_small(df: DataFrame) -> bool:
@@ -39,7 +42,7 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
     """
     if metric not in SIMILARITIES:
         raise ValueError(f"unknown metric: {metric}")
-    score = F.round(SIMILARITIES[metric](F.col("vector"), F.col("q_vector")), digits)
+    score = SIMILARITIES[metric](F.col("vector"), F.col("q_vector"))
     own, asked = entries.select("entry_id", "vector"), queries.select("query_id", "q_vector")
     fits = F.size("vector") == F.size("q_vector")
     if is_small(asked):
@@ -49,8 +52,9 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
         dealt = own.withColumn("slice", F.pmod(F.xxhash64("entry_id"), F.lit(slices)).cast("int"))
         pairs = dealt.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "slice").where(fits)
     scored = pairs.select("query_id", "entry_id", score.alias("score"))
-    if threshold is not None:
+    if threshold is not None:  # the threshold is for the score as it is, before rounding
         scored = scored.where(F.col("score") >= threshold)
+    scored = scored.withColumn("score", F.round("score", digits))
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
 
 
@@ -65,7 +69,12 @@ def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6) -> Dat
     # Content and title are posted apart: a term carries two counts instead of the arrays that it came from.
     post = lambda c, content: F.transform(tx.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(int(content)).alias("in_content"), F.lit(int(not content)).alias("in_title")))
     posted = entries.select("entry_id", F.explode(F.concat(post("content", True), post("title", False))).alias("p")).select("entry_id", "p.*")
-    met = posted.join(maybe_broadcast(asked), "term").groupBy("query_id", "entry_id").agg(F.any_value("n_terms").alias("n_terms"), F.sum("in_content").alias("a"), F.sum("in_title").alias("b"))
+    if is_small(asked):
+        pairs = posted.join(F.broadcast(asked), "term")
+    else:  # a frequent term's postings are dealt to several tasks, each with the queries that ask for it
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = posted.withColumn("salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    met = pairs.groupBy("query_id", "entry_id").agg(F.any_value("n_terms").alias("n_terms"), F.sum("in_content").alias("a"), F.sum("in_title").alias("b"))
     score = F.least(0.85 * (F.col("a") / F.col("n_terms")) + 0.15 * (F.col("b") / F.col("n_terms")), F.lit(1.0))
     return met.select("query_id", "entry_id", F.round(score, digits).alias("score")).where("score > 0")
 
@@ -82,18 +91,16 @@ class Fusion:
     code: float = 0.08
 
 
-def fuse(semantic: DataFrame, keyword: DataFrame, code_ratio: DataFrame | None = None, k: int | None = None, weights: Fusion = Fusion()) -> DataFrame:
+def fuse(semantic: DataFrame, keyword: DataFrame, with_ratio: Callable[[DataFrame], DataFrame] | None = None, k: int | None = None, weights: Fusion = Fusion()) -> DataFrame:
     """Fused score and rank of two ranked lists (query_id, entry_id, score, rank each).
 
-    A query that one list is empty for gets the other list as it is. code_ratio: query_id, entry_id, ratio.
+    A query that one list is empty for gets the other list as it is. with_ratio adds ratio (of the query's document codes
+    that the entry has) to the joined pairs, so that the lists are made once.
     """
     s = semantic.select("query_id", "entry_id", F.col("score").alias("s"), F.col("rank").alias("s_rank"))
     w = keyword.select("query_id", "entry_id", F.col("score").alias("w"), F.col("rank").alias("w_rank"))
     both = s.join(w, ["query_id", "entry_id"], "full_outer")
-    if code_ratio is not None:
-        both = both.join(code_ratio, ["query_id", "entry_id"], "left")
-    else:
-        both = both.withColumn("ratio", F.lit(0.0))
+    both = both.withColumn("ratio", F.lit(0.0)) if with_ratio is None else with_ratio(both)
     own = Window.partitionBy("query_id")
     both = both.withColumn("any_s", F.max(F.col("s").isNotNull()).over(own)).withColumn("any_w", F.max(F.col("w").isNotNull()).over(own))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -112,12 +119,13 @@ def fuse(semantic: DataFrame, keyword: DataFrame, code_ratio: DataFrame | None =
 def context_window(chunks: DataFrame, hits: DataFrame, width: int = 1, factor: float = 0.8) -> DataFrame:
     """Neighbours of the hits in document order, each once, at a share of the score; hits themselves are left out.
 
-    chunks: document_id, ord, entry_id; hits: query_id, entry_id, score.
+    chunks: document_id, ord, entry_id; hits: query_id, document_id, ord, score. A hit marks itself among its
+    neighbours, so no second look at the hits is needed.
     """
-    at = hits.join(chunks, "entry_id").select("query_id", "document_id", F.col("ord").alias("hit_ord"), "score")
-    near = at.select("query_id", "document_id", "score", F.explode(F.sequence(F.col("hit_ord") - width, F.col("hit_ord") + width)).alias("ord"))
-    found = near.join(chunks, ["document_id", "ord"]).join(hits.select("query_id", "entry_id"), ["query_id", "entry_id"], "left_anti")
-    return found.groupBy("query_id", "entry_id").agg(F.round(F.max("score") * factor, 6).alias("score"))
+    step = F.explode(F.sequence(F.lit(-width), F.lit(width)))
+    near = hits.select("query_id", "document_id", "ord", "score", step.alias("step")).select("query_id", "document_id", (F.col("ord") + F.col("step")).alias("ord"), "score", (F.col("step") == 0).alias("hit"))
+    once = near.groupBy("query_id", "document_id", "ord").agg(F.max("score").alias("score"), F.max("hit").alias("hit")).where("not hit")
+    return once.join(chunks, ["document_id", "ord"]).select("query_id", "entry_id", F.round(F.col("score") * factor, 6).alias("score"))
 
 
 @dataclass(frozen=True)

@@ -49,34 +49,37 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 def sections(classified: DataFrame) -> DataFrame:
-    """document_id, ord, type, number, title, text, page_start, line_start: headings with their following text, and preambles.
+    """document_id, ord, type, number, title, text, page_start, page_end, line_start, line_end: headings with their following text, and preambles.
 
     Plain text before the first article gathers until a chapter, article or appendix (or the end) turns it into a
-    preamble, which stands right before that heading; later plain text belongs to the heading before it.
+    preamble, which stands right before that heading; later plain text belongs to the heading before it. A heading
+    starts and ends on its own line; a preamble ends on the page of the heading that ends it, on the line before it.
     """
     doc = Window.partitionBy("document_id").orderBy("line_no")
     before, after = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
-    flush = F.when(F.col("type").isin("CHAPTER", "ARTICLE", "APPENDIX"), F.col("line_no"))
+    flush = F.when(F.col("type").isin("CHAPTER", "ARTICLE", "APPENDIX"), F.struct("line_no", "page_number"))
+    whole = doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = classified.withColumns(
         {
             "seen_article": F.coalesce(F.max(F.col("type").eqNullSafe(F.lit("ARTICLE"))).over(before), F.lit(False)),
             "last_heading": F.last(F.when(F.col("type").isNotNull(), F.col("line_no")), ignorenulls=True).over(before),
-            "next_flush": F.min(flush).over(after),
+            "ended_by": F.min(flush).over(after),
+            "end": F.last(F.struct("line_no", "page_number")).over(whole),
         }
     )
     plain = F.col("type").isNull()
     lead = plain & ~F.col("seen_article")
-    end = F.lit(2**31 - 1)
-    at = F.when(lead, F.coalesce("next_flush", end)).when(plain, F.col("last_heading")).otherwise(F.col("line_no"))
+    at = F.when(lead, F.coalesce("ended_by.line_no", F.lit(2**31 - 1))).when(plain, F.col("last_heading")).otherwise(F.col("line_no"))
     # A preamble sorts right before the heading that ends it.
     placed = marked.withColumns({"at": at, "part": F.when(lead, F.lit(0)).otherwise(F.lit(1)), "line": F.coalesce("body", "text")})
+    placed = placed.withColumns({"page_end": F.when(lead, F.coalesce("ended_by.page_number", "end.page_number")), "line_end": F.when(lead, F.coalesce(F.col("ended_by.line_no") - 1, "end.line_no"))})
     own = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     found = placed.groupBy("document_id", "at", "part").agg(
-        F.max("type").alias("type"), F.max("number").alias("number"), F.max("title").alias("title"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"), F.min("page_number").alias("page_start"), F.min("line_no").alias("line_start")
+        F.max("type").alias("type"), F.max("number").alias("number"), F.max("title").alias("title"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"), F.min("page_number").alias("page_start"), F.min("line_no").alias("line_start"), F.max("page_end").alias("page_end"), F.max("line_end").alias("line_end")
     )
     order = Window.partitionBy("document_id").orderBy("at", "part")
     return found.select(
-        "document_id", F.row_number().over(order).cast("long").alias("ord"), F.coalesce("type", F.lit("PREAMBLE")).alias("type"), "number", F.coalesce("title", F.lit("Preamble")).alias("title"), strip("text").alias("text"), "page_start", "line_start"
+        "document_id", F.row_number().over(order).cast("long").alias("ord"), F.coalesce("type", F.lit("PREAMBLE")).alias("type"), "number", F.coalesce("title", F.lit("Preamble")).alias("title"), strip("text").alias("text"), "page_start", F.coalesce("page_end", "page_start").alias("page_end"), "line_start", F.coalesce("line_end", "line_start").alias("line_end")
     )
 
 
@@ -142,19 +145,20 @@ def references(nodes: DataFrame) -> DataFrame:
     own = nodes.withColumn("own_reference", F.concat_ws(" ", label_of("type"), n)).withColumn("own_step", F.coalesce(n, (F.col("sibling") + 1).cast("string")))
     upper = {f"{c}{up}": of_ancestor(F.col(f"own_{name}"), up) for up in (1, 2) for c, name in (("r", "reference"), ("s", "step"))}
     walked = own.withColumns(upper)
-    return walked.select(*nodes.columns, F.concat_ws(" ", "r2", "r1", "own_reference").alias("reference"), F.concat_ws(".", F.lit("1"), "s2", "s1", "own_step").alias("path"), F.col("own_reference").alias("short_reference"))
+    return walked.select(*nodes.columns, F.concat_ws(" ", "r2", "r1", "own_reference").alias("reference"), F.concat_ws(".", F.lit("1"), "s2", "s1", "own_step").alias("path"), F.when(label_of("type").isNull(), F.coalesce("title", F.lit(""))).otherwise(F.col("own_reference")).alias("short_reference"))
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
     """Of each tree: nodes (with the root), depth, articles, clauses, appendices, last page."""
     count = lambda t: F.count_if(F.col("type") == t).alias(f"n_{t.lower()}")
-    return nodes.groupBy("document_id").agg((F.count("*") + 1).alias("n_nodes"), F.max("depth").alias("max_depth"), count("ARTICLE"), count("CLAUSE"), count("APPENDIX"), F.greatest(F.lit(1), F.max("page_start")).alias("last_page"))
+    return nodes.groupBy("document_id").agg((F.count("*") + 1).alias("n_nodes"), F.max("depth").alias("max_depth"), count("ARTICLE"), count("CLAUSE"), count("APPENDIX"), F.greatest(F.lit(1), F.max("page_end")).alias("last_page"))
 
 
 def violations(nodes: DataFrame) -> DataFrame:
-    """document_id, ord, problem, severity. nodes: document_id, ord, parent, sibling, reference, path.
+    """document_id, ord, problem, severity. nodes: document_id, ord, parent, sibling, reference, path, and optionally children (ords).
 
-    All but orphans are told by windows over one pass of the nodes.
+    Ord 0 is the root that every tree has; a row with a null or negative parent is a root beside it, unless it is ord 0
+    itself. All but orphans and children are told by windows over one pass of the nodes.
     """
     doc = lambda *keys: Window.partitionBy("document_id", *keys).orderBy("ord")
     copy = {c: F.row_number().over(doc(c)) for c in ("reference", "path")}
@@ -163,6 +167,7 @@ def violations(nodes: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             told(F.col("parent") >= F.col("ord"), "cycle", "error"),
+            told((F.coalesce("parent", F.lit(-1)) < 0) & (F.col("ord") != 0), "second_root", "error"),
             told(F.col("n_id") == 2, "duplicate_id", "error"),
             told((F.col("n_reference") > 1) & (F.col("reference") != ""), "duplicate_reference", "warning"),
             told((F.col("n_path") > 1) & (F.col("path") != ""), "duplicate_path", "warning"),
@@ -170,8 +175,14 @@ def violations(nodes: DataFrame) -> DataFrame:
         )
     )
     known = nodes.select("document_id", F.col("ord").alias("parent"))
-    orphans = nodes.where("parent != 0").join(known, ["document_id", "parent"], "left_anti").select("document_id", "ord", F.lit("orphan").alias("problem"), F.lit("error").alias("severity"))
-    return rows.select("document_id", "ord", F.explode(found).alias("p")).select("document_id", "ord", "p.*").unionByName(orphans)
+    orphans = nodes.where("parent > 0").join(known, ["document_id", "parent"], "left_anti").select("document_id", "ord", F.lit("orphan").alias("problem"), F.lit("error").alias("severity"))
+    out = rows.select("document_id", "ord", F.explode(found).alias("p")).select("document_id", "ord", "p.*").unionByName(orphans)
+    if "children" not in nodes.columns:
+        return out
+    listed = nodes.select("document_id", "ord", F.explode("children").alias("child"))
+    kept = listed.join(nodes.select("document_id", F.col("ord").alias("child"), F.col("parent").alias("its_parent"), F.lit(True).alias("known")), ["document_id", "child"], "left")
+    problem = F.when(F.col("known").isNull(), "missing_child").when(~F.col("its_parent").eqNullSafe(F.col("ord")), "child_of_another")
+    return out.unionByName(kept.select("document_id", "ord", problem.alias("problem"), F.lit("error").alias("severity")).where("problem is not null"))
 
 
 def node_by_path(nodes: DataFrame, path: str) -> DataFrame:

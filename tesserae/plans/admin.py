@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.operators import admin
+from tesserae.operators import admin, retrieval
 from tesserae.plans import citation as pc
 from tesserae.plans import registry as pg
 from tesserae.plans import retrieval as pr
@@ -21,7 +21,7 @@ def search_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pr.evidence(spark, sf_dir).join(pr.hybrid_fusion(spark, sf_dir).select("query_id", F.col("entry_id").alias("evidence_id"), "rank"), ["query_id", "evidence_id"]).where("rank <= 5")
+    rows = retrieval.rerank(pr.evidence(spark, sf_dir))
     return admin.evidence_prompt(rows.withColumn("label", F.col("reference"))).select("query_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
 
 
@@ -108,7 +108,7 @@ QUERIES = {
 }
 SQL = {
     "search_strategies": f"""WITH {pr._FUSED} SELECT query_id, entry_id, w AS score, w_rank AS rank, 'KEYWORD' AS strategy FROM w WHERE w_rank <= 5 UNION ALL SELECT query_id, entry_id, s, s_rank, 'SEMANTIC' FROM s WHERE s_rank <= 5""",
-    "evidence_prompt": f"""WITH {pr._EVIDENCE}, p AS (SELECT f.query_id, string_agg('[Nguồn ' || f.rank || ']' || chr(10) || 'Tài liệu: ' || title || chr(10) || 'Vị trí: ' || coalesce(reference, '') || chr(10) || 'Nội dung: ' || text, chr(10) || '---' || chr(10) ORDER BY f.rank) AS prompt FROM evidence e JOIN fused f ON f.query_id = e.query_id AND f.entry_id = e.evidence_id WHERE f.rank <= 5 GROUP BY f.query_id)
+    "evidence_prompt": f"""WITH {pr._RERANKED}, p AS (SELECT query_id, string_agg('[Nguồn ' || rank || ']' || chr(10) || 'Tài liệu: ' || coalesce(title, 'Document ' || evidence_id) || chr(10) || 'Vị trí: ' || coalesce(reference, 'Source ' || rank) || chr(10) || 'Nội dung:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS prompt FROM reranked GROUP BY query_id)
 SELECT query_id, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS n_chars FROM p""",
     "answer_validation": f"""WITH {pc._LINKS}, u AS (SELECT answer_id, count(*) AS n FROM claims c WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.answer_id = c.answer_id AND l.sentence_index = c.sentence_index AND l.claim_no = c.claim_no) GROUP BY answer_id)
 SELECT a.answer_id, CASE WHEN a.answer_id % 5 = 0 THEN 'NO_EVIDENCE' WHEN n > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, coalesce(n, 0) AS n_unsupported, n || ' claim(s) could not be supported by evidence.' AS limitation FROM answers a LEFT JOIN u USING (answer_id)""",

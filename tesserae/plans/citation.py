@@ -107,21 +107,47 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of made-up anchors: some documents, versions and nodes don't exist."""
-    e = F.col("evidence_id")
-    cited = evidence(spark, sf_dir).select("answer_id", "evidence_id", (e % 1300).alias("document_id"), F.concat(F.lit("v"), (e % 1300 % 3 + F.when(e % 11 == 0, 1).otherwise(0)).cast("string")).alias("version_id"), (e % 8).alias("node_id"))
-    docs = documents(spark, sf_dir).select("document_id", F.concat(F.lit("v"), (F.col("document_id") % 3).cast("string")).alias("version_id"))
-    nodes = documents(spark, sf_dir).select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("node_id"))
-    return citation.traceability(cited, docs, nodes)
+    """Citations of made-up anchors: documents have two versions; some citations lack or contradict evidence, or name what doesn't exist."""
+    e, a = F.col("evidence_id"), F.col("answer_id")
+    document, version = e % 1300, lambda shift: F.concat(F.lit("v"), (e % 1300).cast("string"), F.lit("."), ((e + shift) % 3).cast("string"))
+    anchored = evidence(spark, sf_dir).select("answer_id", "evidence_id", document.alias("document_id"), version(0).alias("version_id"), (e % 8).alias("node_id"))
+    cited = anchored.withColumn("node_id", F.when((e + a) % 13 == 0, F.col("node_id") + 1).otherwise(F.col("node_id")))
+    d = documents(spark, sf_dir).select("document_id")
+    versions = d.select("document_id", F.explode(F.array(*[F.concat(F.lit("v"), F.col("document_id").cast("string"), F.lit(f".{i}")) for i in (0, 1)])).alias("version_id"))
+    nodes = versions.select("version_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("node_id"))
+    return citation.traceability(cited, anchored.where((e + a) % 11 != 0), versions, nodes)
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------
 
 
+#: Words of a passage that a text must hold in a row to be compared with it.
+GRAM = 5
+
+
+def _grams(words):
+    """Hashes of all runs of GRAM words."""
+    return F.when(F.size(words) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(GRAM)))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, document_id: the texts that hold a passage. texts: document_id, text; passages: query_id, query.
+
+    A text that holds a passage has the passage's inner words in a row: the first GRAM of them, hashed, meet the texts' runs
+    of GRAM words by equality, and what meets is compared. Passages of fewer words are compared with all texts.
+    """
+    inner = F.split(F.trim("query"), r"\s+")
+    asked = passages.where("query is not null").withColumn("inner", F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))))
+    long = asked.where(F.size("inner") >= GRAM).select("query_id", "query", F.xxhash64(F.slice("inner", 1, GRAM)).alias("gram"))
+    runs = texts.select("document_id", "text", F.explode(_grams(F.split("text", r"\s+"))).alias("gram"))
+    met = runs.join(maybe_broadcast(long), "gram").where(F.contains("text", "query")).select("query_id", "document_id")
+    short = texts.join(maybe_broadcast(asked.where(F.size("inner") < GRAM).select("query_id", "query")), F.contains("text", "query")).select("query_id", "document_id")
+    return met.unionByName(short).distinct()
+
+
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's passage: the questions are a small, checked side."""
-    d, q = documents(spark, sf_dir).select("document_id", "text"), questions(spark, sf_dir)
-    return d.join(maybe_broadcast(q), F.contains("text", "query")).select("query_id", F.col("document_id").alias("item"))
+    """Documents that hold a question's passage."""
+    return holding(documents(spark, sf_dir).select("document_id", "text"), questions(spark, sf_dir)).select("query_id", F.col("document_id").alias("item"))
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +230,9 @@ SELECT *, round(n_supported::DOUBLE / n_claims, 6) AS coverage, CASE WHEN n_clai
     "unsupported_claims": f"WITH {_LINKS} SELECT answer_id, count(*) AS n_unsupported FROM claims c WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.answer_id = c.answer_id AND l.sentence_index = c.sentence_index AND l.claim_no = c.claim_no) GROUP BY answer_id",
     "citations": f"""WITH {_LINKS}, first_use AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY answer_id, evidence_id ORDER BY sentence_index, claim_no) = 1)
 SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY sentence_index, claim_no, evidence_id)::INTEGER AS citation_no, evidence_id, CASE evidence_id % 3 WHEN 0 THEN 'Điều ' || evidence_id WHEN 1 THEN 'Khoản 1' ELSE 'Document ' || evidence_id END AS label, usage FROM first_use""",
-    "traceability": f"""WITH {_ANSWERS}, cited AS (SELECT answer_id, evidence_id, evidence_id % 1300 AS document_id, 'v' || (evidence_id % 1300 % 3 + CASE WHEN evidence_id % 11 = 0 THEN 1 ELSE 0 END) AS version_id, evidence_id % 8 AS node_id FROM evidence)
-SELECT c.*, CASE WHEN d.doc_id IS NULL THEN 'missing_document' WHEN 'v' || (d.doc_id % 3) != version_id THEN 'version_mismatch' WHEN node_id > 6 THEN 'missing_node' END AS error FROM cited c LEFT JOIN documents d ON d.doc_id = c.document_id""",
+    "traceability": f"""WITH {_ANSWERS}, anchored AS (SELECT answer_id, evidence_id, evidence_id % 1300 AS document_id, 'v' || (evidence_id % 1300) || '.' || (evidence_id % 3) AS version_id, evidence_id % 8 AS node_id FROM evidence),
+cited AS (SELECT * REPLACE (CASE WHEN (evidence_id + answer_id) % 13 = 0 THEN node_id + 1 ELSE node_id END AS node_id) FROM anchored)
+SELECT c.*, CASE WHEN (evidence_id + answer_id) % 11 = 0 THEN 'no_matching_evidence' WHEN (evidence_id + answer_id) % 13 = 0 THEN 'disagrees_with_evidence' WHEN NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.document_id) THEN 'missing_document' WHEN evidence_id % 3 > 1 THEN 'missing_version' WHEN node_id > 6 THEN 'missing_node' END AS error FROM cited c""",
     "recall_precision": f"WITH {_POOL}, {_at(10)} SELECT * FROM at10",
     "mrr": f"WITH {_POOL}, {_at(10)} SELECT round(avg(reciprocal_rank), 6) AS mrr, count(*) AS n_queries FROM at10",
     "ndcg": f"""WITH {_POOL}, graded AS (SELECT r.query_id, rank, (CASE WHEN e.item IS NOT NULL THEN 2 ELSE 0 END + coalesce(quality, 0))::DOUBLE AS relevance FROM retrieved r LEFT JOIN labels l ON l.doc_id = r.item LEFT JOIN expected e ON e.query_id = r.query_id AND e.item = r.item WHERE rank <= 10),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import observability as ob
 from tesserae.plans.common import table
+from tesserae.sources.shared import shared_dir
 
 #: Rules over the names that the driver's events have.
 RULES = tuple((f"{e}_{s.lower()}", e + suffix, op, limit, s, "{value} against {threshold}") for e, suffix, op, limit, s in (("click", "", "gt", 40.0, "WARNING"), ("view", "_p95", "gt", 120.0, "CRITICAL"), ("purchase", "_avg", "lt", 60.0, "WARNING"), ("login", "", "gte", 1.0, "WARNING"), ("signup", "_p95", "lte", 1.0, "CRITICAL")))
@@ -62,11 +63,12 @@ def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed metrics by a stream that reads the events file and ends when it has."""
     from tesserae.streaming.ingest import windowed_metrics as stream
 
+    from tesserae.streaming.ingest import newest, updated
+
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"metrics_{uuid.uuid4().hex}"
-    query = stream(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("event_type").alias("name"), F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
+    folder = f"{shared_dir(spark).rstrip('/')}/tesserae/streams/{uuid.uuid4().hex}"
+    updated(stream(source), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return newest(spark, f"{folder}/rows", ["event_type", "start"]).select(F.col("event_type").alias("name"), F.col("start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("vault_id"), role.alias("role"))
 
 
-_MEMBERS = "members AS (SELECT c_custkey AS user_id, 'src' || (c_custkey % 20) AS vault_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'OWNER' WHEN 'BUILDING' THEN 'MANAGER' WHEN 'FURNITURE' THEN 'CONTRIBUTOR' ELSE 'VIEWER' END AS role FROM customer WHERE c_custkey <= 300)"
+_MEMBERS = "members AS (SELECT c_custkey AS user_id, 'src' || (c_custkey % 20) AS vault_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'OWNER' WHEN 'BUILDING' THEN 'MANAGER' WHEN 'FURNITURE' THEN 'CONTRIBUTOR' ELSE 'VIEWER' END AS role FROM customer)"
 
 
 def authorized_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def scope_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCOPE_SQL = f"""WITH {_READ},
-requests AS (SELECT o_orderkey AS request_id, o_custkey % 300 + 1 AS user_id, CASE WHEN o_orderkey % 3 != 0 THEN 'src' || (CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 300 + 1) % 20 ELSE o_orderkey % 22 END) END AS vault_id, CASE WHEN o_orderkey % 4 != 0 THEN o_orderkey % 1200 END AS document_id FROM orders WHERE o_orderkey <= 2000)
+requests AS (SELECT o_orderkey AS request_id, o_custkey + 1 AS user_id, CASE WHEN o_orderkey % 3 != 0 THEN 'src' || (CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey + 1) % 20 ELSE o_orderkey % 22 END) END AS vault_id, CASE WHEN o_orderkey % 4 != 0 THEN o_orderkey % 1200 END AS document_id FROM orders)
 SELECT request_id, r.user_id, r.vault_id, r.document_id, CASE
  WHEN r.vault_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM scopes s WHERE s.user_id = r.user_id AND s.vault_id = r.vault_id) THEN 'VAULT_FORBIDDEN'
  WHEN r.document_id IS NOT NULL AND d.doc_id IS NULL THEN 'DOCUMENT_NOT_FOUND'
@@ -202,7 +202,7 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.checked_transitions(state_events(spark, sf_dir))
 
 
-_EVENTS = f"""ordered AS (SELECT l_orderkey AS document_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS seq FROM lineitem WHERE l_orderkey <= 5000),
+_EVENTS = f"""ordered AS (SELECT l_orderkey AS document_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS seq FROM lineitem),
 states AS (SELECT document_id, seq, (['{"', '".join(_STATE)}'])[CASE WHEN l_partkey % 9 = 0 THEN 9 WHEN l_partkey % 11 = 0 THEN 4 ELSE least(seq, 8) END] AS state FROM ordered)"""
 _ALLOWED = "(" + ", ".join(f"('{a}', '{b}')" for a, b in lifecycle.TRANSITIONS) + ")"
 

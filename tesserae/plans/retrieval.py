@@ -13,10 +13,11 @@ from tesserae.plans.common import DOCUMENTS, codes_sql, collapse_sql, documents,
 K, POOL, DIGITS = 10, 100, 10
 
 
-def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entry_id, document_id, ord, content, title of the lines with text."""
-    d = documents(spark, sf_dir).select("document_id", "title", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "content"))
-    return d.where(F.trim("content") != "").select((F.col("document_id") * 100000 + F.col("at")).alias("entry_id"), "document_id", F.col("at").alias("ord"), "content", "title")
+def line_entries(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """entry_id (document:line), document_id, ord, content, title of the lines with text; of: only of these documents."""
+    d = documents(spark, sf_dir) if of is None else documents(spark, sf_dir).join(of, "document_id", "left_semi")
+    d = d.select("document_id", "title", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "content"))
+    return d.where(F.trim("content") != "").select(F.concat_ws(":", F.col("document_id").cast("string"), F.col("at").cast("string")).alias("entry_id"), "document_id", F.col("at").alias("ord"), "content", "title")
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def knn(metric: str, **more):
 
 _LINES = f"""{DOCUMENTS},
 split AS (SELECT document_id, title, string_split(coalesce(text, ''), chr(10)) AS l FROM docs),
-entries AS (SELECT document_id * 100000 + pos AS entry_id, document_id, pos AS ord, content, title FROM (SELECT document_id, title, unnest(l) AS content, unnest(range(0, len(l))) AS pos FROM split) WHERE trim(content) != '')"""
+entries AS (SELECT document_id || ':' || pos AS entry_id, document_id, pos AS ord, content, title FROM (SELECT document_id, title, unnest(l) AS content, unnest(range(0, len(l))) AS pos FROM split) WHERE trim(content) != '')"""
 _QUESTIONS = f"questions AS (SELECT item_id AS query_id, text AS query, {terms_sql('text')} AS terms FROM benchmark)"
 _HITS = f"""posted AS (SELECT entry_id, c, t, unnest(list_distinct(list_concat(c, t))) AS term FROM (SELECT entry_id, {tokens_sql('content')} AS c, {tokens_sql('title')} AS t FROM entries)),
 asked AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM questions),
@@ -68,9 +69,9 @@ def _knn_sql(metric: str, threshold: float | None = None, labels=None) -> str:
     a, b = "e.embedding::DOUBLE[]", "q.embedding::DOUBLE[]"
     score = {"cosine": f"list_cosine_similarity({a}, {b})", "dot": f"list_inner_product({a}, {b})", "euclid": f"1 / (1 + list_distance({a}, {b}))"}[metric]
     where = f"AND e.label IN ({', '.join(map(str, labels))})" if labels else ""
-    cut = f"WHERE score >= {threshold}" if threshold is not None else ""
-    return f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round({score}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 {where}),
-kept AS (SELECT * FROM scored {cut}) {_ranked_sql('kept', K)}"""
+    cut = f"WHERE raw >= {threshold}" if threshold is not None else ""
+    return f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, {score} AS raw FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 {where}),
+kept AS (SELECT query_id, entry_id, round(raw, 6) AS score FROM scored {cut}) {_ranked_sql('kept', K)}"""
 
 
 def semantic_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +90,13 @@ def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, w = semantic_pool(spark, sf_dir), keyword_pool(spark, sf_dir)
-    found = s.select("query_id", "entry_id").unionByName(w.select("query_id", "entry_id")).distinct()
-    named = found.join(questions(spark, sf_dir), "query_id").join(documents(spark, sf_dir).select(F.col("document_id").alias("entry_id"), "title"), "entry_id")
-    ratio = named.select("query_id", "entry_id", tx.share(tx.tokens("title"), tx.document_codes("query")).alias("ratio"))
-    return retrieval.fuse(s, w, ratio, K).select("query_id", "entry_id", "score", "rank")
+    coded = questions(spark, sf_dir).select("query_id", tx.document_codes("query").alias("codes"))
+    titled = documents(spark, sf_dir).select(F.col("document_id").alias("entry_id"), "title")
+
+    def with_ratio(pairs: DataFrame) -> DataFrame:
+        return pairs.join(coded, "query_id").join(titled, "entry_id").withColumn("ratio", tx.share(tx.tokens("title"), F.col("codes"))).drop("codes", "title")
+
+    return retrieval.fuse(semantic_pool(spark, sf_dir), keyword_pool(spark, sf_dir), with_ratio, K).select("query_id", "entry_id", "score", "rank")
 
 
 _FUSED = f"""{DOCUMENTS}, entries AS (SELECT document_id AS entry_id, text AS content, title FROM docs), {_QUESTIONS}, {_HITS},
@@ -108,11 +111,13 @@ fused AS ({_ranked_sql('fusing', K)})"""
 
 
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = line_entries(spark, sf_dir).select("entry_id", "document_id", "ord")
-    return retrieval.context_window(chunks, keyword_search(spark, sf_dir).where("rank <= 3").select("query_id", "entry_id", "score"), 1)
+    place = F.split("entry_id", ":")
+    hits = keyword_search(spark, sf_dir).select("query_id", "entry_id", place[0].cast("long").alias("document_id"), place[1].cast("int").alias("ord"), "score")
+    chunks = line_entries(spark, sf_dir, hits.select("document_id").distinct()).select("entry_id", "document_id", "ord")
+    return retrieval.context_window(chunks, hits, 1)
 
 
-CONTEXT_SQL = f"""WITH {_LINES}, {_QUESTIONS}, {_HITS}, top AS ({_ranked_sql('hits', 3)}),
+CONTEXT_SQL = f"""WITH {_LINES}, {_QUESTIONS}, {_HITS}, top AS ({_ranked_sql('hits', K)}),
 placed AS (SELECT query_id, document_id, ord AS hit, score FROM top JOIN entries USING (entry_id)),
 near AS (SELECT query_id, e.entry_id, a.score FROM placed a JOIN entries e ON e.document_id = a.document_id AND abs(e.ord - a.hit) <= 1)
 SELECT query_id, entry_id, round(max(score) * 0.8::DOUBLE, 6) AS score FROM near WHERE (query_id, entry_id) NOT IN (SELECT query_id, entry_id FROM top) GROUP BY ALL"""

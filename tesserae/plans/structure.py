@@ -60,10 +60,10 @@ def _title(name: str, p: str, label: str) -> str:
 _CLASSIFIED = f"""{_LINES},
 classified AS (SELECT *, {_case(lambda n, p, x: f"'{n}'")} AS type, {_case(lambda n, p, x: f"regexp_extract(text, '{p}', 1)")} AS number, {_case(_title)} AS title, {_case(lambda n, p, x: strip_sql(f"regexp_extract(text, '{p}', 2)") if n in ('CLAUSE', 'POINT') else 'text')} AS body FROM lined)"""
 _SECTIONS = f"""{_CLASSIFIED},
-marked AS (SELECT *, coalesce(bool_or(type IS NOT DISTINCT FROM 'ARTICLE') OVER b, false) AS seen, max(CASE WHEN type IS NOT NULL THEN line_no END) OVER b AS last_heading, min(CASE WHEN type IN ('CHAPTER', 'ARTICLE', 'APPENDIX') THEN line_no END) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_flush FROM classified WINDOW b AS (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, coalesce(bool_or(type IS NOT DISTINCT FROM 'ARTICLE') OVER b, false) AS seen, max(CASE WHEN type IS NOT NULL THEN line_no END) OVER b AS last_heading, min(CASE WHEN type IN ('CHAPTER', 'ARTICLE', 'APPENDIX') THEN line_no END) OVER n AS next_flush, min(CASE WHEN type IN ('CHAPTER', 'ARTICLE', 'APPENDIX') THEN page_number END) OVER n AS flush_page, max(line_no) OVER d AS end_line, max(page_number) OVER d AS end_page FROM classified WINDOW b AS (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), d AS (PARTITION BY document_id)),
 placed AS (SELECT *, CASE WHEN type IS NULL AND NOT seen THEN coalesce(next_flush, 2147483647) WHEN type IS NULL THEN last_heading ELSE line_no END AS spot, CASE WHEN type IS NULL AND NOT seen THEN 0 ELSE 1 END AS part FROM marked),
-grouped AS (SELECT document_id, spot, part, max(type) AS type, max(number) AS number, max(title) AS title, string_agg(coalesce(body, text), chr(10) ORDER BY line_no) AS text, min(page_number) AS page_start, min(line_no) AS line_start FROM placed GROUP BY ALL),
-sections AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot, part) AS ord, coalesce(type, 'PREAMBLE') AS type, number, coalesce(title, 'Preamble') AS title, {strip_sql('text')} AS text, page_start, line_start FROM grouped)"""
+grouped AS (SELECT document_id, spot, part, max(type) AS type, max(number) AS number, max(title) AS title, string_agg(coalesce(body, text), chr(10) ORDER BY line_no) AS text, min(page_number) AS page_start, min(line_no) AS line_start, CASE WHEN part = 0 THEN coalesce(max(flush_page), max(end_page)) ELSE min(page_number) END AS page_end, CASE WHEN part = 0 THEN coalesce(max(next_flush) - 1, max(end_line)) ELSE min(line_no) END AS line_end FROM placed GROUP BY document_id, spot, part),
+sections AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot, part) AS ord, coalesce(type, 'PREAMBLE') AS type, number, coalesce(title, 'Preamble') AS title, {strip_sql('text')} AS text, page_start, page_end, line_start, line_end FROM grouped)"""
 # The oracle states the parents by correlated subqueries over earlier sections of the group, not by running windows.
 _NODES = f"""{_SECTIONS},
 units AS (SELECT *, max(CASE WHEN type IN ('PREAMBLE', 'CHAPTER', 'ARTICLE', 'APPENDIX') THEN ord END) OVER (PARTITION BY document_id ORDER BY ord) AS u FROM sections),
@@ -72,7 +72,7 @@ part_ones AS (SELECT document_id, u, min(ord) AS first_section FROM units WHERE
 clauses AS (SELECT document_id, u, ord AS clause FROM units WHERE type = 'CLAUSE'),
 parts AS (SELECT document_id, u, ord AS section FROM units WHERE type = 'SECTION'),
 points AS (SELECT p.document_id, p.ord, max(c.clause) AS clause FROM units p JOIN clauses c ON c.document_id = p.document_id AND c.u IS NOT DISTINCT FROM p.u AND c.clause < p.ord WHERE p.type = 'POINT' AND NOT EXISTS (SELECT 1 FROM parts s WHERE s.document_id = p.document_id AND s.u IS NOT DISTINCT FROM p.u AND s.section > c.clause AND s.section < p.ord) GROUP BY ALL),
-parented AS (SELECT x.document_id, x.ord, x.type, x.number, x.title, x.text, x.page_start, x.line_start, CASE
+parented AS (SELECT x.document_id, x.ord, x.type, x.number, x.title, x.text, x.page_start, x.page_end, x.line_start, CASE
  WHEN x.type = 'SECTION' AND h.type = 'CHAPTER' AND NOT coalesce(i.first_inner < x.ord, false) THEN x.u
  WHEN x.type = 'CLAUSE' AND h.type = 'ARTICLE' AND NOT coalesce(s.first_section < x.ord, false) AND i.first_type = 'CLAUSE' THEN x.u
  WHEN x.type = 'POINT' THEN coalesce(q.clause, 0) ELSE 0 END AS parent
@@ -117,7 +117,7 @@ def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preamble_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections(spark, sf_dir).select("document_id", "ord", "type", "title", F.md5("text").alias("text_md5"), "page_start", "line_start")
+    return sections(spark, sf_dir).select("document_id", "ord", "type", "title", F.md5("text").alias("text_md5"), "page_start", "page_end", "line_start", "line_end")
 
 
 def hierarchy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +214,11 @@ SQL = {
     "doc_lines": f"WITH {_PLAIN} SELECT * FROM plain",
     "line_numbers": f"WITH {_PLAIN} SELECT document_id, page_number, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines FROM plain GROUP BY ALL",
     "line_classify": f"WITH {_CLASSIFIED} SELECT document_id, line_no, type, number, title, body FROM classified",
-    "preamble_islands": f"WITH {_SECTIONS} SELECT document_id, ord, type, title, md5(text) AS text_md5, page_start, line_start FROM sections",
+    "preamble_islands": f"WITH {_SECTIONS} SELECT document_id, ord, type, title, md5(text) AS text_md5, page_start, page_end, line_start, line_end FROM sections",
     "hierarchy_nodes": f"WITH {_NODES} SELECT document_id, ord, type, parent, sibling, depth FROM nodes",
     "canonical_reference": f"WITH {_WALKED} SELECT document_id, ord, reference, own_reference AS short_reference FROM walked",
     "node_path": f"WITH {_WALKED} SELECT document_id, ord, path FROM walked",
-    "tree_statistics": f"WITH {_NODES} SELECT document_id, count(*) + 1 AS n_nodes, max(depth) AS max_depth, count(*) FILTER (type = 'ARTICLE') AS n_article, count(*) FILTER (type = 'CLAUSE') AS n_clause, count(*) FILTER (type = 'APPENDIX') AS n_appendix, greatest(1, max(page_start)) AS last_page FROM nodes GROUP BY document_id",
+    "tree_statistics": f"WITH {_NODES} SELECT document_id, count(*) + 1 AS n_nodes, max(depth) AS max_depth, count(*) FILTER (type = 'ARTICLE') AS n_article, count(*) FILTER (type = 'CLAUSE') AS n_clause, count(*) FILTER (type = 'APPENDIX') AS n_appendix, greatest(1, max(page_end)) AS last_page FROM nodes GROUP BY document_id",
     "tree_violations": f"""WITH {_WALKED}, found AS (
 SELECT document_id, ord, 'duplicate_reference' AS problem, 'warning' AS severity FROM walked w WHERE reference != '' AND EXISTS (SELECT 1 FROM walked v WHERE v.document_id = w.document_id AND v.reference = w.reference AND v.ord < w.ord)
 UNION ALL SELECT document_id, ord, 'duplicate_path', 'warning' FROM walked w WHERE EXISTS (SELECT 1 FROM walked v WHERE v.document_id = w.document_id AND v.path = w.path AND v.ord < w.ord)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tesserae.operators.lifecycle import TRANSITIONS
 from tesserae.operators.observability import windowed
+from tesserae.operators.registry import latest
 
 
 def documents(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -50,3 +51,17 @@ def checked_states(events: DataFrame) -> DataFrame:
 def windowed_metrics(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts and sums by hour and event type of a stream of events."""
     return windowed(events, ["event_type"], "ts", "1 hour", late)
+
+
+def updated(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes every group that a micro-batch changes to the batch's folder in target; state that the watermark has passed is dropped."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last state of each group that ``updated`` has written."""
+    return latest(spark.read.parquet(target), keys, "batch").drop("batch")
