@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
-    return sc.getCheckpointDir()
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/tesserae/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +21,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The table stays until the folder is cleared, as later queries may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,6 +32,6 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the tables that ``staged`` has written; results that read them must have been written or collected before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tesserae")
+    """Deletes the tables that this application has staged; results that read them must have been written or collected before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

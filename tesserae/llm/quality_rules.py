@@ -3,14 +3,21 @@
 Four statistics of each text that passes the base rules are transformed into a vector; location and scatter
 of these vectors are estimated for every (lang, source), every lang and the whole corpus by concentration
 steps: distances under the current estimate, the closest ``ALPHA`` of the documents, their moments, anew.
-A step is one pass with partial aggregation: distances are put into ``BINS`` bins of fixed edges, moments are
-summed by bin, and each group's bins (a bounded number) give its closest part. So a group of any size costs a
-task no more than its bins. The start is the median and MAD of every coordinate. ``FLOOR`` is added to the
-scatter's diagonal, as most texts have no symbol and no repetition at all and a plain determinant would be 0.
-A group with fewer than ``LEAST`` documents takes the estimate of its language, then of the corpus; where the
-corpus is smaller, the base rules decide alone.
-
-Defined cases: null text counts as empty (and fails); null lang or source counts as ''.
+A step is one pass with partial aggregation: distances are put into ``BINS`` bins of fixed edges (64 a doubling of
+1 + squared distance), moments are summed by bin, and each group's bins (a bounded number) give its closest part. So a
+group of any size costs a task no more than its bins.
+
+There are three starts: the median and MAD of every coordinate, the moments of all documents, and the moments of those
+that no coordinate puts further than ``NEAR`` MADs from its median. Each takes ``FIRST`` steps; the one with the least determinant
+goes on until no group's determinant falls by more than ``SETTLED`` of itself, or ``STEPS`` steps are done. ``FLOOR`` is
+added to the scatter's diagonal, as most texts have no symbol and no repetition at all and a plain determinant would be 0.
+
+A group of ``LEAST`` documents on stands on its own; a smaller one of n is drawn towards its language's estimate, by
+1 - n / LEAST of the way in location and scatter, and a small language towards the corpus, so that no group changes its
+judge at a size. Where the corpus itself has fewer than LEAST, the base rules decide alone.
+
+Defined cases: null text counts as empty (and fails); null lang or source counts as ''; rows that repeat an id or have
+none are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +37,10 @@ from tesserae.llm._shared import staged
 from tesserae.llm._text import Words, mix, pieces
 
 P = 4
-ALPHA, STEPS, BINS = 0.75, 4, 1024
-#: Documents that an estimate needs: five for each coordinate.
+ALPHA, FIRST, STEPS, SETTLED, NEAR, BINS = 0.75, 2, 12, 1e-3, 2.5, 1024
+#: Documents from which on an estimate stands on its own: five for each coordinate.
 LEAST = 5 * P
+STARTS = 3
 #: Least standard deviation of each coordinate: log of the mean word length; roots of the rates of symbols, repeated lines, repeated words.
 FLOOR = (0.08, 0.08, 0.16, 0.16)
 #: A clean document's chance to lie beyond the cut, were the vectors normal.
@@ -132,14 +140,30 @@ def _bin(d2: Column) -> Column:
 
 #: Fixed edges of the bins of each coordinate, for medians.
 _LOW, _WIDTH = -1.0, 8.0 / BINS
-_FIT = "lang string, source string, level int, n long, mean array<double>, inverse array<double>"
+_FIT = "lang string, source string, level int, start int, n long, mean array<double>, scatter array<double>, inverse array<double>, logdet double"
 _GROUP = ["level", "lang", "source"]
+_EACH = [*_GROUP, "start"]
+
+
+def _said(values) -> list[float]:
+    return [float(f"{x:.9e}") for x in values]
 
 
 def _params(key, n: int, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(scatter + np.diag(np.square(FLOOR)))
-    packed = [inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS]
-    return pd.DataFrame({"lang": [key[1]], "source": [key[2]], "level": [key[0]], "n": [n], "mean": [[float(f"{x:.9e}") for x in mean]], "inverse": [[float(f"{x:.9e}") for x in packed]]})
+    """A fit as a row; scatter is given without the floor."""
+    full = scatter + np.diag(np.square(FLOOR))
+    inverse = np.linalg.inv(full)
+    return pd.DataFrame({
+        "lang": [key[1]], "source": [key[2]], "level": [key[0]], "start": [key[3]], "n": [n], "mean": [_said(mean)], "scatter": [_said([scatter[i, j] for i, j in _PAIRS])],
+        "inverse": [_said([inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS])], "logdet": [float(np.linalg.slogdet(full)[1])],
+    })
+
+
+def _full(packed) -> np.ndarray:
+    out = np.zeros((P, P))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[i, j] = out[j, i] = packed[k]
+    return out
 
 
 def _weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
@@ -154,24 +178,57 @@ def _start(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         middle, counts = _LOW + (own["bin"].to_numpy() + 0.5) * _WIDTH, own["n"].to_numpy()
         mean[i] = _weighted_median(middle, counts)
         spread[i] = 1.4826 * _weighted_median(np.abs(middle - mean[i]), counts)
-    return _params(key, int(rows.loc[rows["at"] == 0, "n"].sum()), mean, np.diag(spread**2))
+    return _params((*key, 0), int(rows.loc[rows["at"] == 0, "n"].sum()), mean, np.diag(spread**2))
+
+
+def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    n = rows["n"].sum()
+    mean = np.array([rows[f"s{i}"].sum() / n for i in range(P)])
+    scatter = np.zeros((P, P))
+    for i, j in _PAIRS:
+        scatter[i, j] = scatter[j, i] = rows[f"s{i}_{j}"].sum() / n - mean[i] * mean[j]
+    return mean, scatter
+
+
+def _begin(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+    """Moments of all documents (start 1) and of the near ones (start 2), or of all where none is near."""
+    total, near = int(rows["n"].sum()), rows[rows["near"]]
+    return pd.concat([_params((*key, 1), total, *_moments(rows)), _params((*key, 2), total, *_moments(near if len(near) else rows))])
 
 
 def _step(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("bin")
     total = int(rows["n"].sum())
     last = int(np.searchsorted(np.cumsum(rows["n"].to_numpy()), math.ceil(ALPHA * total)))
-    near = rows.iloc[: last + 1]
-    n = near["n"].sum()
-    mean = np.array([near[f"s{i}"].sum() / n for i in range(P)])
-    scatter = np.zeros((P, P))
-    for i, j in _PAIRS:
-        scatter[i, j] = scatter[j, i] = near[f"s{i}_{j}"].sum() / n - mean[i] * mean[j]
+    mean, scatter = _moments(rows.iloc[: last + 1])
     return _params(key, total, mean, scatter * CONSISTENCY)
 
 
+def drawn(mean: np.ndarray, scatter: np.ndarray, n: int, above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """A group's location and scatter, drawn towards those of the level above if it is small."""
+    if n >= LEAST:
+        return mean, scatter
+    if above is None:
+        return None
+    own = n / LEAST
+    return own * mean + (1 - own) * above[0], own * scatter + (1 - own) * above[1]
+
+
+def _towards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fits drawn towards the estimate that comes with them (above_mean, above_scatter); those of the corpus have none."""
+    for rows in batches:
+        out = []
+        for _, r in rows.iterrows():
+            above = None if r["above_mean"] is None else (np.array(r["above_mean"]), _full(r["above_scatter"]))
+            found = drawn(np.array(r["mean"]), _full(r["scatter"]), int(r["n"]), above)
+            if found is not None:
+                out.append(_params((r["level"], r["lang"], r["source"], r["start"]), int(r["n"]), *found))
+        if out:
+            yield pd.concat(out)
+
+
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates by (level, lang, source): 2 for a source of a language, 1 for a language, 0 for the corpus; small groups have none.
+    """Estimates by (level, lang, source): 2 for a source of a language, 1 for a language; none where the corpus is too small.
 
     rows: lang, source, x0 .. x3 of the documents that pass the base rules.
     """
@@ -181,12 +238,38 @@ def fit(rows: DataFrame) -> DataFrame:
     each = rows.select(F.explode(levels).alias("g"), *x).select("g.*", *x)
     cells = [F.struct(F.lit(i).alias("at"), F.greatest(F.lit(0), F.least(F.floor((v - _LOW) / _WIDTH), F.lit(BINS - 1))).cast("int").alias("bin")) for i, v in enumerate(x)]
     counts = each.select(*_GROUP, F.explode(F.array(*cells)).alias("c")).groupBy(*_GROUP, "c.at", "c.bin").agg(F.count("*").alias("n"))
-    now = staged(counts.groupBy(*_GROUP).applyInPandas(_start, _FIT).where(F.col("n") >= LEAST), "mcd")
-    for _ in range(STEPS):
-        placed = each.join(now.select(*_GROUP, F.struct("mean", "inverse").alias("fit")), _GROUP).withColumn("bin", _bin(_distance(x, F.col("fit"))))
-        sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _PAIRS]
-        now = staged(placed.groupBy(*_GROUP, "bin").agg(F.count("*").alias("n"), *sums).groupBy(*_GROUP).applyInPandas(_step, _FIT), "mcd")
-    return now
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    fits = F.struct("mean", "inverse").alias("fit")
+
+    def step(now: DataFrame) -> DataFrame:
+        placed = each.join(now.select(*_EACH, fits), _GROUP).withColumn("bin", _bin(_distance(x, F.col("fit"))))
+        return staged(placed.groupBy(*_EACH, "bin").agg(F.count("*").alias("n"), *sums).groupBy(*_EACH).applyInPandas(_step, _FIT), "mcd")
+
+    robust = staged(counts.groupBy(*_GROUP).applyInPandas(_start, _FIT), "mcd")
+    near = F.lit(True)
+    for i, v in enumerate(x):
+        k = _PAIRS.index((i, i))
+        near = near & (F.abs(v - F.col("fit.mean")[i]) <= NEAR * F.sqrt(F.col("fit.scatter")[k] + F.lit(FLOOR[i] ** 2)))
+    judged = each.join(robust.select(*_GROUP, F.struct("mean", "scatter").alias("fit")), _GROUP).withColumn("near", near)
+    begun = judged.groupBy(*_GROUP, "near").agg(F.count("*").alias("n"), *sums).groupBy(*_GROUP).applyInPandas(_begin, _FIT)
+    now = staged(robust.unionByName(begun), "mcd")
+    for _ in range(FIRST):
+        now = step(now)
+    now = staged(now.groupBy(*_GROUP).agg(F.min_by(F.struct(*now.columns), F.struct("logdet", "start")).alias("r")).select("r.*"), "mcd")
+    for _ in range(STEPS - FIRST):
+        after = step(now)
+        fall = now.select(*_GROUP, F.col("logdet").alias("before")).join(after, _GROUP).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        now = after
+        if fall is None or fall <= SETTLED:
+            break
+    # From the corpus down: each level is drawn towards the one above it.
+    corpus = now.where("level = 0").withColumns({"above_mean": F.lit(None).cast("array<double>"), "above_scatter": F.lit(None).cast("array<double>")}).mapInPandas(_towards, _FIT).first()
+    if corpus is None:
+        return now.limit(0)
+    over = {"above_mean": F.lit(list(corpus["mean"])), "above_scatter": F.lit(list(corpus["scatter"]))}
+    languages = staged(now.where("level = 1").withColumns(over).mapInPandas(_towards, _FIT), "languages")
+    above = languages.select("lang", F.col("mean").alias("above_mean"), F.col("scatter").alias("above_scatter"))
+    return staged(languages.unionByName(now.where("level = 2").join(above, "lang").mapInPandas(_towards, _FIT)), "estimates")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out: str = "__quality") -> DataFrame:
@@ -200,10 +283,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"])):
         own_fit = fits.where(F.col("level") == level).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct("mean", "inverse").alias(f"__fit{level}"))
         out_rows = out_rows.join(own_fit, [f"__{k}" for k in keys], "left")
-    corpus = fits.where("level = 0").first()  # one row at most
-    whole = F.lit(None).cast("struct<mean:array<double>,inverse:array<double>>") if corpus is None else F.struct(F.lit(corpus["mean"]).alias("mean"), F.lit(corpus["inverse"]).alias("inverse"))
     stats = F.col("__stats")
-    distance = _distance(vector(stats), F.coalesce(F.col("__fit2"), F.col("__fit1"), whole))
+    distance = _distance(vector(stats), F.coalesce(F.col("__fit2"), F.col("__fit1")))
     failed = base_failed(stats)
     return out_rows.select(*docs.columns, F.struct(*[stats[k].alias(k) for k in STATS], failed.alias("base_failed"), distance.alias("distance"), (~failed & F.coalesce(distance <= CUT, F.lit(True))).alias("kept")).alias(out))
 

@@ -97,31 +97,46 @@ def secrets(text):
     return sorted(out)
 
 
-def mcd(groups, alpha, steps, floor, consistency, low, width, bins):
-    """Location and inverse scatter of each group by the same steps, over plain arrays."""
+def mcd(groups, q):
+    """Location and scatter of each group by the same starts and steps, over plain arrays; q: the module with its parameters."""
     import math
 
     import numpy as np
 
-    out = {}
-    for key, x in groups.items():
-        ridge = np.diag(np.square(floor))
+    ridge, fits = np.diag(np.square(q.FLOOR)), {}
+
+    def median(v):
+        return np.sort(v)[math.ceil(len(v) / 2) - 1]
+
+    def moments(x):
+        return x.mean(0), np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
 
-        def median(v):
-            return np.sort(v)[math.ceil(len(v) / 2) - 1]
+    def step(x, mean, scatter):
+        inverse = np.linalg.inv(scatter + ridge)
+        d2 = np.maximum(np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean), 0)
+        place = np.minimum(np.floor(np.log2(1 + d2) * 64), q.BINS - 1)
+        mean, scatter = moments(x[place <= np.sort(place)[math.ceil(q.ALPHA * len(x)) - 1]])
+        return mean, scatter * q.CONSISTENCY
 
-        cell = low + (np.clip(np.floor((x - low) / width), 0, bins - 1) + 0.5) * width
+    def size(fit):
+        return np.linalg.slogdet(fit[1] + ridge)[1]
+
+    for key, x in groups.items():
+        cell = q._LOW + (np.clip(np.floor((x - q._LOW) / q._WIDTH), 0, q.BINS - 1) + 0.5) * q._WIDTH
         mean = np.array([median(c) for c in cell.T])
-        spread = np.array([1.4826 * median(np.abs(c - m)) for c, m in zip(cell.T, mean, strict=True)])
-        inverse = np.linalg.inv(np.diag(spread**2) + ridge)
-        for _ in range(steps):
-            d2 = np.maximum(np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean), 0)
-            place = np.minimum(np.floor(np.log2(1 + d2) * 64), bins - 1)
-            near = x[place <= np.sort(place)[math.ceil(alpha * len(x)) - 1]]
-            mean = near.mean(0)
-            inverse = np.linalg.inv(np.cov(near.T, bias=True) * consistency + ridge)
-        out[key] = mean, inverse
-    return out
+        robust = mean, np.diag(np.square([1.4826 * median(np.abs(c - m)) for c, m in zip(cell.T, mean, strict=True)]))
+        near = (np.abs(x - mean) <= q.NEAR * np.sqrt(np.diag(robust[1] + ridge))).all(1)
+        starts = [robust, moments(x), moments(x[near] if near.any() else x)]
+        for _ in range(q.FIRST):
+            starts = [step(x, *s) for s in starts]
+        fits[key] = starts[int(np.argmin([round(size(s), 7) for s in starts]))]
+    for _ in range(q.STEPS - q.FIRST):
+        after = {k: step(groups[k], *f) for k, f in fits.items()}
+        fall = max(size(fits[k]) - size(after[k]) for k in fits)
+        fits = after
+        if fall <= q.SETTLED:
+            break
+    return fits
 
 
 def grouped(pairs):

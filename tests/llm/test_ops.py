@@ -180,9 +180,8 @@ def test_quality_counts(spark, case_dir, cases):
     assert got == want
 
 
-def test_quality_estimates(spark, sf_dir, monkeypatch):
-    """Distances of all documents against the same steps over plain arrays."""
-    monkeypatch.setattr(quality_rules, "LEAST", 25)
+def test_quality_estimates(spark):
+    """Distances of all documents against the same steps over plain arrays, at the production parameters."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     x, keys = {}, {}
     for r in docs.collect():
@@ -190,25 +189,40 @@ def test_quality_estimates(spark, sf_dir, monkeypatch):
         if n >= 50 and 100 * repeats <= 50 * n:
             x[r.doc_id] = np.array([np.log(chars / n), np.sqrt(symbols / n), np.sqrt(again / lines), np.sqrt(repeats / n)])
             keys[r.doc_id] = (r.lang, r.source)
-    levels = [("", ""), ("lang", ""), ("lang", "source")]
-    groups = {}
+    q, groups = quality_rules, {}
     for level in range(3):
-        part = brute.grouped(((level, *(k if n else "" for k, n in zip(keys[d], levels[level], strict=True))), v) for d, v in x.items())
-        groups |= {k: np.array(v) for k, v in part.items() if len(v) >= 25}
-    q = quality_rules
-    fits = brute.mcd(groups, q.ALPHA, q.STEPS, q.FLOOR, q.CONSISTENCY, q._LOW, q._WIDTH, q.BINS)
+        part = brute.grouped(((level, *(k if i < level else "" for i, k in enumerate(keys[d]))), v) for d, v in x.items())
+        groups |= {k: np.array(v) for k, v in part.items()}
+    fits = brute.mcd(groups, q)
+    final = {(0, "", ""): fits[0, "", ""]}
+    for key in sorted(k for k in fits if k[0]):
+        above = final[(1, key[1], "") if key[0] == 2 else (0, "", "")]
+        own = min(1.0, len(groups[key]) / q.LEAST)
+        final[key] = tuple(own * a + (1 - own) * b for a, b in zip(fits[key], above, strict=True))
     checked = 0
     for r in q.judge(docs).select("doc_id", "__quality.*").collect():
         if r.doc_id in x:
-            lang, source = keys[r.doc_id]
-            mean, inverse = next(fits[k] for k in ((2, lang, source), (1, lang, ""), (0, "", "")) if k in fits)
-            want = (x[r.doc_id] - mean) @ inverse @ (x[r.doc_id] - mean)
-            assert r.distance == pytest.approx(want, rel=1e-5, abs=1e-6)
+            mean, scatter = final[(2, *keys[r.doc_id])]
+            gap = x[r.doc_id] - mean
+            want = gap @ np.linalg.inv(scatter + np.diag(np.square(q.FLOOR))) @ gap
+            assert r.distance == pytest.approx(want, rel=1e-4, abs=1e-5)
             assert r.kept == (r.distance <= q.CUT)
             checked += 1
     assert checked > 700
 
 
+def test_quality_least_determinant(spark):
+    """A third of a group is one tight crowd of other texts: the estimate is that of the rest, and the crowd goes."""
+    draw = random.Random(8)
+
+    def text(mean, spread):
+        return " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=max(1, mean + draw.randint(-spread, spread)))) for _ in range(90))
+
+    rows = [(i, text(5, 2), "en", "s") for i in range(200)] + [(1000 + i, text(14, 1), "en", "s") for i in range(60)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "__quality.kept").collect()}
+    assert sum(got[i] for i in range(200)) >= 199 and not any(got[1000 + i] for i in range(60))
+
+
 def test_quality_keeps_clean(spark):
     """Labelled documents of the driver: all of good quality that pass the base rules stay, most bad ones go."""
     sf = "/root/testdata/sf0.1"
@@ -332,16 +346,32 @@ def test_sharding(spark, case_dir, cases):
 
 def test_sharding_balance(spark):
     out = sharding.query(spark, "/root/testdata/sf0.1")
-    load = out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).toPandas()
-    assert len(load) == 40 and load.b.max() / load.b.mean() < 1.002 and load.n.max() / load.n.mean() < 1.05
+    load = out.groupBy("shard").agg(F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("n")).toPandas()
+    off = {c: (load[c] / load[c].mean() - 1).abs().max() for c in "btn"}
+    assert len(load) == 40 and off["b"] < 0.002 and off["t"] < 0.01 and off["n"] < 0.03, off
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     assert out.join(texts, "doc_id").groupBy("text").agg(F.count_distinct("shard").alias("k")).where("k > 1").count() == 0
 
 
 def test_sharding_hot_group(spark):
-    rows = [(i, "hot text of some length " * 9) for i in range(800)] + [(1000 + i, f"text {i} " * 12) for i in range(1600)]
-    load = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
-    assert load.max() / load.mean() < 1.03
+    """A group of a third of all rows is parted evenly, also where its rows have no id."""
+    rows = [(i if i % 2 else None, "hot text of some length " * 9) for i in range(800)] + [(1000 + i, f"text {i} " * 12) for i in range(1600)]
+    load = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("n")).toPandas()
+    assert all(load[c].max() / load[c].mean() < 1.05 for c in "btn")
+
+
+def test_assign_balances_all_measures():
+    draw = np.random.default_rng(3)
+    items = np.exp(draw.normal(0, 1.2, (1500, 1))) * np.exp(draw.normal(0, 0.5, (1500, 3)))
+    items = np.concatenate([items, [[items[:, 0].sum() / 20, 1, 1]] * 3])  # three of two shards' bytes each
+    load = np.zeros((20, 3))
+    np.add.at(load, sharding.assign(items, 20), items)
+    plain = items[:1500]
+    even = np.zeros((20, 3))
+    np.add.at(even, sharding.assign(plain, 20), plain)
+    off = np.abs(even / even.mean(0) - 1).max(0)
+    assert off[0] < 0.005 and off[1:].max() < 0.02 and load.shape == (20, 3)
+    assert set(sharding.assign(np.zeros((0, 3)), 4).tolist()) == set() and len(sharding.assign(np.zeros((5, 3)), 4)) == 5
 
 
 def neighbours(rows, top=10):
