@@ -329,10 +329,41 @@ def test_licenses(spark, case_dir, sf_dir, where):
         assert {(52, "Apache-2.0"), (52, "All-rights-reserved")} <= {r[:2] for r in want}
 
 
-def test_license_cover():
-    for text in license_scan.TEMPLATES.values():
-        free = [s for s in license_scan.template_shingles(text) if not set(s.split()) & set(license_scan.cover())]
-        assert len(free) < license_scan.least(text)
+def test_license_bodies(spark):
+    """Whole, edited, cut and prose-surrounded bodies against exact containment in all regions, stated in SQL."""
+    from conftest import prose
+
+    draw, rows = random.Random(4), []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        for e, edits in enumerate((0, 0, 1, 3, 6, 12, 25)):
+            words = text.split()
+            for _ in range(min(edits, len(words) // 8)):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(99)}"
+            if e == 6:
+                words = words[len(words) // 5 :]
+            rows.append((k * 10 + e, prose(k, draw.randrange(0, 60)) + "\n" + " ".join(words) + " " + prose(e, draw.randrange(0, 60))))
+    rows += [(9000, None), (9001, ""), (None, "All rights reserved"), (9002, prose(1, 20_000) + " " + license_scan.TEMPLATES["MIT-body"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"words": F.lit(1), "license": F.lit("x"), "region": F.lit(2)}).repartition(5)
+    con = duckdb.connect()
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+    con.register("documents", documents)
+    want = {tuple(None if x != x else x for x in r) for r in con.sql(license_scan.SQL).fetchall()}
+    got = {tuple(r) for r in license_scan.scan(df).collect()}
+    assert got == want and {r[1] for r in want} == set(license_scan.TEMPLATES)
+
+
+def test_license_collision_curve(spark):
+    """Windows of known similarity share a band as often as stated."""
+    draw, rows = random.Random(7), []
+    for i in range(600):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(license_scan.WINDOW)]
+        other = words[:]
+        other[draw.choice([5, 8, 10])] = "edited"  # of 14 shingles three differ: 11 / 17
+        rows.append((i, words, other))
+    bands = lambda c: license_scan._let(license_scan._let(F.col(c), license_scan._hashes), lambda h: license_scan._banded(h, license_scan.STEP))
+    met = spark.createDataFrame(rows, "i int, a array<string>, b array<string>").select(F.arrays_overlap(bands("a"), bands("b")).alias("met"), F.arrays_overlap(bands("a"), bands("a")).alias("same"))
+    got = met.agg(F.avg(F.col("met").cast("int")), F.min("same")).first()
+    assert abs(got[0] - license_scan.chance(11 / 17)) < 0.05 and got[1] and license_scan.chance(0.8) > 0.98
 
 
 def test_sharding(spark, case_dir, cases):
