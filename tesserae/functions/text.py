@@ -142,8 +142,11 @@ def reports_no_evidence(c: Column | str) -> Column:
 
 
 def normalised_tags(c: Column | str) -> Column:
-    """Tags of a comma- or line-separated list: single spaces, first spelling of each, at most 64 characters and 20 tags."""
-    raw = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\n", ","), ","), collapse), lambda t: (t != "") & (F.length(t) <= 64))
+    """Tags of a JSON array of strings or a comma- or line-separated list: single spaces, first spelling of each, at most 64 characters and 20 tags."""
+    text = F.coalesce(col(c), F.lit(""))
+    listed = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
+    parts = F.coalesce(F.filter(listed, lambda t: t.isNotNull()), F.split(F.regexp_replace(text, r"\n", ","), ","))
+    raw = F.filter(F.transform(parts, collapse), lambda t: (t != "") & (F.length(t) <= 64))
     low = F.transform(raw, F.lower)
     kept = F.filter(F.transform(raw, lambda t, i: F.struct(t.alias("tag"), (F.array_position(low, F.lower(t)) == i + 1).alias("first"))), lambda x: x["first"])
     return F.slice(F.transform(kept, lambda x: x["tag"]), 1, 20)

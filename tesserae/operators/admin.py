@@ -116,12 +116,79 @@ def job_list(jobs: DataFrame, documents: DataFrame, states: DataFrame) -> DataFr
     return jobs.join(documents.select("document_id", "title"), "document_id").join(states.select("document_id", "state"), "document_id")
 
 
+def upload_status(documents: DataFrame, states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every document with its state and its last job's status, null where there is none."""
+    last = jobs.groupBy("document_id").agg(F.max_by("last_status", F.struct("created_at", "job_id")).alias("last_status"))
+    return documents.select("document_id").join(states.select("document_id", "state"), "document_id", "left").join(last, "document_id", "left")
+
+
 def reprocessed(stage: str) -> list[str]:
     """Tables that are built anew when a stage is repeated: its own and those after it."""
     names = [s for s, _ in STAGES]
     return [t for _, t in STAGES[names.index(stage) :]]
 
 
+def reprocess(stage: str, tables: dict[str, DataFrame], builders: dict[str, Callable[[DataFrame], DataFrame]], of: DataFrame) -> dict[str, DataFrame]:
+    """The tables after a stage is repeated for some documents (document_id): their rows from that stage on are built anew.
+
+    tables also has "files", which the first stage reads; builders map the rows of the table before to those of a table.
+    """
+    order = ["files", *[t for _, t in STAGES]]
+    out, of = dict(tables), of.select("document_id").distinct()
+    todo = reprocessed(stage)
+    source = tables[order[order.index(todo[0]) - 1]].join(of, "document_id", "left_semi")
+    for name in todo:
+        source = builders[name](source)
+        out[name] = tables[name].join(of, "document_id", "left_anti").unionByName(source)
+    return out
+
+
+#: Fixed answer where there is nothing to answer from.
+NO_EVIDENCE = "Không tìm thấy thông tin phù hợp trong phạm vi tài liệu được chọn."
+
+
+def generated(queries: DataFrame, prompts: DataFrame, fallback: DataFrame, model: Callable[[str], str] | None = None) -> DataFrame:
+    """query_id, content, status: a model's answer to each prompt; NO_EVIDENCE without a prompt, or where the model says so.
+
+    Where the model fails or none is given, the template answer (fallback: query_id, content) stands in.
+    """
+
+    @F.pandas_udf("string")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(prompt):
+            try:
+                return model(prompt) if prompt else None
+            except Exception:  # a failing provider leaves the template answer
+                return None
+
+        for batch in series:
+            yield batch.map(one)
+
+    rows = queries.select("query_id").join(prompts.select("query_id", "prompt"), "query_id", "left").join(fallback.select("query_id", F.col("content").alias("template")), "query_id", "left")
+    said = F.lit(None).cast("string") if model is None else run(F.col("prompt"))
+    rows = rows.withColumn("said", said).withColumn("none", F.col("prompt").isNull() | F.coalesce(tx.reports_no_evidence(F.col("said")), F.lit(False)))
+    content = F.when(F.col("none"), F.lit(NO_EVIDENCE)).otherwise(F.coalesce("said", "template"))
+    return rows.select("query_id", content.alias("content"), F.when(F.col("none"), "NO_EVIDENCE").otherwise("SUCCESS").alias("status"))
+
+
+def member_errors(events: DataFrame, vaults: DataFrame) -> DataFrame:
+    """Member events (vault_id, user_id, seq, action, role) that are refused, with error; vaults: vault_id, owner.
+
+    An owner can't be removed or changed; who is a member can't be added again; who isn't can't be removed or changed.
+    """
+    order = Window.partitionBy("vault_id", "user_id").orderBy("seq")
+    rows = events.withColumn("before", F.lag("action").over(order)).join(vaults.select("vault_id", "owner"), "vault_id", "left")
+    inside = F.coalesce(F.col("before") != "REMOVE", F.lit(False))
+    owner = F.coalesce(F.col("user_id") == F.col("owner"), F.lit(False))
+    error = (
+        F.when(F.col("owner").isNull(), "unknown_vault")
+        .when(owner & (F.col("action") != "ADD"), "owner_protected")
+        .when((F.col("action") == "ADD") & (inside | owner), "already_member")
+        .when((F.col("action") != "ADD") & ~inside, "not_a_member")
+    )
+    return rows.withColumn("error", error).where("error is not null").select("vault_id", "user_id", "seq", "action", "error")
+
+
 def marked_stale(embeddings: DataFrame, stale: Column) -> DataFrame:
     return embeddings.withColumn("status", F.when(stale & (F.col("status") == "ACTIVE"), "STALE").otherwise(F.col("status")))
 

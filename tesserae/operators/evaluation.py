@@ -81,3 +81,22 @@ def sample_cases(spark, n: int = 10) -> DataFrame:
         F.format_string("case-%03d", i).alias("id"), F.lit("1.0").alias("version"), F.format_string("Case %d", i).alias("title"), F.when(i % 3 == 0, "citation").when(i % 3 == 1, "retrieval").otherwise("generation").alias("category"),
         F.when(i % 2 == 0, "hard").otherwise("easy").alias("difficulty"), F.lit("vi").alias("language"), F.format_string("Question %d?", i).alias("question"), F.array(F.format_string("doc-%d", i)).alias("expected_documents"),
     )
+
+
+def case_verdicts(rows: DataFrame, least_recall: float = 0.5, least_precision: float = 0.5) -> DataFrame:
+    """answer_id, retrieval, citation, generation, pipeline, failure (the first component that failed).
+
+    rows: answer_id, recall, precision, n_chars, abstained, should_abstain. An answer that should abstain passes generation
+    if it does; another if it says something and doesn't abstain.
+    """
+    generation = F.when(F.col("should_abstain"), F.col("abstained")).otherwise(~F.col("abstained") & (F.col("n_chars") > 0))
+    out = rows.select("answer_id", (F.col("recall") >= least_recall).alias("retrieval"), (F.col("precision") >= least_precision).alias("citation"), generation.alias("generation"))
+    failure = F.when(~F.col("retrieval"), "RETRIEVAL").when(~F.col("citation"), "CITATION").when(~F.col("generation"), "GENERATION")
+    return out.withColumns({"pipeline": F.col("retrieval") & F.col("citation") & F.col("generation"), "failure": failure})
+
+
+def component_report(verdicts_: DataFrame) -> DataFrame:
+    """Cases, passes and pass rate of each component."""
+    parts = ["retrieval", "citation", "generation", "pipeline"]
+    long = verdicts_.unpivot("answer_id", parts, "component", "passed")
+    return long.groupBy("component").agg(F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"), F.round(F.count_if("passed") / F.count("*"), 6).alias("pass_rate"))

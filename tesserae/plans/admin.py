@@ -62,6 +62,20 @@ def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_list(jobs, documents(spark, sf_dir), states).select("job_id", "document_id", "last_status", "state", "title")
 
 
+def upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = pg.state_events(spark, sf_dir).groupBy("document_id").agg(F.max_by("state", "seq").alias("state"))
+    return admin.upload_status(documents(spark, sf_dir), states, pg.job_lifecycle(spark, sf_dir))
+
+
+def member_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as member events of the customers' vaults."""
+    o = table(spark, sf_dir, "orders")
+    action = F.when(F.col("o_orderstatus") == "F", "REMOVE").when(F.col("o_orderstatus") == "O", "ADD").otherwise("CHANGE")
+    events = o.select((F.col("o_custkey") % 70).alias("vault_id"), (F.col("o_custkey") % 11).alias("user_id"), F.col("o_orderkey").alias("seq"), action.alias("action"), F.lit("VIEWER").alias("role"))
+    vaults = spark.range(0, 64).select(F.col("id").alias("vault_id"), (F.col("id") % 11).alias("owner"))
+    return admin.member_errors(events, vaults).groupBy("vault_id", "error").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
 def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.with_tag(pg.tags(spark, sf_dir), "ECONOMY").select("p_partkey", F.size("tags").cast("long").alias("n_tags"))
 
@@ -100,6 +114,8 @@ QUERIES = {
     "vault_states": vault_states,
     "member_roles": member_roles,
     "job_list": job_list,
+    "upload_status": upload_status,
+    "member_errors": member_errors,
     "tagged_parts": tagged_parts,
     "no_evidence_answers": no_evidence_answers,
     "stale_entries": stale_entries,
@@ -121,6 +137,11 @@ SELECT vault_id, arg_max(st, seq) FILTER (st IS NOT NULL) AS status, 'vault ' ||
     "member_roles": """WITH e AS (SELECT (l_partkey % 50)::BIGINT AS vault_id, l_suppkey::BIGINT AS user_id, l_orderkey * 10 + l_linenumber AS base, l_extendedprice AS price, CASE l_returnflag WHEN 'R' THEN 'REMOVE' WHEN 'A' THEN 'CHANGE' ELSE 'ADD' END AS action, CASE WHEN l_quantity > 25 THEN 'MANAGER' ELSE 'VIEWER' END AS role FROM lineitem)
 SELECT vault_id, user_id, role FROM (SELECT *, row_number() OVER (PARTITION BY vault_id, user_id ORDER BY base DESC, price DESC, action DESC, role DESC) AS r FROM e) WHERE r = 1 AND action != 'REMOVE'""",
     "job_list": f"WITH {pg._JOBS}, {DOCUMENTS}, {pg._EVENTS}, st AS (SELECT document_id, arg_max(state, seq) AS state FROM states GROUP BY document_id) SELECT job_id, document_id, last_status, state, title FROM jobs JOIN docs USING (document_id) JOIN st USING (document_id)",
+    "upload_status": f"WITH {pg._JOBS}, {DOCUMENTS}, {pg._EVENTS}, st AS (SELECT document_id, arg_max(state, seq) AS state FROM states GROUP BY document_id), j AS (SELECT document_id, arg_max(last_status, {{'c': created_at, 'j': job_id}}) AS last_status FROM jobs GROUP BY document_id) SELECT document_id, state, last_status FROM docs LEFT JOIN st USING (document_id) LEFT JOIN j USING (document_id)",
+    "member_errors": """WITH e AS (SELECT o_custkey % 70 AS vault_id, o_custkey % 11 AS user_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'REMOVE' WHEN 'O' THEN 'ADD' ELSE 'CHANGE' END AS action FROM orders),
+b AS (SELECT *, lag(action) OVER (PARTITION BY vault_id, user_id ORDER BY seq) AS before FROM e),
+t AS (SELECT *, CASE WHEN vault_id >= 64 THEN 'unknown_vault' WHEN user_id = vault_id % 11 AND action != 'ADD' THEN 'owner_protected' WHEN action = 'ADD' AND (user_id = vault_id % 11 OR coalesce(before != 'REMOVE', false)) THEN 'already_member' WHEN action != 'ADD' AND NOT coalesce(before != 'REMOVE', false) THEN 'not_a_member' END AS error FROM b)
+SELECT vault_id, error, count(*) AS n, min(seq) AS first_seq FROM t WHERE error IS NOT NULL GROUP BY ALL""",
     "tagged_parts": f"WITH {pg._TAGS} SELECT p_partkey, count(*) AS n_tags FROM tags GROUP BY p_partkey HAVING bool_or(tag = 'ECONOMY')",
     "no_evidence_answers": f"WITH {pc._ANSWERS}, o AS (SELECT answer_id, substring({collapse_sql('lower(x)')}, 1, 700) AS o FROM (SELECT answer_id, CASE WHEN answer_id % 7 = 0 THEN '  The  evidence' || chr(10) || 'is insufficient. ' ELSE '' END || content AS x FROM answers)) SELECT answer_id, {_INSUFFICIENT} AS no_evidence FROM o",
     "stale_entries": f"WITH {pg._REGISTERED} SELECT CASE WHEN label % 4 = 0 THEN 'STALE' ELSE 'ACTIVE' END AS status, r.status AS document_status, count(*) AS n FROM embeddings e JOIN registered r ON r.document_id = e.vec_id GROUP BY ALL",

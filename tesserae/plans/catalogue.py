@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import admin, citation, observability, registry, retrieval, structure
+from tesserae.plans import admin, artefacts, citation, observability, registry, retrieval, structure
 
-MODULES = (retrieval, structure, citation, registry, observability, admin)
+MODULES = (retrieval, structure, citation, registry, observability, admin, artefacts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,7 +124,7 @@ def upload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPLOAD_SQL = f"""WITH {_FILES}, judged AS (SELECT *, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM files),
-reasons AS (SELECT *, CASE WHEN starts_with(filename, '~$') THEN 'lock file' WHEN ext NOT IN ('pdf', 'docx') THEN 'unsupported type' WHEN body = '' THEN 'empty file' WHEN ext = 'pdf' AND NOT starts_with(body, '%PDF') THEN 'not a PDF' WHEN ext = 'docx' AND NOT starts_with(body, 'PK' || chr(3) || chr(4)) THEN 'not a DOCX' END AS reject_reason FROM judged)
+reasons AS (SELECT *, CASE WHEN starts_with(filename, '~$') THEN 'lock file' WHEN ext NOT IN ('pdf', 'docx') THEN 'unsupported type' WHEN body = '' THEN 'empty file' WHEN ext = 'pdf' AND NOT starts_with(body, '%PDF') THEN 'not a PDF' WHEN ext = 'docx' AND NOT starts_with(body, 'PK' || chr(3) || chr(4)) THEN 'not a DOCX' WHEN ext = 'docx' THEN 'broken DOCX package' END AS reject_reason FROM judged)
 SELECT document_id, reject_reason IS NULL AS accepted, reject_reason, sha256(body) AS checksum, regexp_replace(regexp_replace(translate(filename, '/\\:*?"<>|-', '__________'), '[._\\s]+', '_', 'g'), '^[._\\- ]+|[._\\- ]+$', '', 'g') AS stored_name, substring(sha256(body), 1, 2) AS shard FROM reasons"""
 
 

@@ -96,6 +96,27 @@ def has_text(lines: DataFrame, least: int = 10) -> DataFrame:
     return lines.groupBy("document_id").agg(F.sum(F.length("text")).alias("n_chars")).where(F.col("n_chars") > least)
 
 
+def docx_problem(content: bytes, most: int = 10 * MOST_BYTES) -> str | None:
+    """Why a file isn't a Word document with text, or None. Parts are read only if all of them expand to at most most bytes."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as package:
+            sizes = {i.filename: i.file_size for i in package.infolist()}
+            if sum(sizes.values()) > most:
+                return "DOCX expands too far"
+            if "word/document.xml" not in sizes:
+                return "DOCX without main part"
+            if package.testzip() is not None:
+                return "DOCX with a corrupt part"
+            root = ElementTree.fromstring(package.read("word/document.xml"))
+    except zipfile.BadZipFile:
+        return "broken DOCX package"
+    except ElementTree.ParseError:
+        return "DOCX with invalid XML"
+    if root.tag != f"{_W}document":
+        return "DOCX main part is another document"
+    return None if any((t.text or "").strip() for t in root.iter(f"{_W}t")) else "DOCX without text"
+
+
 def upload_gate(files: DataFrame) -> DataFrame:
     """Adds accepted, reject_reason, checksum, stored_name, shard to files (filename, content)."""
     extension = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1))
@@ -108,6 +129,13 @@ def upload_gate(files: DataFrame) -> DataFrame:
         .when((extension == "pdf") & (kind != "pdf"), "not a PDF")
         .when((extension == "docx") & (kind != "docx"), "not a DOCX")
     )
+
+    @F.pandas_udf("string")
+    def problems(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else docx_problem(bytes(c)))
+
+    # Packages are opened only where all the rest holds; others go to the check as null.
+    reason = F.coalesce(reason, problems(F.when(reason.isNull() & (kind == "docx"), F.col("content"))))
     checksum = F.sha2("content", 256)
     return files.withColumns({"accepted": reason.isNull(), "reject_reason": reason, "checksum": checksum, "stored_name": sanitised_filename("filename"), "shard": F.substring(checksum, 1, 2)})
 
@@ -118,6 +146,34 @@ def store(files: DataFrame, path: str) -> None:
     kept.write.mode("append").partitionBy("shard").parquet(path)
 
 
+def new_documents(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Accepted files whose content isn't registered yet, each content once, as documents. known: checksum."""
+    fresh = files.where("accepted").join(known.select("checksum").distinct(), "checksum", "left_anti")
+    once = fresh.groupBy("checksum").agg(F.min("stored_name").alias("title"))
+    return once.select(F.substring("checksum", 1, 32).alias("document_id"), "checksum", "title", F.lit("UPLOADED").alias("state"), F.lit(1).alias("version_number"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report (component, metric, value) as JSON lines."""
+    rows.select("component", "metric", "value").write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("component string, metric string, value double").json(path)
+
+
+AUDIT = "service string, event string, entity_type string, entity_id string, severity string, message string, at timestamp"
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Adds audit events to their table, by day; rows are never changed."""
+    events.select(*[c.split()[0] for c in AUDIT.split(", ")], F.to_date("at").alias("day")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{AUDIT}, day date").parquet(path)
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: without scripts, styles, comments and tags; common entities resolved; single spaces."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<[^>]+>", " ")
