@@ -40,7 +40,8 @@ P = 4
 ALPHA, FIRST, STEPS, SETTLED, NEAR, BINS = 0.75, 2, 12, 1e-3, 2.5, 1024
 #: Documents from which on an estimate stands on its own: five for each coordinate.
 LEAST = 5 * P
-STARTS = 3
+#: Files that estimates are written as: one row a group is little, and a small table is broadcast instead of dealing all documents by group.
+FILES = 8
 #: Least standard deviation of each coordinate: log of the mean word length; roots of the rates of symbols, repeated lines, repeated words.
 FLOOR = (0.08, 0.08, 0.16, 0.16)
 #: A clean document's chance to lie beyond the cut, were the vectors normal.
@@ -243,19 +244,19 @@ def fit(rows: DataFrame) -> DataFrame:
 
     def step(now: DataFrame) -> DataFrame:
         placed = each.join(now.select(*_EACH, fits), _GROUP).withColumn("bin", _bin(_distance(x, F.col("fit"))))
-        return staged(placed.groupBy(*_EACH, "bin").agg(F.count("*").alias("n"), *sums).groupBy(*_EACH).applyInPandas(_step, _FIT), "mcd")
+        return staged(placed.groupBy(*_EACH, "bin").agg(F.count("*").alias("n"), *sums).groupBy(*_EACH).applyInPandas(_step, _FIT).repartition(FILES), "mcd")
 
-    robust = staged(counts.groupBy(*_GROUP).applyInPandas(_start, _FIT), "mcd")
+    robust = staged(counts.groupBy(*_GROUP).applyInPandas(_start, _FIT).repartition(FILES), "mcd")
     near = F.lit(True)
     for i, v in enumerate(x):
         k = _PAIRS.index((i, i))
         near = near & (F.abs(v - F.col("fit.mean")[i]) <= NEAR * F.sqrt(F.col("fit.scatter")[k] + F.lit(FLOOR[i] ** 2)))
     judged = each.join(robust.select(*_GROUP, F.struct("mean", "scatter").alias("fit")), _GROUP).withColumn("near", near)
     begun = judged.groupBy(*_GROUP, "near").agg(F.count("*").alias("n"), *sums).groupBy(*_GROUP).applyInPandas(_begin, _FIT)
-    now = staged(robust.unionByName(begun), "mcd")
+    now = staged(robust.unionByName(begun).repartition(FILES), "mcd")
     for _ in range(FIRST):
         now = step(now)
-    now = staged(now.groupBy(*_GROUP).agg(F.min_by(F.struct(*now.columns), F.struct("logdet", "start")).alias("r")).select("r.*"), "mcd")
+    now = staged(now.groupBy(*_GROUP).agg(F.min_by(F.struct(*now.columns), F.struct("logdet", "start")).alias("r")).select("r.*").repartition(FILES), "mcd")
     for _ in range(STEPS - FIRST):
         after = step(now)
         fall = now.select(*_GROUP, F.col("logdet").alias("before")).join(after, _GROUP).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
@@ -269,7 +270,7 @@ def fit(rows: DataFrame) -> DataFrame:
     over = {"above_mean": F.lit(list(corpus["mean"])), "above_scatter": F.lit(list(corpus["scatter"]))}
     languages = staged(now.where("level = 1").withColumns(over).mapInPandas(_towards, _FIT), "languages")
     above = languages.select("lang", F.col("mean").alias("above_mean"), F.col("scatter").alias("above_scatter"))
-    return staged(languages.unionByName(now.where("level = 2").join(above, "lang").mapInPandas(_towards, _FIT)), "estimates")
+    return staged(languages.unionByName(now.where("level = 2").join(above, "lang").mapInPandas(_towards, _FIT)).repartition(FILES), "estimates")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out: str = "__quality") -> DataFrame:

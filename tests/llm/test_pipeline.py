@@ -70,3 +70,7 @@ def test_columns_clash(spark, docs, case_dir):
         kept = stage(spark, kept, case_dir)
         assert kept.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, kept, case_dir).count() >= 0
+
+
+def test_empty_tables(spark, empty_dir):
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
