@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
 columns of documents. ``run`` writes every stage as Parquet to the shared folder and reads it again.
+
+Defined cases, for all stages: an empty table gives an empty one; a null text counts as empty, which the quality rules
+reject; a null lang or source is a group of its own; texts of any length are worked on whole; of rows that repeat an id
+and a text one stays, rows that repeat an id with other texts are documents of their own, and rows without an id pass
+the near-duplicate stage; columns beside doc_id, text, lang and source are carried along, whatever their names.
 """
 
 from __future__ import annotations
