@@ -167,16 +167,21 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
 
 
 def edges(found: list[Node], text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes: neighbours, and each occurrence of a key with the last one and the last observed one."""
+    """Pairs of nodes: neighbours, and each occurrence of a key with the last one and the observed ones next to it on either side."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if not text[found[i].token_end : found[i + 1].token_start].strip()]
-    skip, last, observed = [], {}, {}
+    skip, last, observed = set(), {}, {}
     for i, node in enumerate(found):
-        skip += [(j, i) for j in sorted({x.get(k, i) for k in node.keys for x in (last, observed)} - {i})]
+        skip |= {(j, i) for j in (x.get(k, i) for k in node.keys for x in (last, observed)) if j != i}
         for k in node.keys:
             last[k] = i
             if node.label >= 0:
                 observed[k] = i
-    return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+    following = {}
+    for i in reversed(range(len(found))):
+        skip |= {(i, following[k]) for k in found[i].keys if k in following}
+        if found[i].label >= 0:
+            following |= dict.fromkeys(found[i].keys, i)
+    return np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(skip), np.int64).reshape(-1, 2)
 
 
 def _unary(found: list[Node], weights: np.ndarray) -> np.ndarray:
