@@ -80,6 +80,9 @@ class ByteBpe(dict):
         import sentencepiece
 
         super().__init__()
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"no entry for the bytes {missing}: texts that hold them could not be encoded")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(ranks))
         self.split = regex.compile(pattern).findall
         by_rank = sorted(ranks, key=ranks.__getitem__)

@@ -264,6 +264,15 @@ def test_personal_data_patterns():
         assert mine == brute.personal(text)
 
 
+def test_pii_field_reaches_far_back():
+    """Occurrences long before the base span get its evidence as those right after it do."""
+    bare = "the 14155550123 and order of 14155550123 at "
+    for before, after in ((40, 0), (0, 40), (40, 40)):
+        text = bare * before + "call +14155550123 on " + bare * after
+        base = pii.base_spans(text)
+        assert len(base) == 1 and len(pii.added_spans(text, base)) == 2 * (before + after)
+
+
 def test_field_held_out():
     """Labels of unseen documents: what recurs is found, other numbers are left alone."""
     hit = missed = wrong = 0
@@ -522,6 +531,22 @@ def test_odd_texts_encode_alike():
         assert packing.encode(text).tolist() == packing._exact().encode(text, add_special_tokens=False).ids
 
 
+def test_whole_vocabulary_encodes_alike():
+    """Every entry that is text, alone and between letters, digits and blanks."""
+    entries = sorted({b.decode() for b in packing._encoder().token_byte_values() if b.decode("utf-8", "ignore").encode() == b})
+    assert len(entries) > 40_000
+    texts = entries + [f"a{x}1 {x}" for x in entries]
+    exact = packing._exact().encode_batch(texts, add_special_tokens=False)
+    assert all(packing.encode(t).tolist() == e.ids for t, e in zip(texts, exact, strict=True))
+
+
+def test_byte_bpe_needs_every_byte():
+    ranks = {bytes([b]): b for b in range(255)}
+    with pytest.raises(ValueError, match="255"):
+        byte_bpe.ByteBpe(ranks, r"\S+")
+    assert struct.unpack("<2I", byte_bpe.ByteBpe(ranks | {b"\xff": 255}, r"\S+").encode("é")) == (0xC3, 0xA9)
+
+
 def test_byte_bpe(spark, case_dir, cases):
     import public_tokenizers
     import tiktoken
