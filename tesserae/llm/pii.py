@@ -6,8 +6,8 @@ digit or ``@``, and those that equal the local part of an address found there; i
 * Unary potentials: log-linear in features of the token's shape and of the word before it.
 * Chain potentials between neighbouring nodes that only white space parts.
 * Skip potentials between tokens of one key, however far apart: the digits of a number (its last ``TAIL``), or the
-  lower-case local part of an address. An occurrence of a key is tied to the one before and to the last observed one,
-  so that the graph stays linear in the text, and labels travel along.
+  lower-case local part of an address. An occurrence of a key is tied to the one before and to the observed ones next
+  to it on either side, so that the graph stays linear in the text, and labels travel both ways.
 
 Tokens of base spans are observed. Loopy message passing (sum-product, parallel, damped, ``ROUNDS`` rounds over
 arrays) gives marginals; a token whose kind has at least ``SURE`` probability and which meets no base span is
@@ -18,7 +18,8 @@ are reported: the field carries evidence along, shape alone never suffices.
 Weights are trained here by gradient ascent on the pseudo-likelihood of ``SAMPLE`` generated documents whose tokens
 are labelled; the bound is the sample's size, as no row of a table is read for it.
 
-Defined cases: a null text counts as empty; texts of any length are worked on whole, in time linear in the text.
+Defined cases: a null text counts as empty; texts of any length are worked on whole, in time linear in the text;
+each row is worked on by itself, so repeated rows give equal rows and a null id stays null.
 """
 
 from __future__ import annotations

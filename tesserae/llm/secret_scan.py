@@ -9,7 +9,8 @@ Both models are trained here, from labelled samples: strings drawn evenly from t
 identifiers put together from words of programs in the usual styles.
 
 Defined cases: a null text counts as empty and gives no span; a text of any length is worked on whole, in
-linear time but for the spans found, whose offsets are summed in parts of ``PART``.
+linear time but for the spans found, whose offsets are summed in parts of ``PART``;
+each row is worked on by itself, so repeated rows give equal rows and a null id stays null.
 """
 
 from __future__ import annotations
