@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, byte_bpe, license_scan, ngram_join, packing, pii, quality_rules, secret_scan, sharding, substring_dedup
+from tesserae.llm import ann, byte_bpe, license_scan, ngram_join, packing, phrases, pii, quality_rules, secret_scan, sharding, substring_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_whitening": whitening.query,
+    "op12_collocations": phrases.query,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +28,5 @@ SQL: dict[str, str] = {
     "op4_license_scans": license_scan.SQL,
     "op7_secret_scans": secret_scan.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op12_collocations": phrases.SQL,
 }
