@@ -33,8 +33,8 @@ from tesserae.llm._text import Words, buffers, cuts, mix, pieces, signed
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE, COVER = 2_000_000, 80
-#: Buckets of the weights (longs, so 8 MB), words of a group, words worked on before a task sends or counts.
-BUCKETS, GROUP_WORDS, AT_ONCE = 1 << 20, 1 << 22, 1 << 21
+#: Buckets of the weights (longs, so 8 MB), words of a group, words worked on before a task sends or counts (some 150 bytes each).
+BUCKETS, GROUP_WORDS, AT_ONCE = 1 << 20, 1 << 22, 1 << 19
 _SHIFT = np.uint64(44)
 _REACH = LONGEST - 1
 _IDS = [f"w{k + 1}" for k in range(LONGEST)]
