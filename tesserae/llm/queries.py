@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, byte_bpe, license_scan, ngram_join, packing, phrases, pii, quality_rules, secret_scan, sharding, substring_dedup, whitening
+from tesserae.llm import ann, byte_bpe, license_scan, lm_scoring, ngram_join, packing, phrases, pii, quality_rules, secret_scan, sharding, substring_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring_dedup.query,
     "op11_whitening": whitening.query,
     "op12_collocations": phrases.query,
+    "op13_lm_scoring": lm_scoring.query,
 }
 
 SQL: dict[str, str] = {
