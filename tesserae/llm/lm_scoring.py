@@ -320,8 +320,10 @@ def fit(docs: DataFrame) -> tuple[Known, Model, Totals, DataFrame]:
     workers = max(1, min(spark.sparkContext.defaultParallelism, n // (ROUNDS * WORKER_TOKENS)))
     for k in range(ROUNDS if n else 0):
         part = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ROUNDS)) == k).select("text").coalesce(workers)
-        sent = part.mapInArrow(_train(spark.sparkContext.broadcast((known, model, squares))), "level int, a int, data binary")
+        shared = spark.sparkContext.broadcast((known, model, squares))
+        sent = part.mapInArrow(_train(shared), "level int, a int, data binary")
         model, squares = _mixed(model, squares, sent.repartition("level", "a").mapInArrow(_summed, "level int, a int, data binary").collect())
+        shared.destroy()  # its files leave the driver's and the executors' disks before the next round's come
     return known, model, totals, counts
 
 
