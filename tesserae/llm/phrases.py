@@ -34,7 +34,7 @@ from tesserae.llm._text import Words, buffers, cuts, mix, pieces, signed
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE, COVER = 2_000_000, 80
 #: Buckets of the weights (longs, so 8 MB), words of a group, words worked on before a task sends or counts (some 150 bytes each).
-BUCKETS, GROUP_WORDS, AT_ONCE = 1 << 20, 1 << 22, 1 << 19
+BUCKETS, GROUP_WORDS, AT_ONCE = 1 << 20, 1 << 20, 1 << 19
 _SHIFT = np.uint64(44)
 _REACH = LONGEST - 1
 _IDS = [f"w{k + 1}" for k in range(LONGEST)]
@@ -254,7 +254,7 @@ def _mined(least: int):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *[pa.array(signed(c)) for c in columns], pa.array(n)], names=["lang", *_IDS, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size = None, [], 0
+        at, held, size, most = None, [], 0, 2 * AT_ONCE
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -262,12 +262,13 @@ def _mined(least: int):
                 if now != at:
                     if held:
                         yield from out(at[1], at[2], held)
-                    at, held, size = now, [], 0
+                    at, held, size, most = now, [], 0, 2 * AT_ONCE
                 held.append(_merged(*_grams(*_unpacked(row))))
                 size += len(held[-1][1])
-                if size > 2 * AT_ONCE:
+                if size > most:  # when as much has come as the last merge left, so that merging stays in proportion
                     held = [_merged([np.concatenate([x[0][k] for x in held]) for k in range(LONGEST)], np.concatenate([x[1] for x in held]))]
                     size = len(held[0][1])
+                    most = max(2 * AT_ONCE, 2 * size)
         if held:
             yield from out(at[1], at[2], held)
 
