@@ -121,6 +121,21 @@ def date_mentions(c: Column | str) -> Column:
     return F.concat(*[F.regexp_extract_all(col(c), F.lit(p), F.lit(0)) for p in DATES])
 
 
+def mention_starts(c: Column | str, patterns: tuple[str, ...]) -> Column:
+    """Where each of the patterns' matches starts (from 0), in the order of regexp_extract_all pattern by pattern.
+
+    What lies between the matches and the matches themselves alternate, so their lengths add up to the places.
+    """
+
+    def starts(pattern: str) -> Column:
+        between, found = F.split(col(c), pattern, -1), F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(steps, zero, lambda s, x: F.struct((s["at"] + x["b"] + x["m"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["b"])).alias("out")))["out"]
+
+    return F.concat(*[starts(p) for p in patterns])
+
+
 def match_score(claim: Column | str, evidence: Column | str) -> Column:
     """1 for equal texts, .9 and .8 for one in the other, else the share of the claim's words in the evidence."""
     a, b = F.lower(F.coalesce(col(claim), F.lit(""))), F.lower(F.coalesce(col(evidence), F.lit("")))

@@ -18,15 +18,20 @@ def sentences(answers: DataFrame, first: int | None = None) -> DataFrame:
 
 
 def claims(answers: DataFrame, first: int = 5) -> DataFrame:
-    """answer_id, sentence_index, claim_no (in its sentence), claim_type, claim: references, the sentence, dates.
+    """answer_id, sentence_index, claim_no (in its sentence), claim_type, claim, start_char, end_char: references, the sentence, dates.
 
-    A sentence that is all reference gives its references only.
+    A sentence that is all reference gives its references only. Offsets are in the answer's sentences joined by one character; a reference
+    is placed where its text stands first in the sentence, a date where it was found.
     """
-    rows = sentences(answers, first).withColumns({"kind": tx.claim_type("sentence"), "refs": tx.legal_references("sentence"), "dates": tx.date_mentions("sentence")})
-    of = lambda texts, kind: F.transform(texts, lambda t: F.struct(kind.alias("claim_type"), t.alias("claim")))
-    whole = F.when((F.col("kind") == "LEGAL_REFERENCE") & (F.size("refs") > 0), F.array().cast("array<string>")).otherwise(F.array("sentence"))
-    every = F.concat(of(F.col("refs"), F.lit("LEGAL_REFERENCE")), of(whole, F.col("kind")), of(F.col("dates"), F.lit("DATE")))
-    return rows.select("answer_id", "sentence_index", F.posexplode(every).alias("claim_no", "c")).select("answer_id", "sentence_index", "claim_no", "c.claim_type", "c.claim")
+    rows = sentences(answers, first).withColumns({"kind": tx.claim_type("sentence"), "refs": tx.legal_references("sentence"), "dates": tx.date_mentions("sentence"), "date_starts": tx.mention_starts("sentence", tx.DATES)})
+    claim = lambda kind, t, at: F.struct(kind.alias("claim_type"), t.alias("claim"), at.cast("long").alias("start_char"))
+    refs = F.transform("refs", lambda t: claim(F.lit("LEGAL_REFERENCE"), t, F.instr("sentence", t) - 1))
+    whole = F.array(claim(F.col("kind"), F.col("sentence"), F.lit(0)))
+    whole = F.when((F.col("kind") == "LEGAL_REFERENCE") & (F.size("refs") > 0), F.slice(whole, 1, 0)).otherwise(whole)
+    dates = F.zip_with("dates", "date_starts", lambda t, at: claim(F.lit("DATE"), t, at))
+    found = rows.select("answer_id", "sentence_index", F.col("start_char").alias("from"), F.posexplode(F.concat(refs, whole, dates)).alias("claim_no", "c"))
+    start = F.col("from") + F.col("c.start_char")
+    return found.select("answer_id", "sentence_index", "claim_no", "c.claim_type", "c.claim", start.alias("start_char"), (start + F.length("c.claim")).alias("end_char"))
 
 
 def matched(found: DataFrame, evidence: DataFrame, least: float = 0.3) -> DataFrame:

@@ -21,17 +21,25 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / F.nullif(p + r, F.lit(0.0)))
 
 
+def at_cutoffs(expected: DataFrame, retrieved: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """The rows of at_k for several k, with k as first column: both sides are worked out and joined once."""
+    want = expected.distinct().withColumn("wanted", F.lit(1))
+    top = retrieved.where(F.col("rank") <= max(ks))
+    rows = want.join(top, ["query_id", "item"], "full_outer")
+    hit = lambda k: F.when(F.col("wanted").isNotNull() & (F.col("rank") <= k), F.col("rank"))
+    counts = rows.groupBy("query_id").agg(F.count("wanted").alias("total"), *[x for k in ks for x in (F.count(hit(k)).alias(f"hits{k}"), F.min(hit(k)).alias(f"first{k}"))])
+    each = counts.select("query_id", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hits{k}").alias("hits"), F.col(f"first{k}").alias("first_hit")) for k in ks])).alias("at"))
+    out = each.select("at.k", "query_id", "total", "at.hits", "at.first_hit")
+    r, p = recall(F.col("hits"), F.col("total"), F.col("k")), precision(F.col("hits"), F.col("k"))
+    return out.select("k", "query_id", "total", "hits", F.round(r, 6).alias("recall"), F.round(p, 6).alias("precision"), F.round(f1(p, r), 6).alias("f1"), F.round(F.coalesce(1 / F.col("first_hit"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
 def at_k(expected: DataFrame, retrieved: DataFrame, k: int = 10) -> DataFrame:
     """Of each query: hits, total, recall, precision, F1 and reciprocal rank of the first hit.
 
     expected: query_id, item; retrieved: query_id, item, rank. Queries are those of either side.
     """
-    want = expected.distinct().withColumn("wanted", F.lit(1))
-    top = retrieved.where(F.col("rank") <= k)
-    rows = want.join(top, ["query_id", "item"], "full_outer")
-    out = rows.groupBy("query_id").agg(F.count("wanted").alias("total"), F.count_if(F.col("wanted").isNotNull() & F.col("rank").isNotNull()).alias("hits"), F.min(F.when(F.col("wanted").isNotNull(), F.col("rank"))).alias("first_hit"))
-    r, p = recall(F.col("hits"), F.col("total"), k), precision(F.col("hits"), k)
-    return out.select("query_id", "total", "hits", F.round(r, 6).alias("recall"), F.round(p, 6).alias("precision"), F.round(f1(p, r), 6).alias("f1"), F.round(F.coalesce(1 / F.col("first_hit"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+    return at_cutoffs(expected, retrieved, (k,)).drop("k")
 
 
 def mean_reciprocal_rank(rows: DataFrame) -> DataFrame:
@@ -60,15 +68,20 @@ def verdicts(rows: DataFrame, least_recall: float = 0.5) -> DataFrame:
     return rows.withColumns({"passed": ok, "failure": F.when(~ok, F.lit("RETRIEVAL"))})
 
 
-def report(rows: DataFrame, component: str = "retrieval") -> DataFrame:
-    """Long table component, metric, value: means of the metrics and the share that passed (1 for none)."""
-    means = rows.agg(*[F.round(F.avg(m), 6).alias(m) for m in ("recall", "precision", "f1", "reciprocal_rank")], F.round(F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(1.0)), 6).alias("pass_rate"))
-    return means.unpivot([], ["recall", "precision", "f1", "reciprocal_rank", "pass_rate"], "metric", "value").select(F.lit(component).alias("component"), "metric", "value")
+def report(rows: DataFrame, component: str = "retrieval", by: tuple[str, ...] = ()) -> DataFrame:
+    """Long table component, metric, value: means of the metrics and the share that passed (1 for none); by: of each group, these columns first."""
+    means = rows.groupBy(*by).agg(*[F.round(F.avg(m), 6).alias(m) for m in ("recall", "precision", "f1", "reciprocal_rank")], F.round(F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(1.0)), 6).alias("pass_rate"))
+    return means.unpivot(list(by), ["recall", "precision", "f1", "reciprocal_rank", "pass_rate"], "metric", "value").select(*by, F.lit(component).alias("component"), "metric", "value")
 
 
 def regressions(baseline: DataFrame, current: DataFrame, gap: float = 0.05) -> DataFrame:
     """component, metric, baseline, current, difference, status; a metric without a baseline is unchanged."""
-    rows = current.join(baseline.withColumnRenamed("value", "baseline"), ["component", "metric"], "left").withColumn("baseline", F.coalesce("baseline", "value"))
+    return compared(current.join(baseline.withColumnRenamed("value", "baseline"), ["component", "metric"], "left"), gap)
+
+
+def compared(rows: DataFrame, gap: float = 0.05) -> DataFrame:
+    """The rows of regressions from component, metric, baseline (or null), value."""
+    rows = rows.withColumn("baseline", F.coalesce("baseline", "value"))
     diff = F.round(F.col("value") - F.col("baseline"), 4)
     status = F.when(F.col("value") - F.col("baseline") < -gap, "REGRESSION").when(F.col("value") - F.col("baseline") > gap, "IMPROVEMENT").otherwise("UNCHANGED")
     return rows.select("component", "metric", F.round("baseline", 4).alias("baseline"), F.round("value", 4).alias("current"), diff.alias("difference"), status.alias("status"))
