@@ -44,6 +44,70 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     return cut.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def after(rows: DataFrame, order: list[tuple[str, bool]], last: dict, limit: int) -> DataFrame:
+    """The page behind a row by its key: the next ``limit`` rows in order, none of those before being read in order again.
+
+    order: (column, ascending), ending with a unique one; last: the values of the last row of the page before, {} for the first page.
+    The bound on the first column reaches the scan; each task keeps ``limit`` rows. Nulls come first where ascending and last where not, as
+    Spark orders them.
+    """
+    if last:
+        keep = F.lit(False)
+        for i, (name, up) in enumerate(order):
+            here, value = F.col(name), last[name]
+            if value is None:
+                beyond = here.isNotNull() if up else F.lit(False)
+            else:
+                beyond = here > F.lit(value) if up else here.isNull() | (here < F.lit(value))
+            tied = F.lit(True)
+            for other, _ in order[:i]:
+                tied = tied & F.col(other).eqNullSafe(F.lit(last[other]))
+            keep = keep | (tied & beyond)
+        name, up = order[0]
+        bound = F.lit(True) if last[name] is None else F.col(name) >= F.lit(last[name]) if up else F.col(name).isNull() | (F.col(name) <= F.lit(last[name]))
+        rows = rows.where(bound & keep)
+    return rows.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).limit(limit)
+
+
+def write_pages(rows: DataFrame, order: list[Column], path: str, ranges: int) -> None:
+    """Writes rows in folders by ranges of their order, and how many each range has; order ends with a unique column."""
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    dealt.write.partitionBy("__range").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    spark.read.parquet(f"{path}/rows").groupBy("__range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read_page(spark: SparkSession, path: str, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of what write_pages has written, with total and has_more: reads the ranges alone that the page lies in.
+
+    The list of ranges (a row for each) is read by the driver; the rest is one scan of some folders and a sort of their rows.
+    """
+    counts = sorted((r["__range"], r["n"]) for r in spark.read.parquet(f"{path}/ranges").collect())
+    total, start, skipped, wanted = sum(n for _, n in counts), 0, 0, []
+    for k, n in counts:
+        if start < offset + limit and start + n > offset:
+            wanted.append(k)
+        elif start + n <= offset:
+            skipped += n
+        start += n
+    folders = [f"{path}/rows/__range={k}" for k in wanted or [k for k, _ in counts[:1]]]
+    rows = (spark.read.option("basePath", f"{path}/rows").parquet(*folders) if folders else spark.read.parquet(f"{path}/rows")).drop("__range")
+    if not wanted:
+        rows = rows.limit(0)
+    cut = rows.orderBy(*order).offset(offset - skipped if wanted else 0).limit(limit)
+    return cut.withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > offset + limit)})
+
+
+def first_options(rows: DataFrame, of: str, option: str, locale: str, limit: int) -> DataFrame:
+    """of, option, rank: the first distinct options of each owner in the order of a locale; ties by code points.
+
+    The rank's limit is applied in each task before the shuffle, so a hot owner's options don't meet in one.
+    """
+    distinct = rows.select(of, option).where(F.col(option).isNotNull()).distinct()
+    order = Window.partitionBy(of).orderBy(F.collate(F.col(option), locale), F.col(option))
+    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 def role_permissions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r, p) for r, ps in ROLE_PERMISSIONS.items() for p in ps], "role string, permission string")
 

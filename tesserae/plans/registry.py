@@ -10,6 +10,7 @@ from tesserae.operators import lifecycle, registry
 from tesserae.plans import structure as ps
 from tesserae.plans.common import documents, table
 from tesserae.sources import files
+from tesserae.sources.shared import fresh
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,43 @@ def registry_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.page(rows, [F.desc("document_id")], 5, 20).select("document_id", "language", "total", "has_more")
 
 
+PAGE, RANGES = 25, 16
+
+
+def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all documents by title (newest id first): by number from ranges, and the second one by the first one's last row."""
+    rows = registered(spark, sf_dir).select("document_id", "title", "vault_id", "status")
+    path, order = fresh(spark, "pages"), [F.asc("title"), F.desc("document_id")]
+    registry.write_pages(rows, order, path, RANGES)
+    total = spark.read.parquet(f"{path}/ranges").agg(F.sum("n")).first()[0] or 0
+    numbered = [registry.read_page(spark, path, order, p * PAGE, PAGE).select(F.lit(f"page {p}").alias("page"), "document_id", "status", "total", "has_more") for p in (0, 1, total // PAGE // 2, total // PAGE)]
+    seek = [("title", True), ("document_id", False)]
+    last = registry.read_page(spark, path, order, PAGE - 1, 1).first()
+    behind = registry.after(rows, seek, {"title": last["title"], "document_id": last["document_id"]} if last else {}, PAGE)
+    numbered.append(behind.select(F.lit("behind").alias("page"), "document_id", "status", F.lit(total).cast("long").alias("total"), F.lit(total > 2 * PAGE).alias("has_more")))
+    out = numbered[0]
+    for df in numbered[1:]:
+        out = out.unionByName(df)
+    return out.distinct()
+
+
+_PAGES_SQL = f"""WITH {_REGISTERED}, placed AS (SELECT document_id, status, row_number() OVER (ORDER BY title, document_id DESC) - 1 AS place, count(*) OVER () AS total FROM registered),
+asked AS (SELECT DISTINCT p FROM (SELECT unnest([0, 1, total // {PAGE} // 2, total // {PAGE}]) AS p FROM (SELECT max(total) AS total FROM placed))),
+pages AS (SELECT 'page ' || p AS page, p FROM asked UNION ALL SELECT 'behind', 1)
+SELECT page, document_id, status, total, total > (p + 1) * {PAGE} AS has_more FROM placed JOIN pages ON place // {PAGE} = p"""
+
+
+def tag_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 words of each vault's texts that hold a letter beyond a to z, in Vietnamese order: the options of a filter."""
+    d = documents(spark, sf_dir)
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))), lambda w: w.rlike("[^a-z]"))
+    return registry.first_options(d.select("vault_id", F.explode(words).alias("tag")), "vault_id", "tag", "vi", 60)
+
+
+_OPTIONS_SQL = """WITH tags AS (SELECT DISTINCT source AS vault_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+'), lambda w: regexp_matches(w, '[^a-z]'))) AS tag FROM documents)
+SELECT vault_id, tag, row_number() OVER (PARTITION BY vault_id ORDER BY tag COLLATE vi, tag)::INTEGER AS rank FROM tags QUALIFY rank <= 60"""
+
+
 def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registered(spark, sf_dir).groupBy("vault_id", "status").agg(F.count("*").alias("n_documents"), F.count_distinct("language").alias("n_languages"))
 
@@ -256,6 +294,8 @@ QUERIES = {
     "tag_normalize": tag_normalize,
     "tag_filter": tag_filter,
     "upload_gate": upload_gate,
+    "registry_pages": registry_pages,
+    "tag_options": tag_options,
     "checksum_duplicates": checksum_duplicates,
     "html_text_extract": html_text_extract,
     "index_stats": index_stats,
@@ -279,6 +319,8 @@ SQL = {
     "tag_normalize": f"WITH {_TAGS} SELECT p_partkey, string_agg(tag, '|' ORDER BY k) AS tags, count(*) AS n_tags FROM tags GROUP BY p_partkey",
     "tag_filter": f"WITH {_TAGS} SELECT tag, count(*) AS n_parts FROM tags WHERE length(tag) > 4 GROUP BY tag",
     "upload_gate": UPLOAD_SQL,
+    "registry_pages": _PAGES_SQL,
+    "tag_options": _OPTIONS_SQL,
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "html_text_extract": _html_sql(),
     "index_stats": "SELECT count(*) AS total, count(*) FILTER (label < 8) AS active, count(DISTINCT label % 2) AS models, count(DISTINCT len(embedding)) AS dimensions FROM embeddings",
