@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import written
+
 #: Default alert rules.
 RULES = (
     ("search_latency_warning", "retrieval.latency_ms", "gt", 2000.0, "WARNING", "Search latency {value}ms exceeds {threshold}ms threshold"),
@@ -30,13 +34,43 @@ def gauges(observations: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return observations.groupBy(*keys).agg(F.max_by("value", F.struct(*order)).alias("value"))
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def order_statistics(observations: DataFrame, keys: list[str], ranks: dict[str, Column], value: str = "value") -> DataFrame:
+    """keys and, under each name, the value of a rank (from 1, by an expression over n) among the key's values in order.
+
+    Exact, and no task holds a key, however hot: values are counted, the counts dealt out by ranges of (keys, value) and written once;
+    sums by range give each range's start, running counts within a range then tell which of its values a rank falls on.
+    Nulls aren't counted; a rank is a number, so that ``0.95 * n`` means the first value with at least that many up to it.
+    """
+    counts = observations.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ranged = written(counts.repartitionByRange(*keys, value).withColumn("__range", F.spark_partition_id()), "ranges")
+    # A row for each key and range: as many as there are ranges at most, for one key.
+    starts = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__here"))
+    before = Window.partitionBy(*keys).orderBy("__range")
+    starts = starts.withColumn("__upto", F.sum("__here").over(before)).withColumn("__total", F.sum("__here").over(Window.partitionBy(*keys)))
+    starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), (F.col("__upto") - F.col("__here")).alias("__start"), F.col("__upto").alias("__end"), F.col("__total").alias("n"))
+    # Only ranges that some rank falls into are looked into.
+    names = list(ranks)
+    starts = starts.select("*", *[ranks[k].alias(f"__rank_{k}") for k in names])
+    starts = starts.where(reduce(lambda x, y: x | y, [(F.col(f"__rank_{k}") > F.col("__start")) & (F.col(f"__rank_{k}") <= F.col("__end")) for k in names]))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    rows = ranged.join(starts, same & (F.col("__range") == F.col("__r")))
+    within = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__last", F.col("__start") + F.sum("__n").over(within))
+    hit = lambda k: F.when((F.col(f"__rank_{k}") <= F.col("__last")) & (F.col(f"__rank_{k}") > F.col("__last") - F.col("__n")), F.col(value))
+    return rows.groupBy(*keys).agg(*[F.max(hit(k)).alias(k) for k in names])
+
+
 def histograms(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, sum, mean, extremes; p50 is the median, p95 and p99 are the nearest ranks."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return observations.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"), F.round(F.avg("value"), 2).alias("avg"), F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"),
-        F.round(F.median("value"), 2).alias("p50"), F.round(at(0.95), 2).alias("p95"), F.round(at(0.99), 2).alias("p99"),
-    )
+    """Count, sum, mean, extremes; p50 is the median, p95 and p99 are the nearest ranks; these three are null where all values are."""
+    n = F.col("n")
+    found = order_statistics(observations, keys, {"lower": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1, "p95": F.lit(0.95) * n, "p99": F.lit(0.99) * n})
+    sums = observations.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"), F.round(F.avg("value"), 2).alias("avg"), F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"))
+    rows = sums.join(found, _same(sums, found, keys), "left").select(*[sums[k] for k in keys], "n", "sum", "avg", "min", "max", "lower", "upper", "p95", "p99")
+    return rows.select(*keys, "n", "sum", "avg", "min", "max", F.round((F.col("lower") + F.col("upper")) / 2, 2).alias("p50"), F.round("p95", 2).alias("p95"), F.round("p99", 2).alias("p99"))
 
 
 def snapshot(found: DataFrame, name: str) -> DataFrame:
