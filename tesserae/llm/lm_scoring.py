@@ -40,7 +40,7 @@ WIDE, KNOWN, ROWS = 32, 1 << 17, 1 << 16
 CLASSES = WIDE - 1
 HEAD, REST = CLASSES * WIDE, CLASSES
 #: Rounds of the one pass, tokens that a worker of a round should have at least, tokens of a minibatch, rows of a block that is sent.
-ROUNDS, WORKER_TOKENS, BATCH, BLOCK_ROWS = 4, 1 << 18, 1 << 13, 1 << 12
+ROUNDS, WORKER_TOKENS, BATCH, BLOCK_ROWS = 4, 1 << 21, 1 << 13, 1 << 12
 RATE, START, LIMIT = 0.6, 0.05, 8.0
 #: Held out are the rows whose crc32 leaves this rest.
 FOLDS, HELD_OUT = 7, 2
@@ -176,7 +176,7 @@ def _step(rows: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.n
 
 
 def _train(shared):
-    """A worker of a round: steps through its rows, then sends its weights times how often it met each row."""
+    """A worker of a round: steps through its rows, then sends how often it met each row, what its squares grew by, and its weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model, squares = shared.value
@@ -200,36 +200,45 @@ def _train(shared):
             for a in range(0, ROWS, BLOCK_ROWS):
                 cut = slice(a, a + BLOCK_ROWS)
                 if met[level][cut].any():
-                    parts = (met[level][cut], tables[level][cut] * met[level][cut, None], squares[level][cut] - began[level][cut])
-                    yield _block(level, a, np.concatenate([x.ravel() for x in parts]))
+                    yield _block(level, a, met[level][cut], squares[level][cut] - began[level][cut], tables[level][cut])
 
     return run
 
 
-def _block(level: int, a: int, data: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([a], pa.int32()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], names=["level", "a", "data"])
+_BLOCK = "level int, a int, met binary, squares binary, weights binary"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up equal blocks; all blocks together are 17 MB."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+def _block(level: int, a: int, met: np.ndarray, squares: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """Rows of a table from a on; weights, at most LIMIT, as half floats."""
+    data = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((met, np.float32), (squares, np.float32), (weights, np.float16))]
+    return pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([a], pa.int32()), *data], names=["level", "a", "met", "squares", "weights"])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["met"], np.float32), np.frombuffer(row["squares"], np.float32), np.frombuffer(row["weights"], np.float16).astype(np.float32).reshape(-1, WIDE)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block for each place: weights as means by how often their workers met the row. All places together are 27 MB here."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            key, data = (row["level"], row["a"]), np.frombuffer(row["data"], np.float32)
-            held[key] = held[key] + data if key in held else data
-    for (level, a), data in held.items():
-        yield _block(level, a, data)
+            met, squares, weights = _unpacked(row)
+            new = [met, squares, weights * met[:, None]]
+            old = held.get((row["level"], row["a"]))
+            held[row["level"], row["a"]] = new if old is None else [x + y for x, y in zip(old, new, strict=True)]
+    for (level, a), (met, squares, weights) in held.items():
+        yield _block(level, a, met, squares, weights / np.maximum(met, 1)[:, None])
 
 
 def _mixed(model: Model, squares: list[np.ndarray], blocks: list) -> tuple[Model, list[np.ndarray]]:
     """The weights after a round: means over the workers, by how often each met the row."""
     tables, squares = [x.copy() for x in model[2:]], [x.copy() for x in squares]
     for r in blocks:
-        data, cut = np.frombuffer(r["data"], np.float32), slice(r["a"], r["a"] + BLOCK_ROWS)
-        met, weights, added = data[:BLOCK_ROWS], data[BLOCK_ROWS : BLOCK_ROWS * (WIDE + 1)].reshape(-1, WIDE), data[BLOCK_ROWS * (WIDE + 1) :]
+        cut, (met, added, weights) = slice(r["a"], r["a"] + BLOCK_ROWS), _unpacked(r)
         hit = met > 0
-        tables[r["level"]][cut][hit] = weights[hit] / met[hit, None]
+        tables[r["level"]][cut][hit] = weights[hit]
         squares[r["level"]][cut] += added
     return Model(model.class_bias, model.word_bias, *tables), squares
 
@@ -321,8 +330,8 @@ def fit(docs: DataFrame) -> tuple[Known, Model, Totals, DataFrame]:
     for k in range(ROUNDS if n else 0):
         part = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ROUNDS)) == k).select("text").coalesce(workers)
         shared = spark.sparkContext.broadcast((known, model, squares))
-        sent = part.mapInArrow(_train(shared), "level int, a int, data binary")
-        model, squares = _mixed(model, squares, sent.repartition("level", "a").mapInArrow(_summed, "level int, a int, data binary").collect())
+        sent = part.mapInArrow(_train(shared), _BLOCK)
+        model, squares = _mixed(model, squares, sent.repartition("level", "a").mapInArrow(_averaged, _BLOCK).collect())
         shared.destroy()  # its files leave the driver's and the executors' disks before the next round's come
     return known, model, totals, counts
 

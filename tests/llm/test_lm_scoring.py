@@ -102,10 +102,10 @@ def test_mixing_is_a_weighted_mean():
     squares = [np.zeros(lm.ROWS, np.float32) for _ in range(2)]
 
     def sent(met, value):
-        data = np.zeros(lm.BLOCK_ROWS * (lm.WIDE + 2), np.float32)
-        data[3], data[lm.BLOCK_ROWS + 3 * lm.WIDE : lm.BLOCK_ROWS + 4 * lm.WIDE], data[lm.BLOCK_ROWS * (lm.WIDE + 1) + 3] = met, met * value, 1
-        return lm._block(0, lm.BLOCK_ROWS, data)
+        one, weights = np.zeros(lm.BLOCK_ROWS), np.zeros((lm.BLOCK_ROWS, lm.WIDE))
+        one[3], weights[3] = 1, value
+        return lm._block(0, lm.BLOCK_ROWS, met * one, one, weights)
 
-    both = [r for b in lm._summed(iter([sent(1, 2.0), sent(3, 6.0)])) for r in b.to_pylist()]
+    both = [r for b in lm._averaged(iter([sent(1, 2.0), sent(3, 6.0)])) for r in b.to_pylist()]
     model, squares = lm._mixed(start, squares, both)
     assert np.allclose(model.class_rows[lm.BLOCK_ROWS + 3], 5.0) and not model.class_rows[lm.BLOCK_ROWS + 4].any() and squares[0][lm.BLOCK_ROWS + 3] == 2
