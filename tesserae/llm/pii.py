@@ -6,8 +6,8 @@ digit or ``@``, and those that equal the local part of an address found there; i
 * Unary potentials: log-linear in features of the token's shape and of the word before it.
 * Chain potentials between neighbouring nodes that only white space parts.
 * Skip potentials between tokens of one key, however far apart: the digits of a number (its last ``TAIL``), or the
-  lower-case local part of an address. An occurrence of a key is tied to the one before and to the observed ones next
-  to it on either side, so that the graph stays linear in the text, and labels travel both ways.
+  lower-case local part of an address. Where a key has observed occurrences, every other one is tied to those next to it on
+  either side, and so has their evidence at first hand; else to the one before it. The graph stays linear in the text.
 
 Tokens of base spans are observed. Loopy message passing (sum-product, parallel, damped, ``ROUNDS`` rounds over
 arrays) gives marginals; a token whose kind has at least ``SURE`` probability and which meets no base span is
@@ -103,6 +103,7 @@ _SHAPES = (
     ("digits9", re.compile(r"\d{9,12}")),
     ("digits5", re.compile(r"\d{5,8}")),
     ("digits1", re.compile(r"\d{1,4}")),
+    ("grouped9", re.compile(r"(?=(?:\D*\d){9,19}\D*\Z)\(?\d[\d().-]*\d\)?")),
     ("grouped", re.compile(r"\(?\d[\d().-]*\d\)?")),
     ("decimal", re.compile(r"\d+[.,:/]\d+")),
     ("word", re.compile(r"[^\W\d_]+([._-]?[^\W_]+)*")),
@@ -168,11 +169,13 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
 
 
 def edges(found: list[Node], text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes: neighbours, and each occurrence of a key with the last one and the observed ones next to it on either side."""
+    """Pairs of nodes: neighbours, and each occurrence of a key with the observed ones next to it on either side, or with the last one where none is."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if not text[found[i].token_end : found[i + 1].token_start].strip()]
     skip, last, observed = set(), {}, {}
+    sure = {k for node in found if node.label >= 0 for k in node.keys}
     for i, node in enumerate(found):
-        skip |= {(j, i) for j in (x.get(k, i) for k in node.keys for x in (last, observed)) if j != i}
+        known = sure.intersection(node.keys)
+        skip |= {(j, i) for j in ((observed if known else last).get(k, i) for k in known or node.keys) if j != i}
         for k in node.keys:
             last[k] = i
             if node.label >= 0:
@@ -249,7 +252,7 @@ def samples(n: int = SAMPLE, seed: int = 7) -> list[list[tuple[str, int]]]:
         for fact in draw.sample(facts, draw.randrange(0, 4)):
             doc += [fact[0], *[draw.choice(fact) for _ in range(draw.randrange(0, 3))]]
         for _ in range(draw.randrange(4, 14)):
-            other = [str(draw.randrange(2000)), _digits(draw, draw.randrange(5, 13)), f"{draw.randrange(99)}.{draw.randrange(99)}", f"v{draw.randrange(9)}.{draw.randrange(20)}", f"2.{draw.randrange(9)}.{draw.randrange(30)}", f"{_digits(draw, 4)}-{_digits(draw, 2)}-{_digits(draw, 2)}", f"a{draw.randrange(999)}"]
+            other = [str(draw.randrange(2000)), _digits(draw, draw.randrange(5, 13)), f"{draw.randrange(99)}.{draw.randrange(99)}", f"v{draw.randrange(9)}.{draw.randrange(20)}", f"2.{draw.randrange(9)}.{draw.randrange(30)}", f"{_digits(draw, 4)}-{_digits(draw, 2)}-{_digits(draw, 2)}", f"{_digits(draw, 1)}-{_digits(draw, 2)}-{_digits(draw, 6)}-{_digits(draw, 1)}", f"a{draw.randrange(999)}"]
             number = draw.choice(other)
             doc += [(number, NONE)] * draw.choice([1, 1, 1, 2])
         draw.shuffle(doc)
@@ -314,7 +317,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     score = _unary(found, unary)
     seen = np.array([n.label for n in found])
-    score[seen >= 0] = -30.0
+    score[seen >= 0] = -1e6  # firm, however many occurrences are tied to it
     score[np.flatnonzero(seen >= 0), seen[seen >= 0]] = 0.0
     p = marginals(score, chain, skip, chained, skipped)
     best = p[:, :NONE].argmax(1)

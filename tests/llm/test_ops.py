@@ -293,6 +293,51 @@ def test_field_held_out():
     assert hit / (hit + missed) > 0.9 and wrong <= 0.02 * hit
 
 
+def test_field_by_form():
+    """Every form in which a fact recurs is found, not just their mean."""
+    hit, missed, wrong = Counter(), Counter(), 0
+    for doc in pii.samples(1000, seed=5):
+        text, at = " ".join(t for t, _ in doc), 0
+        base = pii.base_spans(text)
+        known = {k for _, a, b in base for t in (text[a:b], *text[a:b].split()) for k in pii.keys(t)}
+        added = {(a, b): k for k, a, b in pii.added_spans(text, base)}
+        for token, label in doc:
+            span, form = (at, at + len(token)), next((s for s, p in pii._SHAPES if p.fullmatch(token)), "other")
+            at += len(token) + 1
+            if any(a < span[1] and span[0] < b for _, a, b in base):
+                continue
+            if label == pii.NONE:
+                wrong += span in added
+            elif not known.isdisjoint(pii.keys(token)):
+                (hit if added.get(span) == label else missed)[form] += 1
+    assert {"word", "grouped9", "digits9", "digits13", "plus"} <= set(hit)
+    assert all(hit[f] >= 0.9 * (hit[f] + missed[f]) for f in hit | missed) and wrong <= 0.02 * sum(hit.values())
+
+
+#: Written by hand: text, what the field has to add, what it must leave.
+BY_HAND = [
+    ("Call +1 (415) 555-0123 today. After hours 415-555-0123 too; ticket 2024-11-28, book 0-306-40615-2.", [("phone", "415-555-0123")], ["2024-11-28", "0-306-40615-2"]),
+    ("Reach us at +49 30 1234567. Intern: 030-1234567, Zimmer 1234.", [("phone", "030-1234567")], ["1234"]),
+    ("+14155550123 is the line; 1-415-555-0123 was printed, 4155550199 belongs to nobody we know.", [("phone", "1-415-555-0123")], ["4155550199"]),
+    ("mail jo.doe@example.com now. Jo.Doe wrote on page 12, jo.doe answered, jo.roe didn't.", [("email", "Jo.Doe"), ("email", "jo.doe")], ["12", "jo.roe"]),
+    ("Card 4111111111111111 was charged, on the slip it says 4111-1111-1111-1111 again.", [], ["slip"]),
+    ("Version 2.4.1 of 2023-05-06 has 14155550123 rows.", [], ["2.4.1", "2023-05-06", "14155550123"]),
+]
+
+
+@pytest.mark.parametrize("text,added,left", BY_HAND)
+def test_field_by_hand(text, added, left):
+    found = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text))]
+    assert not [x for x in added if x not in found] and not [x for x in left if x in [t for _, t in found]]
+
+
+def test_field_on_many_tokens():
+    """Tens of thousands of hits in one text: linear work, and the same labels at either end."""
+    text = "call +14155550123 or " + "1-415-555-0123 the 2024-11-28 and " * 20_000
+    found = pii.added_spans(text, pii.base_spans(text))
+    assert len(found) == 20_000 and {k for k, _, _ in found} == {3}
+
+
 def test_secrets(spark, case_dir, cases):
     got = Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.query(spark, case_dir).collect())
     want = Counter()
