@@ -51,7 +51,8 @@ SELECT reader, model, model_version, count(*) AS n, count(*) FILTER (status = 'A
 
 # --- merged logs -----------------------------------------------------------------------------------------------
 
-PIECE = 4000
+#: Characters of a piece; hash buckets of the logs, few as the tables here are small.
+PIECE, BUCKETS = 4000, 16
 TABLES = ("documents", "chunks", "embeddings", "entries")
 
 
@@ -72,12 +73,12 @@ def _logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     first, roots = _first_writes(spark, sf_dir), {t: fresh(spark, f"log-{t}") for t in TABLES}
     gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
     for name in TABLES:
-        merging.appended(first[name], roots[name])
+        merging.appended(first[name], roots[name], BUCKETS)
     changed = first["documents"].where("document_id % 10 = 3")
-    merging.appended(_writes(changed.withColumn("amount", F.col("amount") + 1), 2), roots["documents"])
-    merging.appended(_writes(first["chunks"].where("document_id % 10 = 3 AND item = 0").withColumn("amount", F.lit(None).cast("long")), 2, True), roots["chunks"])
-    merging.cascaded(gone, 3, list(roots.values()))
-    merging.appended(_writes(first["documents"].join(gone, "document_id", "left_semi").where("document_id % 2 = 0").withColumn("amount", F.lit(0).cast("long")), 4), roots["documents"])
+    merging.appended(_writes(changed.withColumn("amount", F.col("amount") + 1), 2), roots["documents"], BUCKETS)
+    merging.appended(_writes(first["chunks"].where("document_id % 10 = 3 AND item = 0").withColumn("amount", F.lit(None).cast("long")), 2, True), roots["chunks"], BUCKETS)
+    merging.cascaded(gone, 3, list(roots.values()), BUCKETS)
+    merging.appended(_writes(first["documents"].join(gone, "document_id", "left_semi").where("document_id % 2 = 0").withColumn("amount", F.lit(0).cast("long")), 4), roots["documents"], BUCKETS)
     return roots
 
 

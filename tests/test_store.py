@@ -203,7 +203,7 @@ def test_many_buckets_survive_cascades(spark, sf_dir):
     roots = maintenance._logs(spark, sf_dir)
     gone = spark.createDataFrame([(1,), (2,)], "document_id long")
     before = {t: snapshots.snapshot(spark, r) for t, r in roots.items()}
-    merging.cascaded(gone, 9, list(roots.values()))
+    merging.cascaded(gone, 9, list(roots.values()), maintenance.BUCKETS)
     for t, r in roots.items():
         after = snapshots.snapshot(spark, r)
         assert sum(after.parts[p] != before[t].parts.get(p) for p in after.parts) <= 2
