@@ -342,6 +342,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known, model, totals, counts = fit(rows)
     shared = docs.sparkSession.sparkContext.broadcast((known, model, totals))
     found = staged(rows.mapInArrow(_scores(shared), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    shared.destroy()
     far = found.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("id"), F.col("x.times").alias("times"))
     # Words without a count add nothing: log10(0 + 1) is 0.
     met = far.join(counts, "id").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_counted"))
