@@ -10,7 +10,7 @@ Both factors are softmaxes over hashed features: the token before, the two befor
 back by themselves (skips); in the second factor each together with the class. Each factor has a table of 2**16 rows of
 ``WIDE`` weights.
 
-1. Every training token is counted, in Spark. The ``KNOWN`` commonest words are broadcast (2 MB at most), the rest stays a table.
+1. Every training token is counted, in Spark. The commonest words, ``KNOWN`` at most, are broadcast (3 MB), the rest stays a table.
 2. One pass over all training tokens in ``ROUNDS`` rounds, each over the documents of one hash slice. The workers of a round
    start from the broadcast weights (16 MB, fixed), take Adagrad steps on minibatches of their own rows, and send their weights
    in blocks; a row's new weights are the mean over the workers, by how often each one met the feature (parameter mixing).
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -315,13 +316,28 @@ def _scores(shared):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, seen long, counted double, log_p double, far array<long>, times array<long>"
 
 
+def _commonest(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The commonest words (id, n), first to last: as many whole classes of counts as hold at most ``most`` words.
+
+    Classes are sixteenths of a power of two, some hundreds in all, so what comes to the driver is bounded whatever the number of tasks.
+    """
+    step = F.floor(F.log2("n") * 16)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        if r["words"] > left:
+            break
+        left, least = left - r["words"], r["step"]
+    found = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+    return found.sort_values(["n", "id"], ascending=[False, True])
+
+
 def fit(docs: DataFrame) -> tuple[Known, Model, Totals, DataFrame]:
     """Counts and weights from the rows (doc_id, text, held_out) that aren't held out; the last is the table of all counts (id, n)."""
     spark = docs.sparkSession
     train = docs.where("NOT held_out")
     counts = staged(train.select("text").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "counts")
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "id").limit(KNOWN).toPandas()
+    top = _commonest(counts, KNOWN)
     ids, common = top["id"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     known, head = Known.of(ids, common), common[:HEAD]
     totals = Totals(n, v, n - int(head.sum()), v - len(head))
