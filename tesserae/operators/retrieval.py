@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.functions.vectors import SIMILARITIES
+from tesserae.operators import nearest
 
 #: Bytes up to which a query side is broadcast; beyond, the join shuffles. The sizes are Spark's own estimates.
 BROADCAST_BYTES = 64 << 20
@@ -37,25 +37,11 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
     """Exact k nearest entries of each query: query_id, entry_id, score, rank.
 
     entries: entry_id, vector and filter columns that the caller has applied; queries: query_id, q_vector. Every query
-    meets every entry of its length. A small query side is broadcast; beyond, entries are dealt into slices and each
-    slice gets the queries, so that no key gathers all rows.
+    meets every entry of its length, in blocks; ranks are by rounded scores, the threshold is for the score as it is. A small query side is
+    broadcast; beyond, entries are dealt into slices and each slice gets the queries, so that no key gathers all rows.
     """
-    if metric not in SIMILARITIES:
-        raise ValueError(f"unknown metric: {metric}")
-    score = SIMILARITIES[metric](F.col("vector"), F.col("q_vector"))
-    own, asked = entries.select("entry_id", "vector"), queries.select("query_id", "q_vector")
-    fits = F.size("vector") == F.size("q_vector")
-    if is_small(asked):
-        pairs = own.join(F.broadcast(asked), fits)
-    else:
-        slices = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = own.withColumn("slice", F.pmod(F.xxhash64("entry_id"), F.lit(slices)).cast("int"))
-        pairs = dealt.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "slice").where(fits)
-    scored = pairs.select("query_id", "entry_id", score.alias("score"))
-    if threshold is not None:  # the threshold is for the score as it is, before rounding
-        scored = scored.where(F.col("score") >= threshold)
-    scored = scored.withColumn("score", F.round("score", digits))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
+    found = nearest.candidates(entries.select("entry_id", "vector"), queries.select("query_id", "q_vector"), metric, k, threshold, digits, is_small(queries.select("query_id", "q_vector")))
+    return ranked(found.withColumn("score", F.round("score", digits)), ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
 
 
 def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:

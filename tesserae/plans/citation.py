@@ -150,8 +150,10 @@ def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
     inner = F.split(F.trim("query"), r"\s+")
     asked = passages.where("query is not null").withColumn("inner", F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))))
     long = asked.where(F.size("inner") >= GRAM).select("query_id", "query", F.xxhash64(*[F.get("inner", F.lit(k)) for k in range(GRAM)]).alias("gram"))
-    runs = texts.select("document_id", "text", F.explode(_grams(F.split("text", r"\s+"))).alias("gram"))
-    met = runs.join(maybe_broadcast(long), "gram").where(F.contains("text", "query")).select("query_id", "document_id")
+    # Texts stay out of the exploded rows, which would each hold a copy; what meets fetches its text once.
+    runs = texts.select("document_id", F.explode(_grams(F.split("text", r"\s+"))).alias("gram"))
+    near = runs.join(maybe_broadcast(long.select("query_id", "gram")), "gram").select("query_id", "document_id").distinct()
+    met = near.join(texts, "document_id").join(long.select("query_id", "query"), "query_id").where(F.contains("text", "query")).select("query_id", "document_id")
     short = texts.join(maybe_broadcast(asked.where(F.size("inner") < GRAM).select("query_id", "query")), F.contains("text", "query")).select("query_id", "document_id")
     return met.unionByName(short).distinct()
 
