@@ -47,19 +47,29 @@ def collection_totals(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*KEY).agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
 
 
+def newest_collection(collections: DataFrame) -> DataFrame:
+    """Of each version's newest collection: chunks that it declares, lists, and tells apart."""
+    of = [c for c in ("created_at", "collection_id") if c in collections.columns]
+    each = collections.groupBy(*KEY, *of).agg(F.max("n_declared").alias("declared"), F.count("*").alias("listed"), F.count_distinct("chunk_id").alias("chunk_ids"))
+    if not of:
+        return each
+    newest = each.groupBy(*KEY).agg(F.max_by(F.struct("declared", "listed", "chunk_ids"), F.struct(*of)).alias("c"))
+    return newest.select(*KEY, "c.*")
+
+
 def version_problems(versions: DataFrame, results: DataFrame, trees: DataFrame, collections: DataFrame, embeddings: DataFrame, entries: DataFrame, model: str, model_version: str, dimension: int) -> DataFrame:
     """What keeps each version from being ready: versions' keys, problems (joined by '; '), ready.
 
-    results, trees: keys; collections: keys, chunk_id, n_declared; embeddings: keys, chunk_id, status, model, model_version,
-    dimension; entries: these and embedding_id. Only active rows of the configured model count, and each chunk must
-    be covered exactly once. Sides are counted by version before they are joined.
+    results, trees: keys; collections: keys, chunk_id, n_declared, and where a version may have several, collection_id and created_at: the
+    newest alone counts; embeddings: keys, chunk_id, status, model, model_version, dimension; entries: these and embedding_id. Only
+    active rows of the configured model count, and each chunk must be covered exactly once. Sides are counted by version before they are joined.
     """
     current = (F.col("status") == "ACTIVE") & (F.col("model") == model) & (F.col("model_version") == model_version) & (F.col("dimension") == dimension)
     count = lambda df, *sums: df.groupBy(*KEY).agg(*sums)
     sides = [
         count(results, F.count("*").alias("n_results")),
         count(trees, F.count("*").alias("n_trees")),
-        count(collections, F.max("n_declared").alias("declared"), F.count("*").alias("listed"), F.count_distinct("chunk_id").alias("chunk_ids")),
+        newest_collection(collections),
         count(embeddings.where(current), F.count("*").alias("n_vectors"), F.count_distinct("chunk_id").alias("vector_chunks")),
         count(entries.where(current), F.count("*").alias("n_entries"), F.count_distinct("chunk_id").alias("entry_chunks"), F.count_distinct("embedding_id").alias("entry_vectors")),
     ]

@@ -74,7 +74,11 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, c = versions(spark, sf_dir), chunks(spark, sf_dir)
     declared = c.groupBy("document_id", "version_id").agg(F.count("*").alias("total")).withColumn("n_declared", F.col("total") + F.when(F.col("version_id") % 17 == 0, 1).otherwise(0)).drop("total")
-    return artefacts.version_problems(v, v.where("version_id % 19 != 0"), v.where("version_id % 23 != 0"), c.join(declared, artefacts.KEY), vectors(spark, sf_dir), entries(spark, sf_dir), MODEL, MODEL_VERSION, DIMENSION)
+    newest = c.join(declared, artefacts.KEY).withColumns({"collection_id": F.lit("b"), "created_at": F.lit(2)})
+    # Every fifth version has an older collection that lists a chunk too few, and every seventh of these a newer one that does.
+    other = newest.where("version_id % 5 = 0 AND n > 1").withColumns({"collection_id": F.lit("a"), "created_at": F.when(F.col("version_id") % 7 == 0, 3).otherwise(1)})
+    collections = newest.unionByName(other)
+    return artefacts.version_problems(v, v.where("version_id % 19 != 0"), v.where("version_id % 23 != 0"), collections, vectors(spark, sf_dir), entries(spark, sf_dir), MODEL, MODEL_VERSION, DIMENSION)
 
 
 def version_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,8 @@ def component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _READY = f"""{_ENTRIES},
-declared AS (SELECT document_id, version_id, count(*) + CASE WHEN version_id % 17 = 0 THEN 1 ELSE 0 END AS n, count(*) AS listed, count(DISTINCT chunk_id) AS ids FROM chunks GROUP BY document_id, version_id),
+declared AS (SELECT document_id, version_id, count(*) + CASE WHEN version_id % 17 = 0 THEN 1 ELSE 0 END AS n, count(*) FILTER (NOT short OR n > 1) AS listed, count(DISTINCT chunk_id) FILTER (NOT short OR n > 1) AS ids
+  FROM (SELECT *, version_id % 35 = 0 AND bool_or(n > 1) OVER (PARTITION BY version_id) AS short FROM chunks) GROUP BY document_id, version_id),
 good_vectors AS (SELECT version_id, count(*) AS n, count(DISTINCT chunk_id) AS c FROM vectors WHERE status = 'ACTIVE' AND model = '{MODEL}' AND dimension = {DIMENSION} GROUP BY ALL),
 good_entries AS (SELECT version_id, count(*) AS n, count(DISTINCT chunk_id) AS c, count(DISTINCT embedding_id) AS e FROM entries WHERE status = 'ACTIVE' AND model = '{MODEL}' AND dimension = {DIMENSION} GROUP BY ALL),
 told AS (SELECT v.document_id, v.version_id, v.status, concat_ws('; ', CASE WHEN v.version_id % 19 = 0 THEN 'no extraction result' END, CASE WHEN v.version_id % 23 = 0 THEN 'no tree' END, CASE WHEN d.n IS NULL THEN 'no chunks' END, CASE WHEN d.listed != d.n OR d.ids != d.n THEN 'inconsistent chunks' END,

@@ -117,12 +117,28 @@ def docx_problem(content: bytes, most: int = 10 * MOST_BYTES) -> str | None:
     return None if any((t.text or "").strip() for t in root.iter(f"{_W}t")) else "DOCX without text"
 
 
+#: Media types that are taken, and those that are named but not taken yet, with their extensions.
+MIME_PDF = "application/pdf"
+MIME_DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+FUTURE_TYPES = {"application/msword": ("doc",), "image/tiff": ("tiff", "tif"), "image/png": ("png",), "image/jpeg": ("jpg", "jpeg")}
+
+
 def upload_gate(files: DataFrame) -> DataFrame:
-    """Adds accepted, reject_reason, checksum, stored_name, shard to files (filename, content)."""
+    """Adds accepted, reject_reason, checksum, stored_name, shard to files (filename, content, and mime_type where it is declared).
+
+    A declared media type that is taken says what the file is; one that is to come is refused; else the name's extension says it.
+    """
     extension = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1))
+    future = F.lit(False)
+    if "mime_type" in files.columns:
+        declared = F.col("mime_type")
+        told = F.when(declared == MIME_PDF, "pdf").when(declared == MIME_DOCX, "docx")
+        future = F.coalesce(declared.isin(*FUTURE_TYPES), F.lit(False)) | (told.isNull() & extension.isin(*[e for es in FUTURE_TYPES.values() for e in es]))
+        extension = F.coalesce(told, extension)
     kind, size = kind_of(F.col("content")), F.octet_length("content")
     reason = (
-        F.when(F.col("filename").startswith("~$"), "lock file")
+        F.when(future, "future type")
+        .when(F.col("filename").startswith("~$"), "lock file")
         .when(~extension.isin("pdf", "docx"), "unsupported type")
         .when(F.coalesce(size, F.lit(0)) == 0, "empty file")
         .when(size > MOST_BYTES, "too large")
