@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import admin, admission, artefacts, citation, files, maintenance, observability, registry, retrieval, structure
+from tesserae.plans import admin, admission, artefacts, citation, files, maintenance, observability, records, registry, retrieval, structure
 
-MODULES = (retrieval, structure, citation, registry, observability, admin, artefacts, files, maintenance, admission)
+MODULES = (retrieval, structure, citation, registry, observability, admin, artefacts, files, maintenance, admission, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
