@@ -114,8 +114,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         table.append((r["item"], r["part"], s, base[s]))
         base[s] += r["rows"]
     table = spark.createDataFrame(table, "item long, part int, shard int, base long")
-    own = F.row_number().over(Window.partitionBy("item", "part").orderBy("doc_id", "group", "row"))
-    return placed.withColumn("own", own).join(F.broadcast(table), ["item", "part"]).select("doc_id", "size", "n_tokens", "text_crc32", "shard", (F.col("base") + F.col("own") - 1).alias("slot"))
+    # Rows of an item are numbered within the task that has read them, from where the tasks before end: no task holds an item.
+    placed = placed.withColumn("task", F.shiftright("row", 33))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("item", "part").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("item", "part", "task").agg(F.count("*").alias("n")).select("item", "part", "task", ahead.alias("start"))
+    own = F.row_number().over(Window.partitionBy("item", "part", "task").orderBy("row")) - 1
+    numbered = placed.withColumn("own", own).join(starts, ["item", "part", "task"]).join(F.broadcast(table), ["item", "part"])
+    return numbered.select("doc_id", "size", "n_tokens", "text_crc32", "shard", (F.col("base") + F.col("start") + F.col("own")).alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -622,3 +622,15 @@ def test_word_tools():
     x = np.random.default_rng(0).integers(0, 100, 200).astype(np.uint64)
     for k in (1, 2, 3, 16, 34, 35, 64):
         assert (_text.sliding_min(x, k) == [x[i : i + k].min() for i in range(201 - k)]).all()
+
+
+def test_sharding_group_below_a_shard(spark):
+    """A group of 0.8 of a shard stays whole, and its slots are gapless without a task that holds it."""
+    rows = [(i, "one text " * 30) for i in range(80)] + [(1000 + i, f"text number {i} " * 18) for i in range(3920)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+    own = out.where("doc_id < 1000").groupBy("shard").count().collect()
+    assert len(own) == 1 and own[0]["count"] == 80
+    slots = out.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n"), F.count("*").alias("m")).collect()
+    assert all(r.a == 0 and r.b + 1 == r.n == r.m for r in slots)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "row_number" in x]
+    assert windows and all("task#" in x for x in windows)
