@@ -9,6 +9,7 @@ from tesserae.functions import text as tx
 from tesserae.functions.vectors import test_embedding
 from tesserae.operators import registry, retrieval
 from tesserae.plans.common import DOCUMENTS, codes_sql, collapse_sql, documents, questions, share_sql, table, terms_sql, tokens_sql
+from tesserae.sources.shared import written
 
 K, POOL, DIGITS = 10, 100, 10
 
@@ -113,6 +114,7 @@ fused AS ({_ranked_sql('fusing', K)})"""
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.split("entry_id", ":")
     hits = keyword_search(spark, sf_dir).select("query_id", "entry_id", place[0].cast("long").alias("document_id"), place[1].cast("int").alias("ord"), "score")
+    hits = written(hits, "hits")  # few rows, used twice below: the search itself runs once
     chunks = line_entries(spark, sf_dir, hits.select("document_id").distinct()).select("entry_id", "document_id", "ord")
     return retrieval.context_window(chunks, hits, 1)
 
