@@ -112,8 +112,6 @@ def candidates(entries: DataFrame, queries: DataFrame, metric: str, k: int, thre
     entries: entry_id, vector; queries: query_id, q_vector. small: whether the queries are of a size that may be broadcast, as the caller has
     checked; else both sides' blocks are dealt by length and slice, each query block going to every slice.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric: {metric}")
     own = packed(entries, "entry_id", "vector", ENTRY_BLOCK, "")
     asked = packed(queries, "query_id", "q_vector", QUERY_BLOCK, "q")
     if small:

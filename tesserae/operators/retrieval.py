@@ -40,6 +40,8 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
     meets every entry of its length, in blocks; ranks are by rounded scores, the threshold is for the score as it is. A small query side is
     broadcast; beyond, entries are dealt into slices and each slice gets the queries, so that no key gathers all rows.
     """
+    if metric not in nearest.METRICS:
+        raise ValueError(f"unknown metric: {metric}")
     found = nearest.candidates(entries.select("entry_id", "vector"), queries.select("query_id", "q_vector"), metric, k, threshold, digits, is_small(queries.select("query_id", "q_vector")))
     return ranked(found.withColumn("score", F.round("score", digits)), ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
 
