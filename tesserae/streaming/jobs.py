@@ -62,7 +62,7 @@ class JobProcessor(StatefulProcessor):
 
     def _rows(self, key: tuple, events: list[Event]) -> Iterator[pd.DataFrame]:
         if events:
-            yield pd.DataFrame([(*key, n, s, pd.Timestamp(at, unit="ms", tz="UTC"), why) for n, s, at, why in events], columns=["document_id", "job_type", "job_no", "status", "at", "reason"])
+            yield pd.DataFrame([(*key, n, s, at, why) for n, s, at, why in events], columns=["document_id", "job_type", "job_no", "status", "ms", "reason"])
 
     def _keep(self, before: Held, held: Held) -> None:
         if before[1] == "RUNNING":
@@ -74,9 +74,8 @@ class JobProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before: Held = tuple(self.state.get()) if self.state.exists() else (0, None, -1)
         held, events = before, []
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        for ts, action in zip(batch["ts"], batch["action"], strict=True):
-            at = ts.value // 1_000_000
+        batch = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
+        for at, action in zip(batch["ms"].tolist(), batch["action"], strict=True):
             if at >= before[2]:
                 held, found = step(held, at, action, self.silence)
                 events += found
@@ -95,9 +94,10 @@ class JobProcessor(StatefulProcessor):
 
 
 def job_events(commands: DataFrame, silence_seconds: int, late: str = "0 seconds") -> DataFrame:
-    """EVENTS of a stream of COMMANDS."""
-    keyed = commands.withWatermark("ts", late).groupBy("document_id", "job_type")
-    return keyed.transformWithStateInPandas(JobProcessor(silence_seconds * 1000), EVENTS, "append", "eventTime")
+    """EVENTS of a stream of COMMANDS. Times go through the processor as milliseconds, so that no session's time zone touches them."""
+    keyed = commands.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("document_id", "job_type")
+    found = keyed.transformWithStateInPandas(JobProcessor(silence_seconds * 1000), EVENTS.replace("at timestamp", "ms long"), "append", "eventTime")
+    return found.select("document_id", "job_type", "job_no", "status", F.timestamp_millis("ms").alias("at"), "reason")
 
 
 @contextmanager

@@ -50,6 +50,20 @@ def test_steps_by_hand():
     assert run((1, None, 5), 6, "COMPLETE") == run((1, None, 5), 6, "START") == ((1, None, 6), [])
 
 
+@pytest.fixture
+def far_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Ho_Chi_Minh")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_jobs_in_another_time_zone(spark, tmp_path, far_zone):
+    rows = commands(2, 80)
+    write(spark, rows, str(tmp_path / "in"))
+    jobs.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), SILENCE).awaitTermination()
+    assert events(spark, str(tmp_path / "out")) == folded(rows, max(r[2] for r in rows) - 1)
+
+
 @pytest.mark.parametrize("cuts", [[300], [100, 200, 300]])
 def test_jobs_over_restarts(spark, tmp_path, cuts):
     """The same jobs in one run and in three that go on from the checkpoint; timers fire for keys that no batch names."""
