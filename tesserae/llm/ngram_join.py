@@ -338,10 +338,20 @@ def _hashed(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("member"), blocks).cast("int")
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """A lead's members are dealt to SALTS tasks, as one lead may have most of all."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+
+
 def _by_lead(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows joined with the row of their lead in a table; a lead's members are dealt to SALTS tasks, as one may have most of all."""
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(salted, ["lead", "salt"]).drop("salt")
+    """rows joined with the row of their lead in a table.
+
+    The table is repeated only for salts that the lead's rows have, and merged: the planner takes a repeated table for as
+    small as it was before, and would broadcast many times what it allows.
+    """
+    salted = _salted(rows)
+    places = salted.select("lead", "salt").distinct().join(table.hint("merge"), "lead")
+    return salted.join(places.hint("merge"), ["lead", "salt"]).drop("salt")
 
 
 def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
