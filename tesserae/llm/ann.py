@@ -8,9 +8,10 @@ the whole table by these scores (ties: smaller ids) are its shortlist. Only thei
 by exact distances in double precision.
 
 Queries meet the index block by block: index blocks are dealt to ``PARTS`` parts and query blocks to groups of about
-``HELD``; a task keeps the shortlists of the query blocks that it sees, so that what leaves it is bounded by queries and
-parts, not by pairs. The work is codes times queries; a shortlist of fixed length is a smaller share of a larger table,
-so recall falls slowly as tables grow (figures: README).
+``HELD``; a cell of a group and a part keeps the shortlists of its query blocks and gives each once, and parts' lists are
+merged one after another, so that what is held is bounded and what is passed on goes by queries and parts, not by pairs.
+The work is codes times queries; a shortlist of fixed length is a smaller share of a larger table, so recall falls slowly
+as tables grow (figures: README).
 
 Defined cases: vectors that are null, zero, of another length than most of the sample, or that hold null or
 non-finite components take no part, nor do rows without an id; each row is a candidate of its own, also where it repeats
@@ -31,7 +32,7 @@ from tesserae.llm._shared import staged
 
 BOOKS, WORDS, SAMPLE, ROUNDS, BEAM = 32, 64, 12_288, 4, 4
 BLOCK, QUERIES, SHORT, TOP = 2048, 256, 512, 10
-#: Parts of the index, and query blocks whose shortlists a task holds at once.
+#: Parts of the index, and query blocks of a group, about: a task holds the shortlists of one.
 PARTS, HELD = 16, 8
 #: Scores are compared in steps of this share of the mean norm, so that equal codes tie wherever they are scored.
 STEP = 1e-6
@@ -191,37 +192,58 @@ def _unpacked(row: dict) -> Lists:
 
 
 def _shortlists(books: np.ndarray, dtype: np.dtype, step: float, short: int):
+    """Shortlists of the query blocks of each cell (g, part), of whose rows the query blocks (kind 0) come before the index blocks.
+
+    A task holds the shortlists of one cell, and gives each once.
+    """
     m, _, d = books.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, Lists] = {}
+        cell, asked, held = None, {}, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for q_ids, lists in held.items():
+                yield pa.RecordBatch.from_pylist([_packed(q_ids, lists)], _binary("q_ids", "n", "keys", "ids", "places"))
+
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                new = best_of_block(
-                    np.frombuffer(row["q_vectors"], dtype).reshape(-1, d), np.frombuffer(row["q_own"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["places"], np.int64),
-                    np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["norms"], np.float32), books, step, short,
-                )
-                old = held.pop(row["q_ids"], None)
-                held[row["q_ids"]] = new if old is None else shorter([old, new], short)
-                if len(held) > HELD:
-                    first = next(iter(held))
-                    yield pa.RecordBatch.from_pylist([_packed(first, held.pop(first))], _binary("q_ids", "n", "keys", "ids", "places"))
-        for q_ids, lists in held.items():
-            yield pa.RecordBatch.from_pylist([_packed(q_ids, lists)], _binary("q_ids", "n", "keys", "ids", "places"))
+                if (row["g"], row["part"]) != cell:
+                    yield from out()
+                    cell, asked, held = (row["g"], row["part"]), {}, {}
+                ids, places = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["places"], np.int64)
+                if row["kind"] == 0:
+                    asked[row["ids"]] = (np.frombuffer(row["vectors"], dtype).reshape(-1, d), places)
+                    continue
+                codes, norms = np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["norms"], np.float32)
+                for q_ids, (q, own) in asked.items():
+                    new = best_of_block(q, own, ids, places, codes, norms, books, step, short)
+                    held[q_ids] = new if q_ids not in held else shorter([held[q_ids], new], short)
+        yield from out()
 
     return run
 
 
 def _pairs(short: int):
-    """Query ids and row numbers of the whole table's shortlists, from the lists of its parts."""
+    """Query ids and row numbers of the whole table's shortlists, from the lists of its parts, which come in order of their query blocks."""
+
+    def out(q_ids: bytes, lists: Lists) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(q_ids, np.int64), lists[0])), pa.array(lists[3])], names=["query_id", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                n, _, _, place = shorter([_unpacked({**x, "q_ids": None}) for x in row["lists"]], short)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(row["q_ids"], np.int64), n)), pa.array(place)], names=["query_id", "row"])
+                lists = _unpacked(row)
+                if row["q_ids"] == now:
+                    held = shorter([held, lists], short)
+                    continue
+                if held is not None:
+                    yield out(now, held)
+                now, held = row["q_ids"], lists
+        if held is not None:
+            yield out(now, held)
 
     return run
 
@@ -256,12 +278,14 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     n = asked.count()
     groups = max(1, -(-n // (QUERIES * HELD)))
     dealt = asked.repartition(groups, "id") if groups > 1 else asked.coalesce(1)
-    packed = staged(dealt.mapInArrow(_query_blocks(d), "q_ids binary, q_own binary, q_vectors binary"), "asked")
-    packed = packed.select("*", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
-    blocks = staged(index(rows, books), "codes").select("*", F.pmod(F.xxhash64("ids", "places"), F.lit(PARTS)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    # A stated query set against all rows, block by block; codes only.
-    met = blocks.join(packed, ["g", "part"]).select("q_ids", "q_own", "q_vectors", "ids", "places", "codes", "norms")
-    lists = met.mapInArrow(_shortlists(books, dtype, step, short), _LISTS).groupBy("q_ids").agg(F.collect_list(F.struct("n", "keys", "ids", "places")).alias("lists"))
+    packed = staged(dealt.mapInArrow(_query_blocks(d), "q_ids binary, q_own binary, q_vectors binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))), "asked")
+    none = F.lit(None).cast("binary")
+    packed = packed.select("g", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(0).alias("kind"), F.col("q_ids").alias("ids"), F.col("q_own").alias("places"), none.alias("codes"), none.alias("norms"), F.col("q_vectors").alias("vectors"))
+    part = F.pmod(F.xxhash64("ids", "places"), F.lit(PARTS)).cast("int")
+    blocks = staged(index(rows, books), "codes").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), part.alias("part"), F.lit(1).alias("kind"), "ids", "places", "codes", "norms", none.alias("vectors"))
+    # A stated query set against all rows, block by block; codes only. Blocks meet in the task: as joined rows each would be copied for every other.
+    met = packed.unionByName(blocks).repartition("g", "part").sortWithinPartitions("g", "part", "kind")
+    lists = met.mapInArrow(_shortlists(books, dtype, step, short), _LISTS).repartition("q_ids").sortWithinPartitions("q_ids")
     pairs = lists.mapInArrow(_pairs(short), "query_id long, row long")
     fetched = pairs.join(rows.select("row", F.col("id").alias("vec_id"), "vector"), "row").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
     found = fetched.select("query_id", "vec_id", "vector", "asked").mapInArrow(_distances(d), "query_id long, vec_id long, score double")

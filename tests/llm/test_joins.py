@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.llm import ngram_join
+from tesserae.llm import ann, ngram_join
 
 
 def test_lead_tables_are_never_broadcast(spark):
@@ -14,3 +16,28 @@ def test_lead_tables_are_never_broadcast(spark):
     found = ngram_join._by_lead(rows, table)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in found.select("lead", "member", "blocks").collect()) == sorted((i % 3, i, 1) for i in range(300) if i % 3 < 2)
+
+
+def test_each_shortlist_leaves_its_cell_once():
+    """Many more query blocks than HELD in a cell: a list was given anew for each meeting, and all of a query block's lists were gathered in one row."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(900, 8)).astype(np.float32)
+    books = ann.train(x, books=4, words=8)
+    codes, norms = ann.encode(x, books)
+    ids = np.arange(900)
+    n = 3 * ann.HELD
+    rows = [{"g": 0, "part": 0, "kind": 0, "ids": ids[4 * i : 4 * i + 4].tobytes(), "places": ids[4 * i : 4 * i + 4].tobytes(), "codes": None, "norms": None, "vectors": x[4 * i : 4 * i + 4].tobytes()} for i in range(n)]
+    for part in (0, 1):
+        rows += [{**r, "part": 1} for r in rows[:n]] if part else []
+        for a in range(450 * part, 450 * part + 450, 90):
+            cut = slice(a, a + 90)
+            rows.append({"g": 0, "part": part, "kind": 1, "ids": ids[cut].tobytes(), "places": ids[cut].tobytes(), "codes": codes[cut].astype(np.uint8).tobytes(), "norms": norms[cut].tobytes(), "vectors": None})
+    kinds = {"g": pa.int32(), "part": pa.int32(), "kind": pa.int32()}
+    schema = pa.schema([(c, kinds.get(c, pa.binary())) for c in rows[0]])
+    out = list(ann._shortlists(books, np.dtype(np.float32), 1e-6, 20)(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    assert sum(b.num_rows for b in out) == 2 * n
+    lists = pa.Table.from_batches(out).sort_by("q_ids")
+    found = pa.Table.from_batches(ann._pairs(20)(iter(lists.to_batches(max_chunksize=3)))).to_pylist()
+    got = {q: [r["row"] for r in found if r["query_id"] == q] for q in range(4 * n)}
+    keys = np.rint(ann.scores(x[: 4 * n], codes, norms, books) / 1e-6).astype(np.int64)
+    assert got == {q: [int(i) for i in np.lexsort((ids, keys[q])) if i != q][:20] for q in got}
