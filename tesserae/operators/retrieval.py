@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.operators import nearest
+from tesserae.operators import keywords, nearest
 
 #: Bytes up to which a query side is broadcast; beyond, the join shuffles. The sizes are Spark's own estimates.
 BROADCAST_BYTES = 64 << 20
@@ -46,13 +46,21 @@ def knn(entries: DataFrame, queries: DataFrame, metric: str = "cosine", k: int =
     return ranked(found.withColumn("score", F.round("score", digits)), ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
 
 
-def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6, k: int | None = None) -> DataFrame:
     """query_id, entry_id, score > 0: .85 of the query's terms in the content, .15 in the title.
 
-    entries: entry_id, content, title; queries: query_id, query. Terms meet by an inverted index: entry terms are
-    exploded and joined by equality, so nothing is compared that shares no term.
+    entries: entry_id, content, title, and optionally title_tokens; queries: query_id, query. Terms meet by an inverted
+    index: entry terms are exploded and joined by equality, so nothing is compared that shares no term. With k, for entries
+    whose ids are neither null nor repeated, only the first k of each query need be found: if the queries are small,
+    tasks count and leave out the others, as nearly every entry shares some term with nearly every query.
     """
     asked = queries.select("query_id", tx.query_terms("query").alias("terms")).where(F.size("terms") > 0)
+    score = F.round(F.least(0.85 * (F.col("a") / F.col("n_terms")) + 0.15 * (F.col("b") / F.col("n_terms")), F.lit(1.0)), digits).alias("score")
+    # Other counts mustn't round to the same score, or ties would go otherwise.
+    if k is not None and digits >= 8 and is_small(queries):
+        titles = F.col("title_tokens") if "title_tokens" in entries.columns else tx.tokens("title")
+        met = keywords.best(entries.select("entry_id", tx.tokens("content").alias("content"), titles.alias("title")), asked, k)
+        return met.select("query_id", "entry_id", score).where("score > 0")
     asked = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     # Content and title are posted apart: a term carries two counts instead of the arrays that it came from.
     post = lambda c, content: F.transform(tx.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(int(content)).alias("in_content"), F.lit(int(not content)).alias("in_title")))
@@ -63,8 +71,7 @@ def keyword_hits(entries: DataFrame, queries: DataFrame, digits: int = 6) -> Dat
         salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = posted.withColumn("salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
     met = pairs.groupBy("query_id", "entry_id").agg(F.any_value("n_terms").alias("n_terms"), F.sum("in_content").alias("a"), F.sum("in_title").alias("b"))
-    score = F.least(0.85 * (F.col("a") / F.col("n_terms")) + 0.15 * (F.col("b") / F.col("n_terms")), F.lit(1.0))
-    return met.select("query_id", "entry_id", F.round(score, digits).alias("score")).where("score > 0")
+    return met.select("query_id", "entry_id", score).where("score > 0")
 
 
 @dataclass(frozen=True)

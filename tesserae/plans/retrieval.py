@@ -15,10 +15,10 @@ K, POOL, DIGITS = 10, 100, 10
 
 
 def line_entries(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """entry_id (document:line), document_id, ord, content, title of the lines with text; of: only of these documents."""
+    """entry_id (document:line), document_id, ord, content, title, title_tokens of the lines with text; of: only of these documents."""
     d = documents(spark, sf_dir) if of is None else documents(spark, sf_dir).join(of, "document_id", "left_semi")
-    d = d.select("document_id", "title", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "content"))
-    return d.where(F.trim("content") != "").select(F.concat_ws(":", F.col("document_id").cast("string"), F.col("at").cast("string")).alias("entry_id"), "document_id", F.col("at").alias("ord"), "content", "title")
+    d = d.select("document_id", "title", tx.tokens("title").alias("title_tokens"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "content"))
+    return d.where(F.trim("content") != "").select(F.concat_ws(":", F.col("document_id").cast("string"), F.col("at").cast("string")).alias("entry_id"), "document_id", F.col("at").alias("ord"), "content", "title", "title_tokens")
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,14 @@ def _ranked_sql(source: str, k: int | None, more: str = "") -> str:
 KEYWORD_SQL = f"WITH {_LINES}, {_QUESTIONS}, {_HITS} {_ranked_sql('hits', K)}"
 
 
+def told_apart(spark: SparkSession, sf_dir: str, k: int) -> int | None:
+    """k where no document's id is null or repeated, so that its entries are single rows; else None."""
+    ids = table(spark, sf_dir, "documents").groupBy("doc_id").count()
+    return None if ids.where("count > 1 or doc_id is null").limit(1).count() else k
+
+
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.keyword_hits(line_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS)
+    hits = retrieval.keyword_hits(line_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS, told_apart(spark, sf_dir, K))
     return retrieval.ranked(hits, ["query_id"], [F.desc("score"), F.asc("entry_id")], K).select("query_id", "entry_id", "score", "rank")
 
 
@@ -86,7 +92,7 @@ def semantic_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.keyword_hits(document_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS)
+    hits = retrieval.keyword_hits(document_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS, told_apart(spark, sf_dir, POOL))
     return retrieval.ranked(hits, ["query_id"], [F.desc("score"), F.asc("entry_id")], POOL)
 
 
