@@ -140,8 +140,11 @@ def label_of(kind: Column | str) -> Column:
 
 
 def references(nodes: DataFrame) -> DataFrame:
-    """Adds reference (from the root: labels with numbers) and path (numbers, else places; the root gives 1) to nodes."""
-    n = number_of("title", "text")
+    """Adds reference (from the root: labels with numbers) and path (numbers, else places; the root gives 1) to nodes.
+
+    Nodes may bring number_of their title and text as own_number: who doesn't ask for texts then sorts none.
+    """
+    n = F.col("own_number") if "own_number" in nodes.columns else number_of("title", "text")
     own = nodes.withColumn("own_reference", F.concat_ws(" ", label_of("type"), n)).withColumn("own_step", F.coalesce(n, (F.col("sibling") + 1).cast("string")))
     upper = {f"{c}{up}": of_ancestor(F.col(f"own_{name}"), up) for up in (1, 2) for c, name in (("r", "reference"), ("s", "step"))}
     walked = own.withColumns(upper)

@@ -101,7 +101,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.references(nodes(spark, sf_dir))
+    """Numbers are taken before the windows of the hierarchy, so that these carry texts only for who asks for texts."""
+    numbered = sections(spark, sf_dir).withColumn("own_number", structure.number_of("title", "text"))
+    return structure.references(structure.hierarchy(numbered)).drop("own_number")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
