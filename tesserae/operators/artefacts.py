@@ -39,7 +39,8 @@ def by_chunk(chunks: DataFrame, embeddings: DataFrame, entries: DataFrame) -> Da
     active = lambda df, own: df.where("status = 'ACTIVE'").select(*own)
     vectors = active(embeddings, ["chunk_id", "embedding_id"])
     rows = active(entries, ["embedding_id", "entry_id"])
-    return chunks.select(*KEY, "chunk_id").join(vectors, "chunk_id", "left").join(rows, "embedding_id", "left").select(*KEY, "chunk_id", "embedding_id", "entry_id")
+    # Vectors meet their index rows first: chunks without a vector would all be dealt to one task by a null id.
+    return chunks.select(*KEY, "chunk_id").join(vectors.join(rows, "embedding_id", "left"), "chunk_id", "left").select(*KEY, "chunk_id", "embedding_id", "entry_id")
 
 
 def collection_totals(chunks: DataFrame) -> DataFrame:

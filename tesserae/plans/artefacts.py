@@ -20,22 +20,27 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("tokens"))
-    rows = li.join(versions(spark, sf_dir).select("document_id", "version_id"), "version_id")
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lineitems with their chunk_id, without the document that their order names."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("tokens"))
     return rows.withColumn("chunk_id", F.concat_ws("-", F.col("version_id").cast("string"), F.col("n").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, p = chunks(spark, sf_dir), F.col("l_partkey")
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(spark, sf_dir).join(versions(spark, sf_dir).select("document_id", "version_id"), "version_id")
+
+
+def vectors(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """of: rows like those of chunks, where the document isn't asked for."""
+    c, p = chunks(spark, sf_dir) if of is None else of, F.col("l_partkey")
     return c.where(p % 40 != 0).select(
-        "document_id", "version_id", "chunk_id", F.concat(F.lit("e"), F.col("chunk_id")).alias("embedding_id"), F.when(p % 37 == 0, "STALE").otherwise("ACTIVE").alias("status"),
+        *[x for x in ("document_id", "version_id") if x in c.columns], "chunk_id", F.concat(F.lit("e"), F.col("chunk_id")).alias("embedding_id"), F.when(p % 37 == 0, "STALE").otherwise("ACTIVE").alias("status"),
         F.when(p % 41 == 0, "m0").otherwise(MODEL).alias("model"), F.lit(MODEL_VERSION).alias("model_version"), F.when(p % 43 == 0, 32).otherwise(DIMENSION).alias("dimension"), "l_partkey", "l_suppkey",
     )
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = vectors(spark, sf_dir), F.col("l_suppkey")
+def entries(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    v, s = vectors(spark, sf_dir, of), F.col("l_suppkey")
     return v.where(s % 31 != 0).select(
         *[c for c in v.columns if c not in ("l_partkey", "l_suppkey")], F.concat(F.lit("i"), F.col("chunk_id")).alias("entry_id"), F.concat(F.lit("src"), (s % 20).cast("string")).alias("vault_id"),
         F.when(s % 3 == 0, "ARTICLE").when(s % 3 == 1, "CLAUSE").otherwise("POINT").alias("chunk_type"), F.when(s % 2 == 0, "vi").otherwise("en").alias("language"),
@@ -57,8 +62,9 @@ def index_search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by what they lack."""
-    found = artefacts.by_chunk(chunks(spark, sf_dir), vectors(spark, sf_dir), entries(spark, sf_dir))
+    """Chunks by what they lack. A chunk_id names its order, so vectors and entries of lines without one meet no chunk: only the chunks are joined with orders."""
+    lines = listed(spark, sf_dir)
+    found = artefacts.by_chunk(chunks(spark, sf_dir), vectors(spark, sf_dir, lines), entries(spark, sf_dir, lines))
     return found.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count("embedding_id").alias("n_vectors"), F.count("entry_id").alias("n_entries"))
 
 
