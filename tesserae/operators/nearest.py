@@ -2,7 +2,8 @@
 
 Rows of one length are packed into blocks of vectors; every query block meets every entry block of its length (that is what an exact search is), and
 of each meeting only the first k of each query leave the task, with all that ties with the last of them within the rounding of scores. The product's
-rounding error is far below that margin, so no neighbour is lost; the scores returned are sums over the vectors as they are.
+rounding error is far below that margin, so no neighbour is lost; the scores returned are sums over the vectors as they are. Of equal scores of a
+query only the first k ids leave a meeting, so that copies don't flood what follows. What a task holds goes by the sizes of blocks, not of tables.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTRY_BLOCK, QUERY_BLOCK = 4096, 512
+#: Queries of a block that are scored at once: scores of so many by a block of entries are held, not of all.
+QUERY_SLICE = 64
 #: What the product's error can't reach, for unit vectors; scaled by norms for the others.
 SLACK = 1e-9
 METRICS = ("cosine", "dot", "euclid")
@@ -68,9 +72,14 @@ def approximate(q: np.ndarray, e: np.ndarray, metric: str) -> tuple[np.ndarray,
     product = q @ e.T
     if metric == "dot":
         return product, SLACK * (1 + qn * en.max())
-    squares = np.maximum(qn[:, None] ** 2 + en[None] ** 2 - 2 * product, 0)
+    near = product  # worked on in place
+    near *= -2
+    near += (qn**2)[:, None]
+    near += en**2
+    np.sqrt(np.maximum(near, 0, out=near), out=near)
+    near += 1
     # A square root near 0 is off by the root of the product's error.
-    return 1 / (1 + np.sqrt(squares)), 1e-6 * (1 + qn + en.max())
+    return np.reciprocal(near, out=near), 1e-6 * (1 + qn + en.max())
 
 
 def exact(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
@@ -84,24 +93,42 @@ def exact(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norms > 0, dots / np.where(norms > 0, norms, 1), 0.0)
 
 
+def _first_ids(k: int, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Places of the first k ids of each query and score: what is beyond them is never among a query's first k."""
+    order = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), score, query))
+    new = np.r_[True, (query[order][1:] != query[order][:-1]) | (score[order][1:] != score[order][:-1])]
+    at = np.arange(len(order))
+    return np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
+
+
 def _first(metric: str, k: int, threshold: float | None, margin: float):
+    def met(q: np.ndarray, e: np.ndarray, entry_ids: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Places of queries, ids of entries and scores of what may be among the first k."""
+        near, off = approximate(q, e, metric)
+        least = np.full(len(q), -np.inf) if len(e) <= k else np.partition(near, len(e) - k, 1)[:, len(e) - k]
+        least = least - margin - 2 * off
+        if threshold is not None:
+            least = np.maximum(least, threshold - off)
+        rows, cols = np.nonzero(near >= least[:, None])
+        score = np.concatenate([exact(q[rows[a : a + ENTRY_BLOCK]], e[cols[a : a + ENTRY_BLOCK]], metric) for a in range(0, len(rows), ENTRY_BLOCK)] or [np.empty(0)])
+        if threshold is not None:
+            kept = score >= threshold
+            rows, cols, score = rows[kept], cols[kept], score[kept]
+        ids = entry_ids.take(pa.array(cols))
+        if len(rows) > k * len(q):
+            kept = _first_ids(k, rows, score, ids)
+            rows, ids, score = rows[kept], ids.take(pa.array(kept)), score[kept]
+        return rows, ids, score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 dim = batch.column("dim")[i].as_py()
                 q, e = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, dim) for c in ("qvectors", "vectors"))
-                near, off = approximate(q, e, metric)
-                least = np.full(len(q), -np.inf) if len(e) <= k else np.partition(near, len(e) - k, 1)[:, len(e) - k]
-                least = least - margin - 2 * off
-                if threshold is not None:
-                    least = np.maximum(least, threshold - off)
-                rows, cols = np.nonzero(near >= least[:, None])
-                score = np.concatenate([exact(q[rows[a : a + ENTRY_BLOCK]], e[cols[a : a + ENTRY_BLOCK]], metric) for a in range(0, len(rows), ENTRY_BLOCK)] or [np.empty(0)])
-                if threshold is not None:
-                    kept = score >= threshold
-                    rows, cols, score = rows[kept], cols[kept], score[kept]
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([batch.column("qids")[i].values.take(pa.array(rows)), batch.column("ids")[i].values.take(pa.array(cols)), pa.array(score)], names=["query_id", "entry_id", "score"])
+                for a in range(0, len(q), QUERY_SLICE):
+                    rows, ids, score = met(q[a : a + QUERY_SLICE], e, batch.column("ids")[i].values)
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([batch.column("qids")[i].values.take(pa.array(rows + a)), ids, pa.array(score)], names=["query_id", "entry_id", "score"])
 
     return run
 

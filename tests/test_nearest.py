@@ -3,8 +3,10 @@
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,36 @@ def test_all_ties_go_by_id(spark):
     assert retrieval.knn(e.limit(0), q, "dot", 5).count() == retrieval.knn(e, q.limit(0), "dot", 5).count() == 0
 
 
+def meeting(q, e):
+    """A query block and an entry block as they meet in a task."""
+    listed = lambda n: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(range(n), pa.int64()))
+    binary = lambda x: pa.array([x.tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([q.shape[1]], pa.int32()), listed(len(e)), binary(e), listed(len(q)), binary(q)], names=["dim", "ids", "vectors", "qids", "qvectors"])
+
+
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_memory_of_a_meeting(metric):
+    """Full blocks meet: scores of a slice of the queries are held, not of all (17 MB for each table of 512 x 4096 scores)."""
+    draw = np.random.default_rng(3)
+    batch = meeting(draw.normal(size=(nearest.QUERY_BLOCK, 16)), draw.normal(size=(nearest.ENTRY_BLOCK, 16)))
+    run = nearest._first(metric, 10, None, 1e-6)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 10 * nearest.QUERY_BLOCK and peak < 12 << 20
+
+
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_few_copies_leave_a_meeting(metric):
+    """Of thousands of equal entries the first ids leave, in number of k for each query and score."""
+    q = np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 2.0]])
+    e = np.tile(np.array([[1.0, 0.0], [0.0, 1.0]]), (1500, 1))
+    found = [r for b in nearest._first(metric, 4, None, 1e-6)(iter([meeting(q, e)])) for r in b.to_pylist()]
+    assert len(found) <= len(q) * 2 * 4
+    assert sorted(r["entry_id"] for r in found if r["query_id"] == 0) == [0, 2, 4, 6]
+
+
 def test_quantiles_of_a_hot_metric(spark):
     """A metric with nearly all rows, one with a row, one of nulls alone, a null name; values with many repeats."""
     draw = random.Random(4)
