@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
 from tesserae.operators import citation, evaluation
-from tesserae.operators.retrieval import maybe_broadcast
+from tesserae.operators.passages import WORD, within
+from tesserae.operators.retrieval import is_small, maybe_broadcast
 from tesserae.plans import retrieval as pr
 from tesserae.plans.common import DOCUMENTS, collapse_sql, documents, listed, questions, strip_sql, table
 
@@ -144,9 +145,15 @@ def _grams(words):
 def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, document_id: the texts that hold a passage. texts: document_id, text; passages: query_id, query.
 
-    A text that holds a passage has the passage's inner words in a row: the first GRAM of them, hashed, meet the texts' runs
+    Passages of a size that may be broadcast are looked for in one pass over the texts' bytes, those of a few bytes apart. Others go by words:
+    a text that holds a passage has the passage's inner words in a row: the first GRAM of them, hashed, meet the texts' runs
     of GRAM words by equality, and what meets is compared. Passages of fewer words are compared with all texts.
     """
+    if is_small(passages):
+        asked = passages.where("query is not null")
+        long = F.octet_length("query") >= WORD
+        short = texts.join(F.broadcast(asked.where(~long)), F.contains("text", "query")).select("query_id", "document_id")
+        return within(texts, asked.where(long)).unionByName(short).distinct()
     inner = F.split(F.trim("query"), r"\s+")
     asked = passages.where("query is not null").withColumn("inner", F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))))
     long = asked.where(F.size("inner") >= GRAM).select("query_id", "query", F.xxhash64(*[F.get("inner", F.lit(k)) for k in range(GRAM)]).alias("gram"))
@@ -163,12 +170,13 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holding(documents(spark, sf_dir).select("document_id", "text"), questions(spark, sf_dir)).select("query_id", F.col("document_id").alias("item"))
 
 
-def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.keyword_pool(spark, sf_dir).select("query_id", F.col("entry_id").alias("item"), "rank")
+def retrieved(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The first k of each question's pool, so that tasks needn't keep the rest."""
+    return pr.keyword_pool(spark, sf_dir, min(k, pr.POOL)).select("query_id", F.col("entry_id").alias("item"), "rank")
 
 
 def recall_precision(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return evaluation.at_k(expected(spark, sf_dir), retrieved(spark, sf_dir), k)
+    return evaluation.at_k(expected(spark, sf_dir), retrieved(spark, sf_dir, k), k)
 
 
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:

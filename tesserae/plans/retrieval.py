@@ -91,9 +91,9 @@ def semantic_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(scored, ["query_id"], [F.desc("score"), F.asc("entry_id")])
 
 
-def keyword_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.keyword_hits(document_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS, told_apart(spark, sf_dir, POOL))
-    return retrieval.ranked(hits, ["query_id"], [F.desc("score"), F.asc("entry_id")], POOL)
+def keyword_pool(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
+    hits = retrieval.keyword_hits(document_entries(spark, sf_dir), questions(spark, sf_dir), DIGITS, told_apart(spark, sf_dir, k))
+    return retrieval.ranked(hits, ["query_id"], [F.desc("score"), F.asc("entry_id")], k)
 
 
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
