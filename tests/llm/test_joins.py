@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tesserae.llm import ann, ngram_join
 
 
@@ -18,6 +19,32 @@ def test_lead_tables_are_never_broadcast(spark):
     assert sorted(tuple(r) for r in found.select("lead", "member", "blocks").collect()) == sorted((i % 3, i, 1) for i in range(300) if i % 3 < 2)
 
 
+def below(plan, name):
+    """The parts of a plan below each node of this name."""
+    lines = plan.split("\n")
+    deep = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+    for i, line in enumerate(lines):
+        if line[deep[i] :].startswith(name):
+            end = next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_near_duplicates_broadcast_no_repeated_table(spark, docs, monkeypatch):
+    """The pipeline's stage over groups of near copies: what it broadcasts are tables as they are, none that a sequence has multiplied."""
+    plans, write = {}, ngram_join.staged
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "staged", kept)
+    assert 0 < corpus_pipeline.near_duplicates(spark, docs, "").count() < docs.count()
+    assert {"stars", "open", "groups"} <= set(plans)
+    for name, plan in plans.items():
+        repeated = ("Generate explode(sequence", "Generate explode(org.apache.spark.sql.catalyst.expressions.UnsafeArrayData")
+        assert not [x for x in below(plan, "BroadcastExchange") if any(r in x for r in repeated)], name
+
+
 def test_each_shortlist_leaves_its_cell_once():
     """Many more query blocks than HELD in a cell: a list was given anew for each meeting, and all of a query block's lists were gathered in one row."""
     draw = np.random.default_rng(5)
