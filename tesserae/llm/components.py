@@ -15,18 +15,23 @@ def _files(edges: int) -> int:
     return edges // PER_FILE + 1
 
 
+def _side(table: DataFrame, files: int) -> DataFrame:
+    """A side of a join; broadcast, if at all, only while the edges fit one file."""
+    return table.hint("merge") if files > 1 else table
+
+
 def _large(edges: DataFrame, files: int) -> DataFrame:
     """Every node ties its larger neighbours to the least of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).coalesce(files), "large")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(_side(least, files), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small(edges: DataFrame, files: int) -> DataFrame:
     """Every node ties its smaller neighbours and itself to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = staged(down.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "small")
-    rest = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    rest = down.join(_side(least, files), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -343,15 +343,23 @@ def _salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """A table that grows with the corpus, as a side of a join: it is never broadcast.
+
+    The planner would go by the size of its files; ids that repeat or lie close take several times as much in the driver.
+    """
+    return table.hint("merge")
+
+
 def _by_lead(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows joined with the row of their lead in a table.
 
     The table is repeated only for salts that the lead's rows have, and merged: the planner takes a repeated table for as
-    small as it was before, and would broadcast many times what it allows.
+    small as it was before.
     """
     salted = _salted(rows)
-    places = salted.select("lead", "salt").distinct().join(table.hint("merge"), "lead")
-    return salted.join(places.hint("merge"), ["lead", "salt"]).drop("salt")
+    places = salted.select("lead", "salt").distinct().join(_merged(table), "lead")
+    return salted.join(_merged(places), ["lead", "salt"]).drop("salt")
 
 
 def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -363,22 +371,22 @@ def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
     # A set shares with another at most its tokens in long blocks and those it shares in short ones; without enough of them it leaves the groups.
     long = found.where("least = 0").select(F.col("a").alias("lead"), F.col("b").alias("member"), "n")
     short = pairs.select(F.explode(F.array("a", "b")).alias("member"), "n").groupBy("member").agg(F.max("n").alias("short"))
-    most = long.groupBy("member").agg(F.sum("n").alias("long")).join(short, "member", "left").select("member", (F.col("long") + F.coalesce("short", F.lit(0))).alias("most"))
+    most = long.groupBy("member").agg(F.sum("n").alias("long")).join(_merged(short), "member", "left").select("member", (F.col("long") + F.coalesce("short", F.lit(0))).alias("most"))
     smallest = F.ceil(F.col("n") * PERCENT / 100)
-    ample = most.join(classes.select(F.col("set_id").alias("member"), "n"), "member").where(F.col("most") >= 1 + F.floor(smallest / EXTRA)).select("member")
+    ample = most.join(_merged(classes.select(F.col("set_id").alias("member"), "n")), "member").where(F.col("most") >= 1 + F.floor(smallest / EXTRA)).select("member")
     # The lead's own row comes with its list; a lead that isn't ample itself is still compared with.
-    kept = long.select("lead", "member").join(ample, "member").select("lead", "member", F.lit(True).alias("long"))
+    kept = long.select("lead", "member").join(_merged(ample), "member").select("lead", "member", F.lit(True).alias("long"))
     leads = kept.select("lead").distinct().select("lead", F.col("lead").alias("member"), F.lit(True).alias("long"))
     close = pairs.where("n >= least").select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("member"), F.lit(False).alias("long"))
     every = kept.unionByName(leads).unionByName(close).groupBy("lead", "member").agg(F.max("long").alias("long"))
-    return staged(every.join(classes.select(F.col("set_id").alias("member"), "n", F.col("first_id").alias("doc_id")), "member"), "groups")
+    return staged(every.join(_merged(classes.select(F.col("set_id").alias("member"), "n", F.col("first_id").alias("doc_id"))), "member"), "groups")
 
 
 def stars(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """lead, member, band, long of the members of each lead; of pairs only the linked ones (band 0)."""
     sizes = staged(_blocks(grouped, "lead").where("sets > 1"), "blocks")
     placed = _by_lead(grouped, sizes).withColumn("block", F.explode(F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_hashed(F.col("blocks"))))))
-    blocks = rows.join(placed.select("lead", "block", "member", "long", "doc_id"), "doc_id").groupBy("lead", "block").agg(F.collect_list(F.struct("member", "long", "text")).alias("sets")).where(F.size("sets") > 1)
+    blocks = rows.join(_merged(placed.select("lead", "block", "member", "long", "doc_id")), "doc_id").groupBy("lead", "block").agg(F.collect_list(F.struct("member", "long", "text")).alias("sets")).where(F.size("sets") > 1)
     return staged(blocks.select("lead", "sets").mapInArrow(_stars, "lead long, member long, band long, long boolean"), "stars")
 
 
@@ -386,9 +394,9 @@ def rest(rows: DataFrame, grouped: DataFrame, starred: DataFrame, roots: DataFra
     """Links (a, b: roots) that the leads don't show. None: none can be left."""
     open_ = starred.where("long").select("lead", "member", "band")
     open_ = open_.unionByName(open_.select("lead").distinct().select("lead", F.col("lead").alias("member"), F.lit(0).cast("long").alias("band")))
-    open_ = open_.join(roots.select(F.col("a").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    open_ = open_.join(_merged(roots.select(F.col("a").alias("member"), "root")), "member", "left").withColumn("root", F.coalesce("root", "member"))
     some = open_.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("band").alias("top")).where("top > 0 and x != y").select("lead")
-    open_ = staged(_by_lead(open_, some).join(grouped.select("lead", "member", "n", "doc_id"), ["lead", "member"]), "open")
+    open_ = staged(_by_lead(open_, some).join(_merged(grouped.select("lead", "member", "n", "doc_id")), ["lead", "member"]), "open")
     if not open_.limit(1).count():
         return None
     sizes = _blocks(open_, "lead", "band").groupBy("lead").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
@@ -404,7 +412,7 @@ def rest(rows: DataFrame, grouped: DataFrame, starred: DataFrame, roots: DataFra
         key = F.struct(low.alias("low"), F.greatest(F.col("band"), F.col("band") + step).alias("high"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
         near.append(each.select("lead", "member", "root", "doc_id", "own", "band", F.explode(others).alias("x")).select("lead", "member", "root", "doc_id", key.alias("key")))
     placed = near[0].unionByName(near[1]).unionByName(near[2]).select("lead", "key.low", "key.high", "key.i", "key.j", "key.side", "member", "root", "doc_id")
-    met = rows.join(placed, "doc_id").groupBy("lead", "low", "high", "i", "j").agg(F.collect_list(F.struct("member", "root", "side", "text")).alias("sets")).where(F.size("sets") > 1)
+    met = rows.join(_merged(placed), "doc_id").groupBy("lead", "low", "high", "i", "j").agg(F.collect_list(F.struct("member", "root", "side", "text")).alias("sets")).where(F.size("sets") > 1)
     return met.select("sets").mapInArrow(_group_links, "a long, b long")
 
 
@@ -417,9 +425,9 @@ def roots_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     if left is None:
         return first
     second = components(left).select(F.col("a").alias("x"), F.col("root").alias("y"))
-    moved = first.join(second, F.col("root") == F.col("x"), "left").select("a", F.coalesce("y", "root").alias("root"))
+    moved = first.join(_merged(second), F.col("root") == F.col("x"), "left").select("a", F.coalesce("y", "root").alias("root"))
     alone = second.select(F.col("x").alias("a"), F.col("y").alias("root"))
-    return moved.unionByName(alone.join(first.select("a"), "a", "left_anti"))
+    return moved.unionByName(alone.join(_merged(first.select("a")), "a", "left_anti"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,11 +437,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.where("doc_id is not null")
     classes = staged(members.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "classes")
     roots = roots_of(rows, classes).withColumnRenamed("a", "set_id")
-    rooted = classes.join(roots, "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("class_id"))
+    rooted = classes.join(_merged(roots), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("class_id"))
     least = staged(rooted.groupBy("class_id").agg(F.min("first_id").alias("component_id")), "least")
-    named = staged(rooted.join(least, "class_id").select("set_id", "class_id", "component_id"), "named")
+    named = staged(rooted.join(_merged(least), "class_id").select("set_id", "class_id", "component_id"), "named")
     full = F.col("n") > 0
-    return members.join(named, "set_id", "left").select(
+    return members.join(_merged(named), "set_id", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", F.when(full, F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -446,15 +454,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = staged(join(docs, id_col, text_col).where("doc_id is not null"), "judged")
     found = every.where("n_shingles > 0")
     first = found.where("doc_id = component_id").groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
-    second = found.where("doc_id = component_id").join(first.withColumnRenamed("text_hash", "kept_hash"), "class_id").where("text_hash != kept_hash")
+    second = found.where("doc_id = component_id").join(_merged(first.withColumnRenamed("text_hash", "kept_hash")), "class_id").where("text_hash != kept_hash")
     key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
     gone = staged(found.where("doc_id != component_id").select(*key).unionByName(second.select(*key)).distinct(), "gone")
     again = staged(every.groupBy(*key).count().where("count > 1").select("__id", "__hash"), "again")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     # Texts are shuffled for deduplication only where a row is repeated.
-    named = keyed.where("__id is not null").join(gone, ["__id", "__hash"], "left_anti")
-    once = named.join(again, ["__id", "__hash"], "left_anti")
-    repeated = named.join(again, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    named = keyed.where("__id is not null").join(_merged(gone), ["__id", "__hash"], "left_anti")
+    once = named.join(_merged(again), ["__id", "__hash"], "left_anti")
+    repeated = named.join(_merged(again), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
     return once.unionByName(repeated).unionByName(keyed.where("__id is null")).select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import ann, ngram_join
+from tesserae.llm import ann, components, ngram_join
 
 
 def test_lead_tables_are_never_broadcast(spark):
@@ -45,6 +45,36 @@ def test_near_duplicates_broadcast_no_repeated_table(spark, docs, monkeypatch):
         assert not [x for x in below(plan, "BroadcastExchange") if any(r in x for r in repeated)], name
 
 
+def test_near_duplicates_broadcast_no_table_that_grows(spark, docs, monkeypatch):
+    """Small files don't make a small broadcast: no side of the stage's joins is broadcast, neither on the way nor at the end."""
+    plans, write = {}, ngram_join.staged
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "staged", kept)
+    plans["kept"] = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert {"groups", "stars", "open", "least", "named", "judged", "kept"} <= set(plans)
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
+
+
+def test_components_broadcast_only_few_edges(spark, monkeypatch):
+    """Rounds over more edges than a file holds merge their sides; components stay the same."""
+    edges = spark.createDataFrame([(i, i + 3) for i in range(30)] + [(100, 101)], "a long, b long")
+    few = sorted(map(tuple, components.components(edges).collect()))
+    plans, write = [], components.staged
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(components, "staged", kept)
+    monkeypatch.setattr(components, "PER_FILE", 20)
+    assert sorted(map(tuple, components.components(edges).collect())) == few == [*[(i, i % 3) for i in range(3, 33)], (101, 100)]
+    assert plans and not [x for x in plans if "Broadcast" in x]
+
+
 def test_each_shortlist_leaves_its_cell_once():
     """Many more query blocks than HELD in a cell: a list was given anew for each meeting, and all of a query block's lists were gathered in one row."""
     draw = np.random.default_rng(5)
