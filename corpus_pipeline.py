@@ -20,6 +20,18 @@ from tesserae.llm import ngram_join, packing, quality_rules, secret_scan, substr
 from tesserae.llm._shared import staged
 
 
+#: Bytes of an Arrow batch on its way to a Python worker: a whole task's texts in one batch would lie in the executor and in
+#: its worker at once, and are cut to blocks there anyway.
+BATCH = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on this session's batches hold about BATCH bytes, or one row; a size that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows the text that a stage has changed."""
     if "n_chars" not in docs.columns:
@@ -29,16 +41,19 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
+    _small_batches(spark)
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keeps the document with the smallest id."""
+    _small_batches(spark)
     return ngram_join.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that also start in a document with a smaller id."""
+    _small_batches(spark)
     return _measured(substring_dedup.strip(docs))
 
 
@@ -49,6 +64,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' ids into sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 

@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from tesserae.sources.shared import shared_dir
 
 
+#: Rows to a file of a table of a few columns.
+FILE_ROWS = 20_000
+
+
 def _own_dir(spark: SparkSession) -> str:
     """This application's folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/tesserae/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: its lineage ends there.
 
-    The table stays until the folder is cleared, as later queries may still read it.
+    The table stays until the folder is cleared, as later queries may still read it. rows: no more than so many, of a
+    few columns, are dealt to files of about FILE_ROWS instead of one for each task: on a mounted folder an executor forks
+    for the permissions of every file that it writes.
     """
+    if rows is not None:
+        df = df.repartition(rows // FILE_ROWS + 1)
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -3,7 +3,9 @@
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserae.llm import quality_rules
@@ -74,3 +76,16 @@ def test_columns_clash(spark, docs, case_dir):
 
 def test_empty_tables(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_batches_are_small(spark):
+    """Texts go to Python workers a few megabytes at a time, not a whole task at once; a longer text goes alone."""
+    texts = spark.range(0, 24, 1, 1).select("id", F.repeat(F.lit("word "), F.when(F.col("id") == 12, 1_200_000).otherwise(100_000)).alias("text"))
+    corpus_pipeline.repeated_passages(spark, texts.withColumnRenamed("id", "doc_id"), "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([sum(len(x.as_py()) for x in b.column("text"))])], names=["rows", "size"])
+
+    found = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in found) == 24 and max(r["size"] for r in found) <= 6_000_000 + corpus_pipeline.BATCH and max(r["size"] for r in found if r["size"] < 6_000_000) <= corpus_pipeline.BATCH + 500_000
