@@ -19,15 +19,19 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tesserae/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most so many rows, of a few columns, dealt to be written as files of about FILE_ROWS, not one for each task.
+
+    On a mounted folder an executor forks for the permissions of every file that it writes.
+    """
+    return df.repartition(rows // FILE_ROWS + 1)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: its lineage ends there.
 
-    The table stays until the folder is cleared, as later queries may still read it. rows: no more than so many, of a
-    few columns, are dealt to files of about FILE_ROWS instead of one for each task: on a mounted folder an executor forks
-    for the permissions of every file that it writes.
+    The table stays until the folder is cleared, as later queries may still read it.
     """
-    if rows is not None:
-        df = df.repartition(rows // FILE_ROWS + 1)
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

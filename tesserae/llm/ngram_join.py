@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import staged, texts
+from tesserae.llm._shared import few_files, staged, texts
 from tesserae.llm._text import Words, cuts, flat, mix, pieces, signed, windows
 from tesserae.llm.components import components
 
@@ -105,7 +105,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def crowded(rows: DataFrame) -> np.ndarray:
     """For each bucket of the sketch, log2 of its count over the mean: 0 for ordinary ones. Of fixed size."""
-    sketch = staged(rows.select("text").mapInArrow(_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sketch", 1 << SKETCH_BITS)
+    sketch = staged(few_files(rows.select("text").mapInArrow(_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), 1 << SKETCH_BITS), "sketch")
     mean = (sketch.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
     for bucket, n in sketch.where(F.col("n") > 2 * mean + 16).collect():  # at most 2**SKETCH_BITS rows
@@ -384,7 +384,7 @@ def groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def stars(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """lead, member, band, long of the members of each lead; of pairs only the linked ones (band 0)."""
-    sizes = staged(_blocks(grouped, "lead").where("sets > 1"), "blocks", grouped.count())
+    sizes = staged(few_files(_blocks(grouped, "lead").where("sets > 1"), grouped.count()), "blocks")
     placed = _by_lead(grouped, sizes).withColumn("block", F.explode(F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_hashed(F.col("blocks"))))))
     blocks = rows.join(_merged(placed.select("lead", "block", "member", "long", "doc_id")), "doc_id").groupBy("lead", "block").agg(F.collect_list(F.struct("member", "long", "text")).alias("sets")).where(F.size("sets") > 1)
     return staged(blocks.select("lead", "sets").mapInArrow(_stars, "lead long, member long, band long, long boolean"), "stars")
@@ -435,11 +435,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = texts(docs, id_col, text_col)
     members = staged(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_members, "doc_id long, text_hash long, n long, set_id long"), "members")
     rows, most = rows.where("doc_id is not null"), members.count()
-    classes = staged(members.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "classes", most)
+    classes = staged(few_files(members.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id")), most), "classes")
     roots = roots_of(rows, classes).withColumnRenamed("a", "set_id")
     rooted = classes.join(_merged(roots), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("class_id"))
-    least = staged(rooted.groupBy("class_id").agg(F.min("first_id").alias("component_id")), "least", most)
-    named = staged(rooted.join(_merged(least), "class_id").select("set_id", "class_id", "component_id"), "named", most)
+    least = staged(few_files(rooted.groupBy("class_id").agg(F.min("first_id").alias("component_id")), most), "least")
+    named = staged(few_files(rooted.join(_merged(least), "class_id").select("set_id", "class_id", "component_id"), most), "named")
     full = F.col("n") > 0
     return members.join(_merged(named), "set_id", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", F.when(full, F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
@@ -457,8 +457,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = found.where("doc_id = component_id").groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
     second = found.where("doc_id = component_id").join(_merged(first.withColumnRenamed("text_hash", "kept_hash")), "class_id").where("text_hash != kept_hash")
     key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
-    gone = staged(found.where("doc_id != component_id").select(*key).unionByName(second.select(*key)).distinct(), "gone", most)
-    again = staged(every.groupBy(*key).count().where("count > 1").select("__id", "__hash"), "again", most)
+    gone = staged(few_files(found.where("doc_id != component_id").select(*key).unionByName(second.select(*key)).distinct(), most), "gone")
+    again = staged(few_files(every.groupBy(*key).count().where("count > 1").select("__id", "__hash"), most), "again")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     # Texts are shuffled for deduplication only where a row is repeated.
     named = keyed.where("__id is not null").join(_merged(gone), ["__id", "__hash"], "left_anti")

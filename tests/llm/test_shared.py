@@ -3,7 +3,7 @@
 import pytest
 
 from tesserae.llm import ngram_join
-from tesserae.llm._shared import clear, shared_dir, staged
+from tesserae.llm._shared import clear, few_files, shared_dir, staged
 
 
 def test_staged_and_clear(spark):
@@ -19,8 +19,8 @@ def test_small_tables_are_few_files(spark, docs, monkeypatch):
     """However many tasks an exchange has, a table of a row a document is written as files by its rows."""
     written = {}
 
-    def told(df, name, *rows):
-        table = staged(df, name, *rows)
+    def told(df, name):
+        table = staged(df, name)
         written[name] = len(table.inputFiles())
         return table
 
@@ -31,4 +31,4 @@ def test_small_tables_are_few_files(spark, docs, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {k: n for k, n in written.items() if k in ("blocks", "classes", "least", "named", "gone", "again") and n > 1} == {}
-    assert len(staged(spark.range(0, 45_000, 1, 8), "numbers", 45_000).inputFiles()) == 3
+    assert len(staged(few_files(spark.range(0, 45_000, 1, 8), 45_000), "numbers").inputFiles()) == 3
